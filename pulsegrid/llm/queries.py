@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import quality, toxicity
 from .common import held_out, table
 from .media import store_texts
+from .mixing import mix
 from .packing import Limits, pack
 from .tokencount import count_tokens
 
@@ -26,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words", "rate")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -49,7 +55,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op7_quality, op8_token_counts, op9_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_mixing, op7_quality, op8_token_counts, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
