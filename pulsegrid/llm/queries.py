@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import neardup, quality, toxicity
 from .common import held_out, table
 from .media import store_texts
 from .mixing import mix
@@ -54,8 +54,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Settings(words=2, percent=80))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_mixing, op7_quality, op8_token_counts, op9_media_columns)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_mixing, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
