@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, toxicity
+from . import neardup, pii, quality, toxicity
 from .common import held_out, table
 from .media import store_texts
 from .mixing import mix
@@ -27,6 +27,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = (pii.counted(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS))
+    base = pii.written(F.col("base"))
+    every = pii.written(pii.together(F.col("base"), F.col("added")))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words", "rate")
@@ -60,7 +68,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_mixing, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
