@@ -10,6 +10,7 @@ other than the id, text and prompt are not read.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, SPACE, WordCache
+from .common import CACHED_CHARS, SEPARATORS, SPACE, WordCache
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, segment int, offset long, ids binary"
 SPACES = regex.compile(f"[{SPACE}]+")
@@ -36,6 +37,11 @@ class Limits:
     min_cut: int = 4
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32 bits each."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Identifiers of texts as little-endian unsigned 32-bit bytes; white space parts words that encode alone."""
 
@@ -43,16 +49,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordCache(lambda word: np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.parting = special[0] if special else None
+        self.words = WordCache(lambda word: as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids))
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes many words at once, parted by a special token, which never joins its neighbours."""
+        if self.parting is None:
+            return
+        mark, number = self.parting
+        fresh = [w for w in words if mark not in w and len(w) <= CACHED_CHARS]
+        lists = [fresh[at : at + 500] for at in range(0, len(fresh), 500)]
+        for part, e in zip(lists, self.tokenizer.encode_batch_fast([mark.join(p) for p in lists], add_special_tokens=False), strict=True):
+            ids = np.array([*e.ids, number], "<u4")
+            ends = (np.flatnonzero(ids == number) * 4).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.words.trim()
         split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.words})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.asarray(e.ids, "<u4").tobytes()
+        self.learn(set().union(*split) - self.words.keys())
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
@@ -141,7 +158,7 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
     """
     empty = F.lit("")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", empty).alias("text"), (F.coalesce(F.col(prompt), empty) if prompt else empty).alias("prompt"))
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = as_bytes([end_id])
     types = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
 
     def rows(found: list[tuple]):
