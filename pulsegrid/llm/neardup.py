@@ -76,21 +76,22 @@ def sketch(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n (shingles), node (the class of equal sets) and the registers of each document."""
+    """doc_id, h (hash of the text), n (shingles), node (the class of equal sets) and the registers of each document."""
     words, factors = settings.words, multipliers(settings)
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(2):
                 values = shingles(text.as_py() or "", words)
                 node = xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
-                out.append((doc_id, len(values), node, sketch(values, factors).tobytes() if len(values) else b""))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n", "node", "registers"])
+                out.append((len(values), node, sketch(values, factors).tobytes() if len(values) else b""))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            added = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added], ["doc_id", "h", "n", "node", "registers"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, node long, registers binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, h long, n long, node long, registers binary")
 
 
 def similarity(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -246,7 +247,10 @@ def across(members: DataFrame, settings: Settings) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least id that links lead to; empty documents are their own."""
+    """doc_id, h, n_shingles and component_id, the least id that links lead to; empty documents are their own.
+
+    `h` is the hash of the text, which tells rows of one id apart.
+    """
     every = cut(sketches(docs, settings))
     classes = cut(every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")))
     keys = buckets_of(classes, settings)
@@ -283,5 +287,5 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     named = cut(named)
     least = cut(named.groupBy("label").agg(F.min("rep").alias("component_id")))
     found = cut(named.join(least, "label").select("node", "component_id"))
-    joined = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = every.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
+    return joined.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -86,7 +86,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Settings(words=2, percent=80))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return found.drop("h").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
