@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, pii, quality, topk, toxicity
+from . import langid, neardup, pii, quality, topk, toxicity
 from .common import held_out, table
 from .media import store_texts
 from .mixing import mix
@@ -40,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words", "rate")
 
 
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), topk.Settings(k=20))
@@ -90,7 +94,7 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op5_language_fusion, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
