@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WordCache, labelled_sample
 
+#: Features are told by a hash below this.
+HASHES = 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
 #: Names of groups by kind and language; a term is swapped for the next of its list.
 IDENTITY_TERMS = (
@@ -43,7 +45,7 @@ class Settings:
     `least_texts` the number of label-1 texts that a feature must have.
     """
 
-    rows: int = 4000
+    rows: int = 3000
     max_chars: int = 60_000
     features: int = 6000
     least_g2: float = 16.0
@@ -54,13 +56,10 @@ class Settings:
     terms: tuple = field(default=IDENTITY_TERMS)
 
 
-def parts_of(word: str) -> list[str]:
-    """A lower-case word, its beginnings of 4 to 7 characters and its runs of 5."""
-    return [f"={word}", *(f"^{word[:n]}" for n in range(4, min(7, len(word) - 1) + 1)), *(word[i : i + 5] for i in range(1, len(word) - 4))]
-
-
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def parts_of(word: str) -> list[int]:
+    """A lower-case word, its beginnings of 4 to 7 characters and its runs of 5, as hashes below `HASHES`."""
+    parts = [f"={word}", *(f"^{word[:n]}" for n in range(4, min(7, len(word) - 1) + 1)), *(word[i : i + 5] for i in range(1, len(word) - 4))]
+    return [zlib.crc32(p.encode()) % HASHES for p in parts]
 
 
 def swaps(terms) -> dict[str, str]:
@@ -69,9 +68,9 @@ def swaps(terms) -> dict[str, str]:
 
 @dataclass
 class Model:
-    """Weights of features by name; the score of a text is the logistic of bias plus its features' weights."""
+    """Weights of features by hash; the score of a text is the logistic of bias plus its features' weights."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
     def scorer(self) -> Scorer:
@@ -112,36 +111,43 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     if not ones or ones == len(labels):
         return Model({}, math.log(share / (1 - share)))
     swap = swaps(settings.terms)
-    bags = [words_of(t) for t in texts]
-    every = Counter(w for bag in bags for w in bag)
-    by_word = {w: parts_of(w) for w, n in every.items()}
-    toxic, clean = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (toxic if y else clean).update({f for w in bag for f in by_word[w]} if y else bag)
-    wanted = {f for f, n in toxic.items() if n >= settings.least_texts}
-    clean = Counter()
+    number: dict[str, int] = {}
+    bags = [np.unique([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())]).astype(np.int64) for t in texts]
+    for term in swap:
+        number.setdefault(term, len(number))
+    parts = [parts_of(w) for w in number]
+    first = np.cumsum([0, *map(len, parts)])
+    flat = np.fromiter((f for p in parts for f in p), np.int32, first[-1])
+    swapped = np.arange(len(number))
+    for one, other in swap.items():
+        swapped[number[one]] = number[other]
+    del parts, number
+
+    def present(bag: np.ndarray) -> np.ndarray:
+        """The distinct features of some words."""
+        sizes = first[bag + 1] - first[bag]
+        return np.unique(flat[np.repeat(first[bag] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
+
+    counts = np.zeros((2, HASHES), np.int32)
     for bag, y in zip(bags, labels, strict=True):
-        if not y:
-            clean.update({f for w in bag for f in by_word[w] if f in wanted})
+        counts[int(y), present(bag)] += 1
     n1, n0 = ones, len(labels) - ones
-    evidence = {}
-    for f in wanted:
-        a, b = toxic[f], clean[f]
-        if a / n1 > b / n0:
-            p = (a + b) / (n1 + n0)
-            g2 = 2 * (a * math.log(a / (n1 * p)) + (b * math.log(b / (n0 * p)) if b else 0.0))
-            if g2 >= settings.least_g2:
-                evidence[f] = g2
-    names = sorted(evidence, key=lambda f: (-evidence[f], f))[: settings.features]
-    number = {f: k for k, f in enumerate(names)}
-    of = {w: [number[f] for f in fs if f in number] for w, fs in by_word.items()}
-
-    def present(bag):
-        return sorted({k for w in bag for k in (of[w] if w in of else [number[f] for f in parts_of(w) if f in number])})
-
-    rows = [present(bag) for bag in bags]
-    both = [(row, present({swap.get(w, w) for w in bag})) for row, bag in zip(rows, bags, strict=True) if any(w in swap for w in bag)]
-    both += [([], present({t})) for t in swap]  # a bare mention is worth nothing either
+    wanted = np.flatnonzero((counts[1] >= settings.least_texts) & (counts[1] / n1 > counts[0] / n0))
+    a, b = counts[1, wanted].astype(float), counts[0, wanted].astype(float)
+    p = (a + b) / (n1 + n0)
+    g2 = 2 * (a * np.log(a / (n1 * p)) + b * np.log(np.maximum(b, 1) / (n0 * p)))
+    order = np.argsort(-g2, kind="stable")[: settings.features]
+    names = wanted[order[g2[order] >= settings.least_g2]].tolist()
+    place = np.full(HASHES, -1, np.int32)
+    place[names] = np.arange(len(names))
+
+    def columns(bag: np.ndarray) -> list[int]:
+        found = place[present(bag)]
+        return found[found >= 0].tolist()
+
+    rows = [columns(bag) for bag in bags]
+    both = [(row, columns(swapped[bag])) for row, bag in zip(rows, bags, strict=True) if (swapped[bag] != bag).any()]
+    both += [([], columns(np.array([i]))) for i in np.flatnonzero(swapped != np.arange(len(swapped)))]  # nor is a bare mention worth anything
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.array([k for r in rows for k in r], int)
     d_at = np.array([i for i, (x, z) in enumerate(both) for _ in (*x, *z)], int)
