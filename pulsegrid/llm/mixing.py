@@ -58,18 +58,18 @@ def tilts(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     state = cut(state)
     for _ in range(STEPS):
         joined = salted_join(sizes, state, ["key"], ["size"], salts=8)
-        z = F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)
+        z = F.when(F.col("mean") > 0, F.col("size") / F.nullif(F.col("mean"), F.lit(0.0))).otherwise(0.0)
         rate = tilted(F.col("lam") * z, cap)
         sums = joined.groupBy("key").agg(
             exact_sum(F.col("n") * rate * z).alias("got"), exact_sum(F.col("n") * rate * (1 - rate / cap) * z * z).alias("curve")
         )
-        short = F.col("target") / F.col("mean") - F.col("got")
+        short = F.col("target") / F.nullif(F.col("mean"), F.lit(0.0)) - F.col("got")
         lo = F.when(short > 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(short < 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") + F.when(F.col("curve") > 1e-9, short / F.col("curve")).otherwise(F.lit(1e9))
         stepped = state.join(sums, "key").select(
             "key", "source_size", "target", "mean",
-            F.when((F.col("mean") <= 0) | (short == 0), F.col("lam")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2).alias("lam"),
+            F.when((F.col("mean") <= 0) | short.isNull() | (short == 0), F.col("lam")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2).alias("lam"),
             lo.alias("lo"), hi.alias("hi"),
         )
         state = cut(stepped)
@@ -93,9 +93,11 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
 
     Reads the texts once for their sizes; all else works on ids and sizes, grouped by source and size.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    # the input's columns travel as one, so that none clashes with those made here
     sized = docs.select(
-        *(F.col(f"`{c}`") for c in kept),
+        F.struct(*kept).alias("_row"),
+        F.col("doc_id").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
     )
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     aims = targets(sums.select("key", "source_size"), float(cap)).join(sums.select("key", "n"), "key")
     state = tilts(sizes, aims, float(cap)).select("key", "source_size", "target", "mean", "lam")
     rated = salted_join(sized, state, ["key"], ["doc_id", "size"])
-    z = F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)
+    z = F.when(F.col("mean") > 0, F.col("size") / F.nullif(F.col("mean"), F.lit(0.0))).otherwise(0.0)
     full = F.col("target") >= F.col("source_size") * float(cap)
     rate = F.when(full, F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(tilted(F.round("lam", 9) * z, float(cap)))
     rated = rated.withColumn("rate", rate).withColumn("copies", F.least(F.lit(cap), F.floor(F.col("rate") + even("doc_id", "size"))).cast("int"))
@@ -129,9 +131,9 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     step = F.greatest(F.lit(0), F.least(F.col("size"), F.abs("gap") - (F.sum("size").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))))
     turned = rated.filter("_may").withColumn("_step", step * F.signum("gap").cast("long"))
     taken = F.col("copies") * F.col("size") + F.col("_step")
-    turned = turned.withColumn("_taken", taken).withColumn("copies", F.floor(F.col("_taken") / F.col("size")).cast("int")).withColumn("extra_words", F.col("_taken") - F.col("copies") * F.col("size")).drop("_step", "_taken")
+    turned = turned.withColumn("_taken", taken).withColumn("copies", F.floor(F.col("_taken") / F.nullif(F.col("size"), F.lit(0))).cast("int")).withColumn("extra_words", F.col("_taken") - F.col("copies") * F.col("size")).drop("_step", "_taken")
     both = settled.unionByName(turned)
-    return both.select(*(F.col(f"`{c}`") for c in kept), "size", "source_size", "target", "rate", "copies", "extra_words", (F.col("copies") * F.col("size") + F.col("extra_words")).alias("taken"))
+    return both.select("_row.*", "size", "source_size", "target", "rate", "copies", "extra_words", (F.col("copies") * F.col("size") + F.col("extra_words")).alias("taken"))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
