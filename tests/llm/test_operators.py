@@ -157,13 +157,13 @@ def test_sanitising(spark, empty):
     near = "madrigal wonders about"
     rows = [(k, f"text {k} {near} ann.lee@mail.example.com today with apples", "en", "s", 1) for k in range(4)]
     rows += [(10 + k, f"plain apples text {k} with wonders about many things", "en", "s", 1) for k in range(40)]
-    rows += [(90, None, None, None, None), (91, "é +1 (202) 555-0100 ü 10.0.0.255 999.1.1.1 4111-1111-1111-1111", "en", "s", 1), (91, "é +1 (202) 555-0100 ü 10.0.0.255 999.1.1.1 4111-1111-1111-1111", "en", "s", 1)]
+    rows += [(90, None, None, None, None), (91, "é +1 (202) 555-0100 ü 10.0.0.255 999.1.1.1, 4111-1111-1111-1111", "en", "s", 1), (91, "é +1 (202) 555-0100 ü 10.0.0.255 999.1.1.1, 4111-1111-1111-1111", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
     found = {r.doc_id: r for r in pii.find(df).select("doc_id", pii.written(pii.together(pii.F.col("base"), pii.F.col("added"))).alias("s")).collect()}
-    assert found[91].s == "phone:2:19,ip:22:32,card:43:62" and found[90].s == "" and found[10].s == ""
+    assert found[91].s == "phone:2:19,ip:22:32,card:44:63" and found[90].s == "" and found[10].s == ""
     texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "ann.lee" not in texts[0] and "<EMAIL>" in texts[0] and "madrigal" not in texts[0] and "apples" in texts[0]
-    assert texts[10] == rows[4][1] and texts[90] is None and texts[91] == "é <PHONE> ü <IP> 999.1.1.1 <CARD>"
+    assert texts[10] == rows[4][1] and texts[90] is None and texts[91] == "é <PHONE> ü <IP> 999.1.1.1, <CARD>"
     assert pii.sanitise(df).count() == len(rows) and pii.sanitise(df).columns == df.columns
     assert pii.find(empty).count() == 0
 
