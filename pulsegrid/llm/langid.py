@@ -172,10 +172,10 @@ def identify(pages: DataFrame, docs: DataFrame, settings: Settings = Settings())
     pages_of = float(total["n"] or 0)
     overall = F.array(*(F.lit((x + 1.0) / (pages_of + n)) for x in every))
     said = {r["said"]: r["p"] for r in seen.groupBy("said").agg(*sums(languages)).collect()}  # a row a language and two
-    of = F.lit(math.nan)
+    of = F.array(*(F.lit(0.0) for _ in languages))
     for value, row in said.items():
-        logs = [math.log((row[i] + 0.5) / (every[i] + 0.5 * (n + 2))) for i in range(n)]
-        of = F.when(F.col("said") == value, F.array(*map(F.lit, logs))).otherwise(of) if value != next(iter(said)) else F.when(F.col("said") == value, F.array(*map(F.lit, logs)))
+        logs = (math.log((row[i] + 0.5) / (every[i] + 0.5 * (n + 2))) for i in range(n))
+        of = F.when(F.col("said") == value, F.array(*map(F.lit, logs))).otherwise(of)
     suffixes = cut(added(hosts, "suffix", "ps"))
     kinds = float(max(1, suffixes.count()))
     by_host = hosts.groupBy("host").agg(F.array(*(F.sum(F.col("p")[i]) for i in range(n))).alias("ph"), F.sum("n").alias("n_ph"))
