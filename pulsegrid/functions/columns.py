@@ -83,6 +83,18 @@ def blend_rect(a: Column, b: Column, weight: float) -> Column:
     return rect(*(F.bround(a[n] + (b[n] - a[n]) * weight) for n in "xywh"))
 
 
+def centre_box(width: int, height: int, share: float = 0.5) -> Column:
+    """A box about the image's centre, for recordings without a detector."""
+    w, h = round(width * share), round(height * share)
+    return rect(F.lit((width - w) // 2), F.lit((height - h) // 2), F.lit(w), F.lit(h))
+
+
+def frame_error(image: Column, channels: int, width: Column, height: Column) -> Column:
+    """The code of an image that is missing or not of its declared size, or null."""
+    wrong = image.isNull() | (width <= 0) | (height <= 0) | (F.octet_length(image) != channels * width * height)
+    return F.when(F.coalesce(wrong, F.lit(True)), F.lit("regiao_invalida"))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Intersection over union; 0 where both are empty."""
     w = F.greatest(F.lit(0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))

@@ -39,6 +39,14 @@ def segments(frames: DataFrame, reset: Column, keys: Sequence[str] = ("session",
     return frames.withColumn("segment", F.sum(F.when(reset, 1).otherwise(0)).over(w))
 
 
+def sessions_by_gap(frames: DataFrame, gap: float, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
+    """(keys, part, start, end, n): runs of frames with no pause above `gap`."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    pause = F.col(t) - F.lag(t).over(w)
+    cut = frames.withColumn("_new", F.when(pause > gap, 1).otherwise(0)).withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(*keys, "part").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"))
+
+
 def effective_fps(frames: DataFrame, t: str = "t", keys: Sequence[str] = ("session",)) -> DataFrame:
     """Frames a second: 1 over the median of positive time differences, 0 with fewer than two frames or none of them."""
     w = Window.partitionBy(*keys).orderBy(t)

@@ -65,6 +65,14 @@ def agreement(ranked: DataFrame, least: int = 4, spread: float = 6.0) -> DataFra
     return ranked.agg(F.count("*").alias("configurations"), (F.element_at(q, 2) - F.element_at(q, 1)).alias("iqr")).withColumn("agree", (F.col("configurations") >= least) & (F.col("iqr") < spread))
 
 
+def recent(estimates: DataFrame, keys: Sequence[str] = ("session",), order: str = "window_id", last: int = 60, least: int = 3) -> DataFrame:
+    """Median and population deviation of bpm over the last estimates of each session, from `least` of them on."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    rows = estimates.withColumn("_place", place).filter(F.col("_place") <= last)
+    enough = F.count("*") >= least
+    return rows.groupBy(*keys).agg(F.when(enough, F.percentile("bpm", F.lit(0.5))).alias("median_bpm"), F.when(enough, F.stddev_pop("bpm")).alias("bpm_sd"))
+
+
 def newest(history: DataFrame, most: int = 500, time: str = "instant", tie: str = "id") -> DataFrame:
     """The newest records, at most `most`: the cap of a stored history."""
     return history.orderBy(F.desc(time), F.desc(tie)).limit(most)

@@ -12,7 +12,7 @@ from .config import Analysis, Band
 from .functions import columns as C
 from .operators import pulse, regions, series, spectrum
 from .operators.kernels import ALGORITHMS
-from .plans import analysis, reports
+from .plans import analysis, diagnostic, reports
 from .sources import history, recordings
 from .streaming import monitor
 
@@ -485,6 +485,21 @@ def time_retention(spark, sf_dir):
     return events(spark, sf_dir).select("session", "event_id", F.count("*").over(w).alias("retained"), F.round(F.avg("value").over(w), 5).alias("mean"))
 
 
+@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_id DESC) AS k FROM e)
+  SELECT session, round(CASE WHEN count(*) >= 3 THEN quantile_cont(value, 0.5) END, 5) AS median_bpm, round(CASE WHEN count(*) >= 3 THEN stddev_pop(value) END, 5) AS bpm_sd FROM r WHERE k <= 60 GROUP BY 1""")
+def recent_median(spark, sf_dir):
+    made = reports.recent(estimates(spark, sf_dir), order="event_id")
+    return made.select("session", F.round("median_bpm", 5).alias("median_bpm"), F.round("bpm_sd", 5).alias("bpm_sd"))
+
+
+@query(f"""WITH {EVENTS}, p AS (SELECT session, t, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) > 24 THEN 1 ELSE 0 END AS cut FROM e),
+  q AS (SELECT session, t, sum(cut) OVER (PARTITION BY session ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM p)
+  SELECT session, CAST(part AS BIGINT) AS part, round(min(t), 6) + 0e0 AS start, round(max(t), 6) + 0e0 AS "end", count(*) AS n FROM q GROUP BY 1, 2""")
+def session_gaps(spark, sf_dir):
+    made = series.sessions_by_gap(events(spark, sf_dir), 24.0)
+    return made.select("session", F.col("part").cast("long").alias("part"), C.zero(F.col("start")).alias("start"), C.zero(F.col("end")).alias("end"), "n")
+
+
 def as_history(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     instant = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -580,6 +595,16 @@ def accuracy_battery(spark, sf_dir):
     return reports.accuracy(errors, ["scenario", "algorithm"])
 
 
+@query()
+def diagnostic_grid(spark, sf_dir):
+    """Two colour variants of every session through the grid, ranked; the capture is read once."""
+    rows = frames(spark, sf_dir)
+    wide = rows.select("session", "i", *(F.col(c).alias(f"{c}_plain") for c in "rgb"), *((F.col(c) * 0.9 + F.col("bg") * 0.1).alias(f"{c}_mixed") for c in "rgb"), *(F.col("bg").alias(f"bg_{c}") for c in "rgb"))
+    config = Analysis(window_s=128 / FPS, step_s=128 / FPS, band=Band(0.75, 3.3))
+    found = diagnostic.grid(diagnostic.stacked(wide, ["plain", "mixed"]), FPS, config)
+    return reports.diagnostic_ranking(found, ["variant", "algorithm", "with_background"])
+
+
 @query()
 def box_tracking(spark, sf_dir):
     """Boxes of each session through the tracker; every fifth order has no face."""

@@ -12,7 +12,8 @@ from pulsegrid.config import COMMAND, DIAGNOSTIC, LIBRARY, Analysis, Band, Simul
 from pulsegrid.functions import columns as C
 from pulsegrid.operators import kernels, pulse, regions, series, spectrum
 from pulsegrid.plans import analysis, reports
-from pulsegrid.sources import history, recordings
+from pulsegrid.sources import faces, history, recordings
+from pulsegrid.sources.datasource import SimulatedPulse
 from pulsegrid.streaming.monitor import Monitor
 
 
@@ -235,3 +236,42 @@ def test_videos_need_a_decoder(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(bytes(range(6)))
     got = recordings.videos(spark, str(tmp_path / "v.bin"), lambda raw: [(k / 30, *map(float, raw[k : k + 3])) for k in range(0, len(raw), 3)]).orderBy("i").collect()
     assert [(r.i, r.r, r.b) for r in got] == [(0, 0.0, 2.0), (1, 3.0, 5.0)]
+
+
+def test_data_source_in_batches_and_streams(spark, tmp_path):
+    spark.dataSource.register(SimulatedPulse)
+    options = {"sessions": "3", "seconds": "2", "rows_per_batch": "25", "partitions": "2"}
+    batch = spark.read.format("simulated_pulse").options(**options).load()
+    assert batch.count() == 180
+    stream = spark.readStream.format("simulated_pulse").options(**options).load()
+    query = stream.writeStream.format("memory").queryName("pulses").option("checkpointLocation", str(tmp_path / "c")).start()
+    for _ in range(100):
+        if spark.table("pulses").count() == 180:
+            break
+        query.processAllAvailable()
+    query.stop()
+    assert spark.table("pulses").exceptAll(batch).count() == 0 and spark.table("pulses").count() == 180
+
+
+def test_rendered_faces_give_back_their_rate(spark):
+    """From pixels over skin and regions to the rate."""
+    s = Simulation(bpm=90, duration_s=12, fps=15, width=64, height=48, noise=1.0, pulse=0.03)
+    colours = spark.createDataFrame(recordings.simulate(s).assign(session=7)).repartition(4)
+    frames = faces.rendered(colours, s)
+    boxes = frames.select("session", "frame", C.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
+    parts = regions.regions_of(boxes, "rosto_central", width=64, height=48)
+    pixels = faces.pixels_in(frames, parts, 48, 64)
+    skin = pixels.filter(C.is_skin(F.col("r"), F.col("g"), F.col("b")))
+    means = regions.spatial_means(regions.trimmed(skin, ["session", "frame", "region"]), ["session", "frame"])
+    series_ = means.select("session", F.col("frame").alias("i"), "r", "g", "b")
+    found = analysis.sessions(series_, 15.0, Analysis(background=False)).collect()
+    assert len(found) == 3 and all(abs(r.bpm - 90) < 3 for r in found)
+
+
+def test_commands():
+    from pulsegrid.__main__ import parser
+
+    args = parser().parse_args(["simulate", "--bpm", "80"])
+    assert (args.window, args.bpm_min, args.algorithm) == (25.0, 45.0, "pos")
+    with pytest.raises(SystemExit):
+        parser().parse_args(["simulate", "--algorithm", "none"])
