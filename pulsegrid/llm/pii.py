@@ -33,8 +33,6 @@ KINDS = (*PATTERNS, "term")
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}(?![\p{L}\p{N}@])"
 NEAR = 120  # characters on each side of an entity
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-#: Terms are looked up by broadcast up to this number, by a shuffle beyond it.
-BROADCAST_TERMS = 50_000
 
 
 @dataclass(frozen=True)
@@ -123,10 +121,8 @@ def disclosures(docs: DataFrame, near: DataFrame, settings: Settings) -> DataFra
     per_entity = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= settings.support)
     joint = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= settings.support)
     joint = cut(joint.join(per_entity, "entity"))
-    wanted = cut(joint.select("term").distinct())
+    # each task adds up its own words before the shuffle; what is joined is one row a term
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(docs.count(), 1))
     ic = F.log2(F.lit(total) / F.col("n_e"))
