@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import LIBRARY, Analysis
-from ..operators import kernels
+from ..operators import kernels, pulse, spectrum
 from ..operators.series import count_windows
 
 RESULT = (
@@ -79,6 +79,12 @@ def analysed(windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: S
     return windows.select(*wanted).groupBy(*keys).applyInPandas(run, schema)
 
 
+def finger(frames: DataFrame, fps: float, config: Analysis = LIBRARY, length: int = 1024, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """A fingertip over the lens: green alone, band-passed by its transform, without rectification or detrending."""
+    signal = pulse.spectral_bandpass(pulse.green(frames), ["pulse"], fps, config.band, length, keys, order)
+    return spectrum.dominant(spectrum.periodogram(signal, "pulse", fps, config.band, keys, order), config.band, keys)
+
+
 def sessions(frames: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
     """Sliding windows of each session, analysed."""
     windows = count_windows(frames, config.frames_in_window(fps), config.frames_in_step(fps), keys, order)

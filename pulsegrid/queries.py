@@ -605,6 +605,12 @@ def diagnostic_grid(spark, sf_dir):
     return reports.diagnostic_ranking(found, ["variant", "algorithm", "with_background"])
 
 
+@query()
+def finger_mode(spark, sf_dir):
+    """Blocks of frames as a fingertip's."""
+    return analysis.finger(blocks(spark, sf_dir), FPS, SHORT, BLOCK, KEYS, "k")
+
+
 @query()
 def box_tracking(spark, sf_dir):
     """Boxes of each session through the tracker; every fifth order has no face."""
