@@ -6,7 +6,7 @@ Jaccard similarity says. Documents of equal sets are one class. Five registers m
 meet in a bucket. There each class is compared with the bucket's hub, found by the key so that hubs differ between
 bands; what is not linked by then is compared within its buckets, in blocks, across components. The similarity is
 estimated from both sketches by maximum likelihood; pairs five deviations below the threshold go, all others are
-verified on their full sets. With 40 bands of 5 registers a pair of similarity 0.8 shares no band once in 7 million.
+verified on their full sets, and one link of a class to a component is enough. With 40 bands of 5 registers a pair of similarity 0.8 shares no band once in 7 million.
 
 Cases: texts without words are empty sets, linked with nothing; a text with fewer words than a shingle is one shingle;
 long texts are read whole; equal ids are told apart by their texts; repeated rows are copies; an empty table gives no
@@ -195,55 +195,74 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         state = cut(state.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def band_key(band: int, registers: bytes) -> int:
+    """The key of a band: a hash of its registers and its number."""
+    return xxhash.xxh3_64_intdigest(registers[2 * ROWS * band : 2 * ROWS * (band + 1)], band) - (1 << 63)
+
+
 def buckets_of(classes: DataFrame, settings: Settings) -> DataFrame:
     """(key, node): the key of each band of each class."""
-    width = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(settings.bands)))
-    return classes.select("node", F.explode(keys).alias("key"))
+    bands = settings.bands
 
+    def run(batches):
+        for batch in batches:
+            keys = [[band_key(k, r) for k in range(bands)] for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
-def across(members: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of different components that share a bucket, each from the first band they share, if the estimate allows.
+    return classes.select("node", "registers").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
-    `members`: key, node, label, n, registers of the buckets with several components. Members outside the bucket's
-    largest component meet all others, in blocks of at most `BLOCK` by `BLOCK`, however large the bucket.
+
+def across(members: DataFrame, sketched: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    `members`: key, node and label of the buckets with several components; `sketched`: node, registers and values. Blocks
+    are dealt on ids alone, sketches and sets join last. Members outside the bucket's largest component meet all others, in blocks of at most `BLOCK` by `BLOCK`, however large the bucket. A pair
+    is judged in the first band that it shares, by its estimate and then on both full sets; of several links of a class
+    to a component in one block, the first is enough.
     """
     counts = members.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("size"))
     main = cut(main.select("key", F.col("main.label").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("mb"), F.ceil(F.greatest(F.col("size") - F.col("main.c"), F.lit(1)) / BLOCK).cast("int").alias("pb")))
     known = members.join(main, "key")
-    probe = known.filter("label != main")
     own = F.xxhash64("node")
     built = known.withColumn("i", F.pmod(own, F.col("mb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).withColumn("role", F.lit(0))
-    probes = probe.withColumn("j", F.pmod(own, F.col("pb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("role", F.lit(1))
-    columns = ["key", "i", "j", "role", "node", "label", "main", "n", "registers"]
-    least, ratio, bands = least_estimate(settings), settings.percent / 100, settings.bands
-    width = 2 * ROWS
+    probes = known.filter("label != main").withColumn("j", F.pmod(own, F.col("pb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("role", F.lit(1))
+    columns = ["key", "i", "j", "role", "node", "label", "main"]
+    least, percent, bands = least_estimate(settings), settings.percent, settings.bands
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         right, left = pdf[pdf.role == 0], pdf[pdf.role == 1]
         found = []
         if len(right) and len(left):
+            key = pdf.key.iloc[0]
             y = np.frombuffer(b"".join(right.registers), "<u2").reshape(len(right), -1)
-            node, label, n = right.node.to_numpy(), right.label.to_numpy(), right.n.to_numpy(float)
-            probes = (right.label != right.main).to_numpy()
-            common = np.arange(len(right))
-            for p, lab, m, raw in zip(left.node, left.label, left.n, left.registers, strict=True):
-                k = common[(label != lab) & (~probes | (node > p)) & (np.minimum(n, m) >= ratio * np.maximum(n, m) * (1 - 1e-12))]
+            node, label, sets = right.node.to_numpy(), right.label.to_numpy(), right["values"].to_list()
+            n = np.array([len(v) for v in sets], float)
+            probe = (right.label != right.main).to_numpy()
+            every = np.arange(len(right))
+            for p, own_label, raw, values in zip(left.node, left.label, left.registers, left["values"], strict=True):
+                m = float(len(values))
+                k = every[(label != own_label) & (~probe | (node > p)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
                 if not len(k):
                     continue
                 x = np.frombuffer(raw, "<u2")
                 same = (y[k] == x).reshape(len(k), bands, ROWS).all(2)
                 first = same.argmax(1)
-                value = similarity(np.broadcast_to(x, (len(k), len(x))), y[k], np.full(len(k), float(m)), n[k])
-                good = value >= least
-                found += [(min(p, q), max(p, q), f, v, raw[f * width : f * width + width]) for q, f, v in zip(node[k][good], first[good], value[good], strict=True)]
-        out = pd.DataFrame(found, columns=["a", "b", "band", "value", "part"])
-        out.insert(0, "key", pdf.key.iloc[0])
-        return out
-
-    pairs = built.select(*columns).unionByName(probes.select(*columns)).groupBy("key", "i", "j").applyInPandas(run, "key long, a long, b long, band int, value double, part binary")
-    return pairs.filter(F.col("key") == F.xxhash64("band", "part")).select("a", "b", "value")
+                here = np.array([band_key(f, raw) == key for f in range(bands)])
+                k = k[here[first] & same.any(1)]
+                value = similarity(np.broadcast_to(x, (len(k), len(x))), y[k], np.full(len(k), m), n[k])
+                done = set()
+                for q in k[value >= least][np.argsort(-value[value >= least], kind="stable")]:
+                    if label[q] in done:
+                        continue
+                    both = len(np.intersect1d(values, sets[q], assume_unique=True))
+                    if 100 * both >= percent * (m + n[q] - both):
+                        found.append((p, node[q]))
+                        done.add(label[q])
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    dealt = cut(built.select(*columns).unionByName(probes.select(*columns)))
+    return dealt.join(sketched, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -277,11 +296,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     wide = members.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     wide = cut(wide)
     mixed = cut(wide.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"))
-    wide = wide.join(mixed, "key").join(classes.select("node", "n", "registers"), "node")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(across(wide, settings).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
-    sets = cut(full_sets(docs, classes, more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), settings))
-    links = cut(links.unionByName(verified(more, sets, settings)))
+    wide = cut(wide.join(mixed, "key"))
+    sets = cut(full_sets(docs, classes, wide.select("node").distinct(), settings))
+    sketched = cut(classes.select("node", "registers").join(sets, "node"))
+    links = cut(links.unionByName(across(wide, sketched, settings).distinct()))
     labels = components(links, labels)
     named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     named = cut(named)
