@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import CACHED_CHARS, SEPARATORS, SPACE, WordCache
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, segment int, offset long, ids binary"
+SLICE = 256
+#: Words that one worker keeps encoded.
+KEPT_WORDS = 500_000
 SPACES = regex.compile(f"[{SPACE}]+")
 
 
@@ -53,7 +56,7 @@ class Encoder:
         self.parting = special[0] if special else None
         self.words = WordCache(lambda word: as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encodes many words at once, parted by a special token, which never joins its neighbours."""
         if self.parting is None:
             return
@@ -67,9 +70,11 @@ class Encoder:
             self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.trim()
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
         split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        self.learn(set().union(*split) - self.words.keys())
+        known = self.words
+        self.learn([w for w in set().union(*split) if w not in known])
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
@@ -169,10 +174,10 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
         own = encoder(path)
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         for batch in frames:
-            ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(ids), 256):
-                before = own.encode(prompts[at : at + 256]) if prompt else [b""] * len(ids[at : at + 256])
-                for doc_id, head, body in zip(ids[at : at + 256], before, own.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, batch.num_rows, SLICE):  # few texts at a time are Python's
+                ids, texts, prompts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                before = own.encode(prompts) if prompt else [b""] * len(ids)
+                for doc_id, head, body in zip(ids, before, own.encode(texts), strict=True):
                     packer.add(doc_id, head + body + end, len(head) // 4)
                 yield from rows(packer.taken())
         packer.close(0)
