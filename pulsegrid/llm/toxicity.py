@@ -188,8 +188,10 @@ def with_score(docs: DataFrame, scorer, name: str = "score") -> DataFrame:
     def run(batches):
         own = scorer()
         for batch in batches:
-            scores = own.scores([t or "" for t in batch.column(place).to_pylist()])
-            own.chunks.trim()
+            scores = []
+            for at in range(0, batch.num_rows, 512):  # few texts at a time are Python's
+                scores += own.scores([t or "" for t in batch.column(place).slice(at, 512).to_pylist()])
+                own.chunks.trim()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
     return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
