@@ -1,13 +1,16 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions alone.
 
-Patterns find the protected entities: email and IP addresses, card and phone numbers. A term that stands near an entity
-in at least `support` documents discloses a part of the entity's information: log2(P(entity | term) / P(entity)) over
-log2(1 / P(entity)), with probabilities counted over all documents. Terms that disclose at least `generalise` of it are
-replaced by a class, those at `remove` or more are removed, near that entity only.
-
-Cases: a null text is empty; long texts are searched whole; entities of one document alone disclose nothing by their
-neighbours; spans of one start are ordered by kind as listed; repeated rows get equal spans and count as documents of
-their own; an empty table gives no rows; other columns are kept by `sanitise`, and not read by `find`.
+Patterns find the protected entities: email and IP addresses, card and phone numbers. A term that stands in a document
+with an entity discloses a part of the entity's information: log2(P(entity | term) / P(entity)) over
+log2(1 / P(entity)), with probabilities counted over all documents. P(entity | term) is smoothed by `smoothing` more
+documents that hold the entity as often as all do, so that entities of one or two documents are judged too. Terms that
+disclose at least `generalise` of it are replaced by a class, those at `remove` or more are removed, in the entity's
+documents only.
+
+Cases: a null text is empty; long texts are searched whole; a term counts for a document that has it anywhere, in an
+address too, but is replaced outside entities alone; spans of one start are ordered by kind as listed; repeated rows get
+equal spans and count as documents of their own; an empty table gives no rows; other columns are kept by `sanitise`, and
+not read by `find`.
 """
 
 from __future__ import annotations
@@ -29,15 +32,14 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 KINDS = (*PATTERNS, "term")
-#: A term: letters, no part of an address or a longer name of letters and digits.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}(?![\p{L}\p{N}@])"
-NEAR = 120  # characters on each side of an entity
+#: A term: letters, no part of a longer name of letters and digits.
+TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}++(?![\p{N}@])"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    support: int = 3
+    smoothing: float = 2.0
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -96,58 +98,62 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.regexp_replace(F.lower(span["value"]), r"[\x20().-]", ""))
 
 
-def nearby(text: Column, spans: Column) -> Column:
-    """The terms beside each span as (entity, term, start, end), none that overlaps a base span."""
+def terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def beside(span):
-        left = F.greatest(span["start"] - NEAR, F.lit(0))
-        sides = (
-            located(F.substring(text, left + 1, span["start"] - left), TERM, len(PATTERNS), lambda hit: F.lit(True), left),
-            located(F.substring(text, span["end"] + 1, F.lit(NEAR)), TERM, len(PATTERNS), lambda hit: F.lit(True), span["end"]),
-        )
-        # a term at the edge of the window may be cut
-        whole = F.filter(F.concat(*sides), lambda t: ((t["start"] > left) | (left == 0)) & (t["end"] < span["end"] + NEAR))
-        free = F.filter(whole, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        return F.transform(free, lambda t: F.struct(entity(span).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.flatten(F.transform(spans, beside))
+def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, h, told): the terms of each document that disclose enough of one of its entities, with the most they do.
 
+    `found`: (doc_id, h, entities, terms) of the documents with entities. Pairs are made only of terms that could reach
+    `generalise` if all their documents with an entity had this one, and never beyond one document's own.
+    """
+    total = float(max(docs.count(), 1))
 
-def disclosures(docs: DataFrame, near: DataFrame, settings: Settings) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term discloses, for those that reach a threshold.
+    def given(n_te, n_t, p_e):
+        return (n_te + settings.smoothing * p_e) / (n_t + settings.smoothing)
+
+    def enough(n_te, n_e):
+        """Whether these counts reach `generalise`, or fail by no more than rounding."""
+        p_e = n_e / F.lit(total)
+        return given(n_te, F.col("n_t"), p_e) >= F.pow(p_e, F.lit(1 - settings.generalise)) * (1 - 1e-9)
 
-    `near`: (doc_id, h, entity, term) of all documents.
-    """
-    per_entity = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= settings.support)
-    joint = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= settings.support)
-    joint = cut(joint.join(per_entity, "entity"))
     # each task adds up its own words before the shuffle; what is joined is one row a term
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = float(max(docs.count(), 1))
-    ic = F.log2(F.lit(total) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * total / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return joint.join(counts, "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= settings.generalise)
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    beside = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_b"))
+    n_e = cut(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")))
+    # the easiest case: an entity of one document against the term beside any entity
+    possible = (F.col("n_b") + settings.smoothing) / (F.col("n_t") + settings.smoothing) >= F.lit((1 / total) ** (1 - settings.generalise) * (1 - 1e-9))
+    rare = beside.join(counts, "term").filter(possible).select("term", "n_t")
+    by_term = salted_join(found.select("doc_id", "h", "entities", F.explode("terms").alias("term")), rare, ["term"], ["doc_id", "h"], salts=16)
+    pairs = salted_join(by_term.select("doc_id", "h", F.explode("entities").alias("entity"), "term", "n_t"), n_e, ["entity"], ["doc_id", "h", "term"], salts=16)
+    pairs = cut(pairs.filter(enough(F.least("n_t", "n_e"), F.col("n_e"))))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+    p_e = F.col("n_e") / F.lit(total)
+    share = F.when(p_e < 1, F.log2(given(F.col("n_te"), F.col("n_t"), p_e) / p_e) / F.log2(1 / p_e)).otherwise(0.0)
+    told = joint.select("entity", "term", share.alias("share")).filter(F.col("share") >= settings.generalise)
+    of_doc = salted_join(pairs.select("doc_id", "h", "entity", "term"), told, ["entity", "term"], ["doc_id", "h"], salts=16)
+    most = of_doc.groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
+    return most.groupBy("doc_id", "h").agg(F.collect_list(F.struct("term", "share")).alias("told"))
 
 
 def find(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, h (hash of the text), base and added spans of each document; added ones carry the share they disclose."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans(F.col("text")).alias("base"))
-    found = cut(found.select("doc_id", "h", "base", F.when(F.size("base") > 0, nearby(F.col("text"), F.col("base"))).alias("near")))
-    near = found.select("doc_id", "h", F.explode("near").alias("t")).select("doc_id", "h", "t.*")
-    disclosing = cut(disclosures(texts, near, settings))
-    added = (
-        salted_join(near, disclosing, ["entity", "term"], ["doc_id", "h"], salts=16)
-        .groupBy("doc_id", "h", "start", "end")
-        .agg(F.max("share").alias("share"))
-        .groupBy("doc_id", "h")
-        .agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("kind"), "end", "share"))).alias("added"))
-    )
+    has = F.size("base") > 0
+    # texts without an entity are not needed again
+    found = cut(found.select("doc_id", "h", "base", F.when(has, F.col("text")).alias("text"), F.when(has, terms(F.col("text"))).alias("terms")))
+    judged = found.filter(has).select("doc_id", "h", "terms", F.array_distinct(F.transform("base", entity)).alias("entities"))
+    told = disclosures(texts, judged, settings).withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
+    joined = found.select("doc_id", "h", "base", "text").join(told, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    share_of = F.map_from_entries("told")
+    places = located(F.col("text"), TERM, len(PATTERNS), lambda hit: F.array_contains(F.col("told")["term"], F.lower(hit)))
+    free = F.filter(places, lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    added = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"), F.element_at(share_of, F.lower(t["value"])).alias("share")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,share:double>>")
-    joined = found.select("doc_id", "h", "base").join(added.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
-    return joined.select("doc_id", "h", "base", F.coalesce("added", none).alias("added"))
+    return joined.select("doc_id", "h", "base", F.when(F.col("told").isNotNull(), added).otherwise(none).alias("added"))
 
 
 def written(spans: Column) -> Column:

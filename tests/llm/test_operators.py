@@ -1,6 +1,7 @@
 """Operators on small tables with every odd case: nulls, empties, long texts, ties, repeated rows, clashing columns."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -168,6 +169,31 @@ def test_sanitising(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_terms_beside_entities_of_one_document(spark):
+    far = "common words " * 40
+    rows = [(0, f"Zyx ombersley {far}bo.ray@mail.example.com common words Ombersley", "en", "s", 1)]
+    rows += [(1 + k, f"{far}here {'cy.dent@mail.example.com' if k < 2 else ''} {'quillfeather' if k < 2 else ''}", "en", "s", 1) for k in range(999)]
+    df = spark.createDataFrame(rows, DOCS)
+    texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert texts[0] == f"<TERM> <TERM> {far}<EMAIL> common words <TERM>"  # far off, and of three letters
+    assert "quillfeather" not in texts[1] + texts[2] and texts[3] == rows[3][1]
+    # brute force on random texts
+    rng = random.Random(9)
+    rows = [(k, " ".join([*rng.choices([f"{a}{b}" for a in "abcdefgh" for b in "klmnopq"], k=rng.randrange(1, 12)), *rng.sample(["a@b.cc", "d@e.ff", "10.0.0.1"], rng.choice([0, 0, 1, 2]))]), "en", "s", 1) for k in range(150)]
+    settings = pii.Settings(generalise=0.35, remove=0.6)
+    sets = [(set(w for w in t.split() if w.isalpha()), set(w for w in t.split() if not w.isalpha())) for _, t, *_ in rows]
+    for (doc, text, *_), got in zip(rows, sorted(pii.find(spark.createDataFrame(rows, DOCS), settings).collect(), key=lambda r: r.doc_id), strict=True):
+        expected = {}
+        for word in sets[doc][0]:
+            for e in sets[doc][1]:
+                p = sum(e in es for _, es in sets) / 150
+                n, both = sum(word in ws for ws, _ in sets), sum(word in ws and e in es for ws, es in sets)
+                expected[word] = max(expected.get(word, 0), math.log2((both + 2 * p) / (n + 2) / p) / math.log2(1 / p))
+        kept = {w: x for w, x in expected.items() if x >= 0.35}
+        assert {text[s.start : s.end]: round(s.share, 9) for s in got.added} == {w: round(x, 9) for w, x in kept.items()}
+        assert len(got.added) == sum(w in kept for w in text.split())
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 6)]) for k in range(300)]
