@@ -531,6 +531,13 @@ def history_csv(spark, sf_dir):
     return reports.history_lines(rows.withColumn("snr_db", F.col("bpm") * 2))
 
 
+@query(f"""WITH {HISTORY}, c AS (SELECT *, CAST(bpm AS DECIMAL(18, 6)) AS d, CAST(bpm * 2 AS DECIMAL(18, 6)) AS d2 FROM h)
+  SELECT id, strftime(ts, '%d/%m/%Y;%H:%M:%S;') || person || ';' || replace(CAST(round(d, 1) AS VARCHAR), '.', ',') || ';' || replace(CAST(round(d2, 1) AS VARCHAR), '.', ',') || ';' || confidence || ';' || regexp_replace(note, '[;\\r\\n]+', ' ', 'g') AS line FROM c""")
+def history_csv_whole(spark, sf_dir):
+    """Every record of the history; halves of the last shown digit go up, as decimals do in both engines."""
+    return reports.history_lines(as_history(spark, sf_dir).withColumn("snr_db", F.col("bpm") * 2))
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def history_json(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")

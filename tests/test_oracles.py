@@ -32,6 +32,10 @@ def test_query_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, expected, check_dtype=False, rtol=0, atol=1e-9)
 
 
+def test_history_is_exported_whole(spark, duck):
+    assert core.QUERIES["history_csv_whole"](spark, SF).count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 @pytest.mark.parametrize("name", [n for n in core.QUERIES if n not in core.SQL])
 def test_query_without_sql_runs(spark, name):
     assert core.QUERIES[name](spark, SF).count() > 0
