@@ -105,30 +105,35 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     sums = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     aims = targets(sums.select("key", "source_size"), float(cap)).join(sums.select("key", "n"), "key")
     state = tilts(sizes, aims, float(cap)).select("key", "source_size", "target", "mean", "lam")
+    # a source's documents are dealt by a hash to about as many buckets as one has documents
+    state = cut(state.join(sums.select("key", F.ceil(F.sqrt("n")).alias("buckets")), "key"))
     rated = salted_join(sized, state, ["key"], ["doc_id", "size"])
     z = F.when(F.col("mean") > 0, F.col("size") / F.nullif(F.col("mean"), F.lit(0.0))).otherwise(0.0)
     full = F.col("target") >= F.col("source_size") * float(cap)
     rate = F.when(full, F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(tilted(F.round("lam", 9) * z, float(cap)))
     rated = rated.withColumn("rate", rate).withColumn("copies", F.least(F.lit(cap), F.floor(F.col("rate") + even("doc_id", "size"))).cast("int"))
-    light = rated.groupBy("key").agg(
+    rated = rated.withColumn("_turn", even(F.lit("turn"), "doc_id", "size")).withColumn("_bucket", F.floor(F.col("_turn") * F.col("buckets")))
+    light = rated.groupBy("key", "_bucket").agg(
         F.sum(F.col("copies") * F.col("size")).alias("got"),
         F.sum(F.when(F.col("copies") < cap, F.col("size")).otherwise(0)).alias("more"),
         F.sum(F.when(F.col("copies") > 0, F.col("size")).otherwise(0)).alias("less"),
-        F.count("*").alias("of"),
-    )
-    gap = cut(
-        light.join(state.select("key", "target"), "key").select(
-            "key", (F.round("target").cast("long") - F.col("got")).alias("gap"), F.when(F.round("target") > F.col("got"), F.col("more")).otherwise(F.col("less")).alias("room"), "of"
-        )
     )
+    light = light.join(state.select("key", "target"), "key").withColumn("gap", F.round("target").cast("long") - F.sum("got").over(Window.partitionBy("key")))
+    room = F.when(F.col("gap") > 0, F.col("more")).otherwise(F.col("less"))
+    by_bucket = Window.partitionBy("key").orderBy("_bucket")
+    light = light.withColumn("room", room).withColumn("upto", F.sum("room").over(by_bucket))
+    # whole buckets meet the gap up to the last, which meets what they leave
+    reached = F.when(F.col("upto") >= F.abs("gap"), F.struct("_bucket", (F.abs("gap") - F.col("upto") + F.col("room")).alias("rest")))
+    gap = light.groupBy("key").agg(F.first("gap").alias("gap"), F.min(reached).alias("_last"))
+    gap = cut(gap.select("key", "gap", F.col("_last._bucket").alias("_last"), F.col("_last.rest").alias("_rest")))
     rated = salted_join(rated, gap, ["key"], ["doc_id", "size"])
     able = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap).when(F.col("gap") < 0, F.col("copies") > 0).otherwise(False)
-    # three times the gap in words, expected; all of a source of few documents
-    share = F.when(F.col("of") <= 200, F.lit(2.0)).otherwise(3.0 * F.abs("gap") / F.greatest("room", F.lit(1)) + 60.0 / F.col("of"))
-    rated = rated.withColumn("_turn", even(F.lit("turn"), "doc_id", "size")).withColumn("_may", able & (F.col("_turn") < share))
-    settled = rated.filter(~F.col("_may")).withColumn("extra_words", F.lit(0).cast("long"))
+    sign = F.signum("gap").cast("int")
+    rated = rated.withColumn("_able", able).withColumn("_may", F.col("_able") & F.coalesce(F.col("_bucket") == F.col("_last"), F.lit(False)))
+    whole = F.col("_able") & (F.col("_last").isNull() | (F.col("_bucket") < F.col("_last")))
+    settled = rated.filter(~F.col("_may")).withColumn("copies", F.when(whole, F.col("copies") + sign).otherwise(F.col("copies"))).withColumn("extra_words", F.lit(0).cast("long"))
     in_turn = Window.partitionBy("key").orderBy("_turn", "doc_id", "size")
-    step = F.greatest(F.lit(0), F.least(F.col("size"), F.abs("gap") - (F.sum("size").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))))
+    step = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - (F.sum("size").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))))
     turned = rated.filter("_may").withColumn("_step", step * F.signum("gap").cast("long"))
     taken = F.col("copies") * F.col("size") + F.col("_step")
     turned = turned.withColumn("_taken", taken).withColumn("copies", F.floor(F.col("_taken") / F.nullif(F.col("size"), F.lit(0))).cast("int")).withColumn("extra_words", F.col("_taken") - F.col("copies") * F.col("size")).drop("_step", "_taken")

@@ -90,6 +90,16 @@ def test_mixing_reaches_its_targets(docs, empty, odd):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_reaches_its_targets_beside_one_long_text(spark):
+    rows = [(1001 * s + k, "w " * (5000 + 150 * s if k == 0 else 1 + k % 3), "en", f"s{s:02}", 1) for s in range(36) for k in range(1001)]
+    sums, aims = collections.Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect():
+        assert 0 <= r.taken <= 3 * r["size"] and r.taken == r.copies * r["size"] + r.extra_words
+        sums[r.source] += r.taken
+        aims[r.source] = r.target
+    assert all(abs(sums[s] - aim) <= 0.5 + 1e-6 for s, aim in aims.items())
+
+
 def test_targets_are_water_filled(spark):
     table = spark.createDataFrame([("sa", 10), ("sb", 1000), ("sc", 20), ("sd", 5), ("n", 100)], "key string, source_size long")
     got = {r.key: r.target for r in mixing.targets(table, 3.0).collect()}
