@@ -35,13 +35,12 @@ FLUSH_WORDS = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """`grams` and `languages` bound the text model; `pull` is the weight of the level above in a smoothed prior.
+    """`grams` bounds what workers hold of the text model; `pull` is the weight of the level above in a smoothed prior.
 
     Trigrams of a text aren't independent: their mean log-likelihood counts for at most `trusted` of them.
     """
 
     grams: int = 20_000
-    languages: int = 64
     pull: float = 5.0
     trusted: float = 60.0
 
@@ -79,53 +78,95 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class TextModel:
-    """Log-likelihoods of trigrams, one column a language; at most `Settings.grams` rows."""
+    """Log-likelihoods of trigrams: the most frequent ones in a table, one column a language, the others in `rest`.
+
+    `unseen`: the log-likelihoods of a trigram that a language lacks. `rest` (gram, place, n) is None if it is empty.
+    """
 
     languages: list[str]
     table: dict[str, np.ndarray]
+    unseen: list[float]
+    rest: DataFrame | None
 
     @staticmethod
     def train(docs: DataFrame, settings: Settings) -> TextModel:
         counts = cut(gram_counts(docs))
-        totals = sorted((r.lang, r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect())
+        totals = sorted((r.lang, r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # a row a language
         languages = [lang for lang, _ in totals]
-        top = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(settings.grams)
-        found = np.zeros((settings.grams, len(languages)))
+        grams = counts.groupBy("gram").agg(F.sum("n").alias("all"))
+        kinds = grams.count()
+        held = min(settings.grams, max(1, settings.grams * 64 // max(1, len(languages))))  # many languages make long rows
+        top = cut(grams.orderBy(F.desc("all"), "gram").limit(held).select("gram"))
+        at = {lang: k for k, lang in enumerate(languages)}
+        found = np.zeros((min(held, kinds), len(languages)))
         place: dict[str, int] = {}
-        for r in counts.filter(F.col("lang").isin(languages)).join(F.broadcast(top), "gram").select("lang", "gram", "n").collect():
-            found[place.setdefault(r.gram, len(place)), languages.index(r.lang)] += r.n
-        found = found[: len(place)]
-        logs = np.log((found + 0.5) / (np.array([n for _, n in totals], float) + 0.5 * max(1, len(place))))
-        return TextModel(languages, {g: logs[k] for g, k in place.items()})
+        for r in counts.join(F.broadcast(top), "gram").select("lang", "gram", "n").collect():
+            found[place.setdefault(r.gram, len(place)), at[r.lang]] += r.n
+        each = np.array([n for _, n in totals], float) + 0.5 * max(1, kinds)
+        logs = np.log((found + 0.5) / each)
+        rest = None
+        if kinds > held:
+            names = F.array(*map(F.lit, languages))
+            rest = counts.join(F.broadcast(top), "gram", "left_anti").select("gram", F.array_position(names, F.col("lang")).cast("int").alias("place"), "n")
+        return TextModel(languages, {g: logs[k] for g, k in place.items()}, np.log(0.5 / each).tolist(), rest)
 
     def likelihoods(self, pages: DataFrame, settings: Settings) -> DataFrame:
         """`pages` with `p`, the posterior of each language from the text alone under even priors."""
-        languages, table, trusted = self.languages, self.table, settings.trusted
+        languages, table, more = self.languages, self.table, self.rest is not None
 
         def evidence(word):
-            rows = [table[g] for g in trigrams(word) if g in table]
-            return np.append(np.sum(rows, 0), len(rows)) if rows else None
+            grams = trigrams(word)
+            rows = [table[g] for g in grams if g in table]
+            return np.append(np.sum(rows, 0), len(rows)) if rows else None, [g for g in grams if g not in table] if more else []
 
         def run(batches):
             words = WordCache(evidence)
             for batch in batches:
-                out = []
+                sums, others = [], []
                 for page in batch.column(batch.num_columns - 1):
                     seen = Counter(WORD.findall(entities.unescape(HIDDEN.sub(" ", page.as_py() or "")).lower()))
-                    total = np.zeros(len(languages) + 1)
+                    total, other = np.zeros(len(languages) + 1), Counter()
                     for word, n in seen.items():
-                        if (e := words[word]) is not None:
+                        e, grams = words[word]
+                        if e is not None:
                             total += n * e
-                    logs = total[:-1] / max(total[-1], 1.0) * min(total[-1], trusted)
-                    p = np.exp(logs - logs.max())
-                    out.append((p / p.sum()).tolist())
+                        for g in grams:
+                            other[g] += n
+                    sums.append(total.tolist())
+                    others.append(list(other.items()))
                 if len(words) > 200_000:
                     words.clear()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "p"])
+                made = [pa.array(sums, pa.list_(pa.float64())), pa.array(others, pa.map_(pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "_sums", "_others"])
 
         names = [f for f in pages.schema.fields if f.name != "html"]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-        return pages.select(*(f.name for f in names), "html").mapInArrow(run, f"{schema}, p array<double>")
+        made = pages.select(*(f.name for f in names), "html").mapInArrow(run, f"{schema}, _sums array<double>, _others map<string,bigint>")
+        size = len(languages)
+        if more:
+            made = cut(made.withColumn("_id", F.monotonically_increasing_id()))
+            # page trigrams, added up in their page, meet the rest of the table; place 0 counts those that it has
+            asked = made.select("_id", F.explode("_others").alias("gram", "times"))
+            wide = self.rest.groupBy("gram").agg(F.collect_list(F.struct("place", F.log((F.col("n") + 0.5) / 0.5).alias("x"))).alias("ls"))
+            zero = F.array(F.struct(F.lit(0).alias("place"), F.lit(1.0).alias("x")))
+            met = salted_join(asked, wide, ["gram"], ["_id"], salts=16).select("_id", "times", F.explode(F.concat(zero, "ls")).alias("l"))
+            added = met.groupBy("_id", F.col("l.place").alias("place")).agg(F.sum(F.col("times") * F.col("l.x")).alias("x"))
+            added = added.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("_added"))
+            made = made.join(added, "_id", "left")
+            unseen = F.array(*map(F.lit, self.unseen))
+
+            def of(k):
+                return F.coalesce(F.try_element_at("_added", k), F.lit(0.0))
+
+            whole = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.element_at("_sums", k) + of(F.lit(0)) * F.element_at(unseen, k) + of(k))
+            made = made.withColumn("_n", F.element_at("_sums", size + 1) + of(F.lit(0))).withColumn("_sums", whole)
+        else:
+            made = made.withColumn("_n", F.element_at("_sums", size + 1)).withColumn("_sums", F.slice("_sums", 1, size))
+        scale = F.least("_n", F.lit(settings.trusted)) / F.greatest("_n", F.lit(1.0))
+        likely = F.transform("_sums", lambda x: F.exp((x - F.array_max("_sums")) * scale))
+        made = made.withColumn("p", likely)
+        total = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + x)
+        return made.withColumn("p", F.transform("p", lambda x: x / total)).select(*(f.name for f in names), "p")
 
 
 def described(pages: DataFrame) -> DataFrame:

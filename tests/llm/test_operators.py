@@ -243,6 +243,18 @@ def test_language_of_pages(spark, empty):
     assert langid.identify(spark.createDataFrame([], "page_id long, url string, html string"), corpus).count() == 0
 
 
+def test_rare_trigrams_and_many_languages_count(spark):
+    rng = random.Random(6)
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(4))
+    corpus = spark.createDataFrame([(k, " ".join(word(k) for _ in range(2000 if k == 0 else 30)), f"l{k:02}", "s", 1) for k in range(66)], DOCS)
+    pages = spark.createDataFrame([(k, None, f"<p>{' '.join(word(k) for _ in range(200))}</p>") for k in range(0, 66, 5)], "page_id long, url string, html string")
+    small, whole = (langid.TextModel.train(corpus, langid.Settings(grams=g)) for g in (50, 1_000_000))
+    assert len(small.table) == 48 and small.rest is not None and whole.rest is None and len(whole.languages) == 66
+    found = [sorted(m.likelihoods(pages, langid.Settings()).collect(), key=lambda r: r.page_id) for m in (small, whole)]
+    for a, b in zip(*found, strict=True):
+        assert np.allclose(a.p, b.p, rtol=1e-9, atol=1e-12) and int(np.argmax(a.p)) == a.page_id
+
+
 def test_pipeline_drops_copies_and_toxic_texts(spark, tmp_path):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
