@@ -2,40 +2,48 @@
 
 Each pending segment is a vector of three demands; the open sequence takes the one whose demand has the largest dot
 product with what is left of its limits. When none fits whole, the largest pending segment is cut to fill the sequence.
+Segments of equal demand wait in one line, so a choice costs as much as there are different demands.
 
 Cases: a null text is empty and holds the end id alone; long texts are cut into as many pieces as it takes; equal
-scores go to the earlier segment; repeated rows are packed once for each row; an empty table gives no rows; columns
-other than the id, text and prompt are not read.
+scores go to the demand that came first, and in it to the earliest segment; repeated rows are packed once for each row;
+an empty table gives no rows; columns other than the id, text and prompt are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+from collections import deque
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHED_CHARS, SEPARATORS, SPACE, WordCache
+from .common import CACHED_CHARS
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, segment int, offset long, ids binary"
-SLICE = 256
-#: Words that one worker keeps encoded.
+#: Texts that are encoded at a time.
+SLICE = 1024
+#: Words of one generation of a worker's cache; two generations are held, some 200 bytes a word.
 KEPT_WORDS = 500_000
-SPACES = regex.compile(f"[{SPACE}]+")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence holds at most. `min_cut`: a cut leaves no shorter piece in the sequence it fills."""
+    """What one sequence holds at most. `min_cut`: a cut leaves no shorter piece in the sequence it fills.
+
+    Unless lower, the limit of segments never binds before that of tokens, so texts of one token fill sequences too.
+    """
 
     tokens: int = 2048
-    segments: int = 512
+    segments: int = 2048
     loss_tokens: int = 2048
     min_cut: int = 4
 
@@ -46,36 +54,103 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Identifiers of texts as little-endian unsigned 32-bit bytes; white space parts words that encode alone."""
+    """Identifiers of texts as little-endian unsigned 32-bit bytes; white space parts words that encode alone.
+
+    A slice of texts is split in one go, and each different word is looked up once.
+    Words of Latin-1 characters are as they are in normal form C, so they are lower-cased and parted here, where the
+    tokenizer's settings say just that, and go through its model in long lists; all others go through the library.
+    Two generations of words are kept: once the younger is full, the older goes; words in use move to the younger.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.parting = special[0] if special else None
-        self.words = WordCache(lambda word: as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids))
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes many words at once, parted by a special token, which never joins its neighbours."""
-        if self.parting is None:
-            return
-        mark, number = self.parting
-        fresh = [w for w in words if mark not in w and len(w) <= CACHED_CHARS]
-        lists = [fresh[at : at + 500] for at in range(0, len(fresh), 500)]
-        for part, e in zip(lists, self.tokenizer.encode_batch_fast([mark.join(p) for p in lists], add_special_tokens=False), strict=True):
-            ids = np.array([*e.ids, number], "<u4")
-            ends = (np.flatnonzero(ids == number) * 4).tolist()
-            raw = ids.tobytes()
-            self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        # what the library treats apart: added tokens, and separators that aren't white space to it
+        self.apart = regex.compile("|".join(["[\x1c-\x1f]", *(regex.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())]))
+        with open(path, encoding="utf-8") as f:
+            self.pieces = self.pattern(json.load(f))
+        if self.pieces is not None:
+            self.model = Tokenizer(self.tokenizer.model)
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            hidden = [b for b in range(256) if b not in shown]
+            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {10: "\n"}
+
+    @staticmethod
+    def pattern(said: dict):
+        """The pattern of the pieces of a word, if the tokenizer lower-cases, splits by a pattern and maps bytes."""
+        steps = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
+        parts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
+            return None
+        if not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or said.get("post_processor") is not None:
+            return None
+        return regex.compile(parts[0]["pattern"]["Regex"])
+
+    def alone(self, word: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def learned(self, fresh: list[str]) -> list[bytes]:
+        """The identifiers of different words."""
+        if self.pieces is None:
+            return list(map(self.alone, fresh))
+        try:
+            "".join(fresh).encode("latin-1")
+        except UnicodeEncodeError:
+            fits = [max(w) <= "\xff" for w in fresh]
+            rest = iter(self.learned([w for w, ok in zip(fresh, fits, strict=True) if ok]))
+            return [next(rest) if ok else self.alone(w) for w, ok in zip(fresh, fits, strict=True)]
+        if not fresh:
+            return []
+        low = "\n".join(fresh).lower()
+        odd = self.apart.search(low) is not None
+        find, search = self.pieces.findall, self.apart.search
+        parted = [[w] if w.isalpha() else () if odd and search(w) else find(w) for w in low.split("\n")]
+        place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(parted)))}
+        known: list[bytes] = []
+        names = list(place)
+        for at in range(0, len(names), 4096):
+            part = names[at : at + 4096]
+            found = self.model.encode("\n".join(part).encode().decode("latin-1").translate(self.letters).split("\n"), is_pretokenized=True, add_special_tokens=False)
+            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            known += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [known[place[own[0]]] if len(own) == 1 else b"".join([known[place[p]] for p in own]) if own else self.alone(w) for w, own in zip(fresh, parted, strict=True)]
+
+    def values(self, names: list[str]) -> list[bytes]:
+        """The identifiers of different words, from the cache where it has them."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        split = [SPACES.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        known = self.words
-        self.learn([w for w in set().union(*split) if w not in known])
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            self.old, self.words = self.words, {"": b""}
+        found = list(map(self.words.get, names))
+        lacking = [k for k, v in enumerate(found) if v is None]
+        older = list(map(self.old.get, [names[k] for k in lacking]))
+        fresh = [names[k] for k, v in zip(lacking, older, strict=True) if v is None]
+        made = iter(self.learned(fresh))
+        for k, v in zip(lacking, older, strict=True):
+            found[k] = value = next(made) if v is None else v
+            if len(names[k]) <= CACHED_CHARS:
+                self.words[names[k]] = value
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        values = self.values(coded.dictionary.to_pylist())
+        if not values:
+            return [b""] * len(texts)
+        # objects lie scattered, so identifiers are gathered from one array
+        ids, which = np.frombuffer(b"".join(values), "<u4"), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        each = sizes[which]
+        ends = np.cumsum(each)
+        kind = np.int32 if ends[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64
+        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - ends + each).astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
+        gathered = ids[at].tobytes()
+        bounds = (np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())] * 4).tolist()
+        return [gathered[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -84,11 +159,13 @@ def encoder(path: str) -> Encoder:
 
 
 class Packer:
-    """Packs a stream of documents; at most `window` segments wait at any time."""
+    """Packs a stream of documents; at most `window` sequences' worth of tokens wait at any time."""
 
-    def __init__(self, limits: Limits, first_id: int, window: int = 512):
-        self.limits, self.next_id, self.window = limits, first_id, window
-        self.waiting: list[tuple] = []  # (doc_id, ids, start, length, tokens of the document, ids before its loss begins)
+    def __init__(self, limits: Limits, first_id: int, window: int = 64):
+        self.limits, self.next_id = limits, first_id
+        self.most = window * limits.tokens
+        self.waiting = 0  # tokens
+        self.lines: dict[tuple[int, int], deque] = {}  # (tokens, loss): segments of doc_id, ids, start, tokens, those of the document, ids before its loss begins
         self.out: list[tuple] = []
         self.full = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
 
@@ -96,6 +173,13 @@ class Packer:
         """How many ids from `start` fit into so many tokens, of which so many bear loss."""
         return min(tokens, max(0, prompt - start) + loss)
 
+    def wait(self, item: tuple) -> tuple[int, int]:
+        _, _, start, n, _, prompt = item
+        demand = n, n - min(n, max(0, prompt - start))
+        self.lines.setdefault(demand, deque()).append(item)
+        self.waiting += n
+        return demand
+
     def add(self, doc_id, ids: bytes, prompt: int) -> None:
         total = len(ids) // 4
         start = 0
@@ -104,10 +188,10 @@ class Packer:
             if n == self.limits.tokens:
                 self.emit([(doc_id, ids, start, n, total, prompt)])
             else:
-                self.waiting.append((doc_id, ids, start, n, total, prompt))
+                self.wait((doc_id, ids, start, n, total, prompt))
             start += n
-        if len(self.waiting) >= self.window:
-            self.close(self.window // 2)
+        if self.waiting >= self.most:
+            self.close(self.most // 2)
 
     def emit(self, segments: list[tuple]) -> None:
         offset = 0
@@ -118,37 +202,51 @@ class Packer:
         self.next_id += 1
 
     def close(self, leave: int) -> None:
-        """Fills sequences until at most `leave` segments wait."""
-        items = self.waiting
-        demand = np.array([[n, 1, n - min(n, max(0, p - s))] for _, _, s, n, _, p in items], float).reshape(-1, 3)
-        open_ = np.ones(len(items), bool)
-        waiting = len(items)
-        while waiting > leave:
+        """Fills sequences until at most `leave` tokens wait."""
+        kinds = list(self.lines)
+        place = {k: i for i, k in enumerate(kinds)}
+        demand = np.array([(n, 1, loss) for n, loss in kinds], float).reshape(-1, 3)
+        count = np.array([len(self.lines[k]) for k in kinds])
+        while self.waiting > leave:
             room, chosen = self.full.copy(), []
-            while room[0] > 0 and room[1] > 0 and waiting:
-                score = np.where(open_ & (demand <= room).all(1), (demand / self.full) @ (room / self.full), -1.0)
-                k = int(score.argmax())
-                if score[k] > 0:
-                    chosen.append(items[k])
-                    room -= demand[k]
-                    open_[k] = False
-                    waiting -= 1
-                    continue
-                k = int(np.where(open_, demand[:, 0], -1).argmax())
-                doc_id, ids, start, n, total, prompt = items[k]
-                take = min(self.fitting(start, prompt, int(room[0]), int(room[2])), n)
-                if take < min(self.limits.min_cut, n):
+            scaled = demand / self.full
+            while room[0] > 0 and room[1] > 0:
+                fits = np.flatnonzero((count > 0) & (demand <= room).all(1))
+                if not len(fits):
                     break
-                chosen.append((doc_id, ids, start, take, total, prompt))
-                if take == n:
-                    open_[k] = False
-                    waiting -= 1
-                else:
-                    items[k] = (doc_id, ids, start + take, n - take, total, prompt)
-                    demand[k] = n - take, 1, (n - take) - min(n - take, max(0, prompt - start - take))
-                break
+                score = scaled[fits] @ (room / self.full)
+                best = int(score.argmax())
+                k = fits[best]
+                times = min(count[k], int((room[demand[k] > 0] // demand[k][demand[k] > 0]).min()))
+                if times > 1:  # it stays the best until another, which loses less by each, draws level
+                    loses = scaled[fits] @ scaled[k]
+                    slower = loses < loses[best] - 1e-15
+                    if slower.any():
+                        times = min(times, 1 + int(((score[best] - score[slower]) / (loses[best] - loses[slower])).min()))
+                line = self.lines[kinds[k]]
+                chosen += [line.popleft() for _ in range(times)]
+                self.waiting -= times * kinds[k][0]
+                room -= times * demand[k]
+                count[k] -= times
+            if room[0] > 0 and room[1] > 0 and self.waiting:
+                k = int(np.where(count > 0, demand[:, 0], -1).argmax())
+                doc_id, ids, start, n, total, prompt = self.lines[kinds[k]][0]
+                take = min(self.fitting(start, prompt, int(room[0]), int(room[2])), n)
+                if take >= min(self.limits.min_cut, n):
+                    self.lines[kinds[k]].popleft()
+                    count[k] -= 1
+                    self.waiting -= n
+                    chosen.append((doc_id, ids, start, take, total, prompt))
+                    if take < n:
+                        rest = self.wait((doc_id, ids, start + take, n - take, total, prompt))
+                        if rest in place:
+                            count[place[rest]] += 1
+                        else:
+                            place[rest] = len(kinds)
+                            kinds.append(rest)
+                            demand, count = np.vstack([demand, (rest[0], 1, rest[1])]), np.append(count, 1)
             self.emit(chosen)
-        self.waiting = [items[k] for k in np.flatnonzero(open_)]
+        self.lines = {k: line for k, line in self.lines.items() if line}
 
     def taken(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -175,9 +273,9 @@ def pack(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1,
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         for batch in frames:
             for at in range(0, batch.num_rows, SLICE):  # few texts at a time are Python's
-                ids, texts, prompts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                ids, texts, prompts = batch.slice(at, SLICE).columns
                 before = own.encode(prompts) if prompt else [b""] * len(ids)
-                for doc_id, head, body in zip(ids, before, own.encode(texts), strict=True):
+                for doc_id, head, body in zip(ids.to_pylist(), before, own.encode(texts), strict=True):
                     packer.add(doc_id, head + body + end, len(head) // 4)
                 yield from rows(packer.taken())
         packer.close(0)
