@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,18 +48,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; one is set only where none is."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; one is made only in local mode, as in tests."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    context = sc._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/checkpoints/pulsegrid")
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="pulsegrid-")
+        sc.setCheckpointDir(named)
+    return context.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder: later plans start there, also after an executor is lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written as a table in the shared folder: later plans start there, also after an executor is lost.
+
+    The table goes with the application, or earlier by `drop`.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(folder.toString())
+    return spark.read.schema(df.schema).parquet(folder.toString())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by `cut` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("cut-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:

@@ -3,8 +3,8 @@
 A document is the set of its word shingles. Each of `registers` hash functions keeps the least value over the set,
 truncated on an exponential scale of base 1.001; registers merge by their maximum and are equal about as often as the
 Jaccard similarity says. Documents of equal sets are one class. Five registers make a band; classes that share a band
-meet in a bucket. There each class is compared with the bucket's hub, found by the key so that hubs differ between
-bands; what is not linked by then is compared within its buckets, in blocks, across components. The similarity is
+meet in a bucket. There each class is compared with the bucket's hub, its least class, so best links make a forest;
+what is not linked by then is compared within its buckets, in blocks, across components. The similarity is
 estimated from both sketches by maximum likelihood; pairs five deviations below the threshold go, all others are
 verified on their full sets, and one link of a class to a component is enough. With 40 bands of 5 registers a pair of similarity 0.8 shares no band once in 7 million.
 
@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 BASE = 1.001
 RATE = 20.0
 MOST = 65534
 ROWS = 5
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 DEVIATIONS = 5.0
 
 
@@ -75,8 +76,13 @@ def sketch(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(gap, 1e-300)) / np.log(BASE)), 0, MOST + 1).astype("<u2")
 
 
+def node_of(values: np.ndarray) -> int:
+    """The name of the class of documents that have this set."""
+    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+
+
 def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, h (hash of the text), n (shingles), node (the class of equal sets) and the registers of each document."""
+    """doc_id, h (hash of the text), n (shingles), node (the class of equal sets) and registers."""
     words, factors = settings.words, multipliers(settings)
 
     def run(batches):
@@ -84,8 +90,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
             out = []
             for text in batch.column(2):
                 values = shingles(text.as_py() or "", words)
-                node = xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
-                out.append((len(values), node, sketch(values, factors).tobytes() if len(values) else b""))
+                out.append((len(values), node_of(values), sketch(values, factors).tobytes() if len(values) else b""))
             columns = list(zip(*out, strict=True)) or [()] * 3
             added = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added], ["doc_id", "h", "n", "node", "registers"])
@@ -123,7 +128,7 @@ def least_estimate(settings: Settings) -> float:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """`pairs` (a, b) whose estimate may reach the threshold, with it."""
+    """`pairs` (a, b) whose estimate may reach the threshold, with it. A hub's registers meet all its pairs in one join."""
     least, ratio = least_estimate(settings), settings.percent / 100
 
     def run(batches):
@@ -144,22 +149,27 @@ def estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataF
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, value double")
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """The whole sets (node, values) of the classes in `nodes`, from the text of one document each."""
-    words = settings.words
+def full_sets(docs: DataFrame, places: DataFrame, settings: Settings) -> DataFrame:
+    """node, n, registers and the whole set (values) of classes, read again from one document each.
+
+    `places`: id0 and h of these documents, all different.
+    """
+    words, factors = settings.words, multipliers(settings)
 
     def run(batches):
         for batch in batches:
-            nodes, values = [], []
-            for text in batch.column(0):
-                own = shingles(text.as_py() or "", words)
-                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-                values.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["node", "values"])
+            sets = [shingles(text.as_py() or "", words) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array((sketch(v, factors).tobytes() for v in sets), pa.binary()),
+                    pa.array([v.view(np.int64) for v in sets], pa.list_(pa.int64())),
+                ],
+                ["node", "n", "registers", "values"],
+            )
 
-    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(run, "node long, values array<long>").dropDuplicates(["node"])
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    once = texts.join(places, ["id0", "h"], "left_semi").dropDuplicates(["id0", "h"]).select("text")
+    return once.mapInArrow(run, "node long, n long, registers binary, values array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -171,17 +181,28 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return joined.withColumn("both", both).filter(100 * F.col("both") >= settings.percent * (F.size("va") + F.size("vb") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, label) of a forest given by one row (a, b) with b < a for each node that has a parent b.
+
+    Each round doubles the way that a pointer leads, so rounds grow with the logarithm of the depth.
+    """
+    state, moved = parents.select("a", "b"), True
+    while moved:
+        up = state.select(F.col("a").alias("b"), F.col("b").alias("to"))
+        further = cut(state.join(up, "b", "left").select("a", F.coalesce("to", "b").alias("b"), F.col("to").isNotNull().alias("moved")))
+        moved = not further.filter("moved").isEmpty()
+        state = further.select("a", "b")
+    return state.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes that have edges; equal labels where edges connect. The least node names a component.
 
     Each round takes the least label of the neighbours and then the label's own label, so rounds grow with the
     logarithm of a component's diameter; every round is written.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    state = nodes.withColumn("label", F.col("node"))
-    if labels is not None:
-        state = nodes.unionByName(labels.select("node")).distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
     state = cut(state)
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("other"))
@@ -195,61 +216,61 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         state = cut(state.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def band_key(band: int, registers: bytes) -> int:
-    """The key of a band: a hash of its registers and its number."""
-    return xxhash.xxh3_64_intdigest(registers[2 * ROWS * band : 2 * ROWS * (band + 1)], band) - (1 << 63)
+def relabelled(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """`named` (node, label) with labels that `edges` (a, b) between labels connect made one."""
+    if edges.isEmpty():
+        return named
+    to = components(edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut(named.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
 def buckets_of(classes: DataFrame, settings: Settings) -> DataFrame:
-    """(key, node): the key of each band of each class."""
-    bands = settings.bands
+    """(key, band, node): the key of each band of each class, a hash of its number and registers."""
+    bands = classes.select("node", "registers", F.explode(F.sequence(F.lit(0), F.lit(settings.bands - 1))).alias("band"))
+    own = F.substring("registers", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    return bands.select(F.xxhash64("band", own).alias("key"), "band", "node")
 
-    def run(batches):
-        for batch in batches:
-            keys = [[band_key(k, r) for k in range(bands)] for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
-    return classes.select("node", "registers").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+def across(members: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between labels of different components that share a bucket.
 
+    `members`: key, band, node and label; `sets`: node, n, registers and values. Blocks are dealt on ids alone, sketches
+    and sets join last. Members outside the bucket's largest component meet all others, in blocks of about `BLOCK` by
+    `BLOCK` members and `BLOCK_SHINGLES` shingles, however large the bucket. A pair is judged in the first band that it
+    shares, by its estimate and then on both full sets; of several links of a class to a component in one block, the
+    first is enough.
+    """
+    sized = members.join(sets.select("node", "n"), "node")
+    counts = sized.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "label", "m")).alias("main"), F.sum("c").alias("c"), F.sum("m").alias("m")).filter("c > main.c")
 
-def across(members: DataFrame, sketched: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) between different components that share a bucket.
+    def blocks(rows, shingles):
+        return F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
-    `members`: key, node and label of the buckets with several components; `sketched`: node, registers and values. Blocks
-    are dealt on ids alone, sketches and sets join last. Members outside the bucket's largest component meet all others, in blocks of at most `BLOCK` by `BLOCK`, however large the bucket. A pair
-    is judged in the first band that it shares, by its estimate and then on both full sets; of several links of a class
-    to a component in one block, the first is enough.
-    """
-    counts = members.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("size"))
-    main = cut(main.select("key", F.col("main.label").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("mb"), F.ceil(F.greatest(F.col("size") - F.col("main.c"), F.lit(1)) / BLOCK).cast("int").alias("pb")))
-    known = members.join(main, "key")
+    main = main.select("key", F.col("main.label").alias("main"), blocks(F.col("c"), F.col("m")).alias("mb"), blocks(F.col("c") - F.col("main.c"), F.col("m") - F.col("main.m")).alias("pb"))
+    known = cut(members.join(main, "key"))
     own = F.xxhash64("node")
     built = known.withColumn("i", F.pmod(own, F.col("mb")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).withColumn("role", F.lit(0))
     probes = known.filter("label != main").withColumn("j", F.pmod(own, F.col("pb")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("role", F.lit(1))
-    columns = ["key", "i", "j", "role", "node", "label", "main"]
     least, percent, bands = least_estimate(settings), settings.percent, settings.bands
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         right, left = pdf[pdf.role == 0], pdf[pdf.role == 1]
         found = []
         if len(right) and len(left):
-            key = pdf.key.iloc[0]
+            band = pdf.band.iloc[0]
             y = np.frombuffer(b"".join(right.registers), "<u2").reshape(len(right), -1)
             node, label, sets = right.node.to_numpy(), right.label.to_numpy(), right["values"].to_list()
-            n = np.array([len(v) for v in sets], float)
+            n = right.n.to_numpy(float)
             probe = (right.label != right.main).to_numpy()
             every = np.arange(len(right))
-            for p, own_label, raw, values in zip(left.node, left.label, left.registers, left["values"], strict=True):
-                m = float(len(values))
+            for p, own_label, m, raw, values in zip(left.node, left.label, left.n.astype(float), left.registers, left["values"], strict=True):
                 k = every[(label != own_label) & (~probe | (node > p)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
                 if not len(k):
                     continue
                 x = np.frombuffer(raw, "<u2")
                 same = (y[k] == x).reshape(len(k), bands, ROWS).all(2)
-                first = same.argmax(1)
-                here = np.array([band_key(f, raw) == key for f in range(bands)])
-                k = k[here[first] & same.any(1)]
+                k = k[(same.argmax(1) == band) & same.any(1)]
                 value = similarity(np.broadcast_to(x, (len(k), len(x))), y[k], np.full(len(k), m), n[k])
                 done = set()
                 for q in k[value >= least][np.argsort(-value[value >= least], kind="stable")]:
@@ -257,12 +278,13 @@ def across(members: DataFrame, sketched: DataFrame, settings: Settings) -> DataF
                         continue
                     both = len(np.intersect1d(values, sets[q], assume_unique=True))
                     if 100 * both >= percent * (m + n[q] - both):
-                        found.append((p, node[q]))
+                        found.append((own_label, label[q]))
                         done.add(label[q])
         return pd.DataFrame(found, columns=["a", "b"])
 
-    dealt = cut(built.select(*columns).unionByName(probes.select(*columns)))
-    return dealt.join(sketched, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    columns = ["key", "band", "i", "j", "role", "node", "label", "main"]
+    dealt = built.select(*columns).unionByName(probes.select(*columns))
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -271,39 +293,33 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     `h` is the hash of the text, which tells rows of one id apart.
     """
     every = cut(sketches(docs, settings))
-    classes = cut(every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")))
+    place = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id0"), "h")).alias("place")
+    classes = cut(every.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), place, F.first("registers").alias("registers")))
+    # only keys that classes share go on, with the least of these classes as hub
     keys = buckets_of(classes, settings)
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("least")).filter("size > 1"))
-    members = cut(keys.join(shared.select("key", "size", F.col("least").bitwiseXOR(F.col("key")).alias("hub")), "key"))
-    pairs = cut(members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    stars = cut(estimated(pairs, classes, settings))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    members = cut(keys.join(shared, "key"))
+    own = cut(members.select("node").distinct())
+    sets = cut(full_sets(docs, classes.join(own, "node", "left_semi").select("place.*"), settings))
+    pairs = members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).repartition("a").dropDuplicates()
+    stars = cut(estimated(pairs, sets, settings))
     # the likeliest hub of each class first; what that connects needs no further proof
-    best = cut(stars.groupBy("a").agg(F.max(F.struct("value", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
-    sets = cut(full_sets(docs, classes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), settings))
-    links = cut(verified(best, sets, settings))
-    labels = components(links)
-
-    def between(found: DataFrame) -> DataFrame:
-        """The pairs whose ends have different labels so far."""
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        joined = found.join(la, "a", "left").join(lb, "b", "left")
-        return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    rest = cut(between(stars.select("a", "b")).join(best, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(verified(rest, sets, settings)))
-    labels = components(links, labels)
+    best = stars.groupBy("a").agg(F.max(F.struct("value", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    up = roots(cut(verified(best, sets, settings)))
+    named = cut(own.join(up, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    la, lb = named.select(F.col("node").alias("a"), F.col("label").alias("la")), named.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    rest = cut(stars.select("a", "b").join(la, "a").join(lb, "b").filter("la != lb"))
+    if not rest.isEmpty():
+        links = verified(rest, sets, settings).join(rest, ["a", "b"])
+        named = relabelled(named, cut(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()))
     # all other pairs of a bucket, across components
-    wide = members.filter("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    wide = cut(wide)
-    mixed = cut(wide.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"))
-    wide = cut(wide.join(mixed, "key"))
-    sets = cut(full_sets(docs, classes, wide.select("node").distinct(), settings))
-    sketched = cut(classes.select("node", "registers").join(sets, "node"))
-    links = cut(links.unionByName(across(wide, sketched, settings).distinct()))
-    labels = components(links, labels)
-    named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    named = cut(named)
-    least = cut(named.groupBy("label").agg(F.min("rep").alias("component_id")))
-    found = cut(named.join(least, "label").select("node", "component_id"))
-    joined = every.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
-    return joined.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    wide = members.filter("size > 2").select("key", "band", "node").join(named, "node")
+    named = relabelled(named, cut(across(wide, sets, settings)))
+    drop(members, sets, stars)
+    reps = classes.select("node", "rep")
+    joined = cut(reps.join(named, "node"))
+    least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = joined.join(least, "label").select("node", "component_id")
+    found = cut(reps.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
+    of_each = every.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
+    return of_each.select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
