@@ -36,7 +36,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), whole_rows=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "extra_words", "rate")
 
 
