@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as Unicode's White_Space property has it; Python's ``\s`` also takes U+001C to U+001F.
@@ -39,6 +39,14 @@ class WordCache(dict):
             self.clear()
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """`name`, lengthened until no column has it, upper and lower case being alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,20 +118,16 @@ def sampled_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> tuple[list[str], list[int], float]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, total_chars: int) -> tuple[list[str], list[int], float]:
     """Texts and labels of a bounded sample, and the share of label 1 among all rows that may be learnt from.
 
-    The ids number 2 * `rows` at most, so they are broadcast; texts beyond `max_chars` are not learnt from.
+    The ids number 2 * `rows` at most, so they are broadcast; texts beyond `max_chars` are not learnt from, nor what of a
+    class comes after `total_chars` in the order of hashed ids. Of several texts of an id the least counts.
     """
     ids = sampled_ids(labels, label, rows)
-    got = (
-        docs.select("doc_id", "text")
-        .filter(F.length("text") <= max_chars)
-        .join(F.broadcast(ids), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "text", "label")
-        .collect()
-    )
-    got.sort(key=lambda r: r.doc_id)
+    got = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = got.withColumn("_upto", upto).filter(F.col("_upto") <= total_chars).select("doc_id", "text", "label").collect()
+    found.sort(key=lambda r: r.doc_id)
     share = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.avg(label)).first()[0]
-    return [r.text for r in got], [r.label for r in got], float(share or 0.0)
+    return [r.text for r in found], [r.label for r in found], float(share or 0.0)

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from .common import WordCache, cut, salted_join
 
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
-DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
-DECLARED_META = r"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})"
+UNSHOWN = re.compile(r"(?i)<(script|style|noscript|template)\b")
+#: Tags are read up to the next "<" too, so that many unclosed ones take no longer.
+DECLARED = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+DECLARED_META = r"(?i)<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*[\"']?([a-z]{2,3})"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 FLUSH_WORDS = 200_000
 
@@ -45,6 +46,33 @@ class Settings:
     trusted: float = 60.0
 
 
+def shown(page: str) -> str:
+    """A page without comments, tags and elements that aren't shown, in one pass: what was sought in vain once is not
+    sought again, so unclosed tags cost no more than others."""
+    out, at, ends, closed = [], 0, {}, True
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        at = -1
+        if page.startswith("<!--", start) and ends.get("-->", True):
+            found = page.find("-->", start + 4)
+            ends["-->"] = found >= 0
+            at = found + 3 if found >= 0 else -1
+        elif (m := UNSHOWN.match(page, start)) and ends.get(name := m.group(1).lower(), True):
+            found = re.compile(rf"(?i)</{name}\s*>").search(page, m.end())
+            ends[name] = found is not None
+            at = found.end() if found else -1
+        if at < 0:
+            found = page.find(">", start) if closed else -1
+            closed = found >= 0
+            if not closed:
+                at = start
+                break
+            at = found + 1
+        out.append(" ")
+    out.append(page[at:])
+    return "".join(out)
+
+
 def trigrams(word: str) -> list[str]:
     padded = f" {word} "
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
@@ -124,7 +152,7 @@ class TextModel:
             for batch in batches:
                 sums, others = [], []
                 for page in batch.column(batch.num_columns - 1):
-                    seen = Counter(WORD.findall(entities.unescape(HIDDEN.sub(" ", page.as_py() or "")).lower()))
+                    seen = Counter(WORD.findall(entities.unescape(shown(page.as_py() or "")).lower()))
                     total, other = np.zeros(len(languages) + 1), Counter()
                     for word, n in seen.items():
                         e, grams = words[word]
@@ -220,7 +248,9 @@ def identify(pages: DataFrame, docs: DataFrame, settings: Settings = Settings())
     suffixes = cut(added(hosts, "suffix", "ps"))
     kinds = float(max(1, suffixes.count()))
     by_host = hosts.groupBy("host").agg(F.array(*(F.sum(F.col("p")[i]) for i in range(n))).alias("ph"), F.sum("n").alias("n_ph"))
-    level = hosts.select("host", "domain", "suffix").distinct().join(added(hosts, "domain", "pd"), "domain").join(suffixes, "suffix").join(by_host, "host")
+    # most hosts share a few suffixes, and many one domain
+    names = salted_join(hosts.select("host", "domain", "suffix").distinct(), added(hosts, "domain", "pd"), ["domain"], ["host"], salts=16)
+    level = salted_join(names, suffixes, ["suffix"], ["host"], salts=16).join(by_host, "host")
     level = cut(level.drop("domain", "suffix"))
     joined = salted_join(seen.withColumn("_said", of), level, ["host"], ["page_id"], salts=16)
 

@@ -176,8 +176,9 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`docs` with entities replaced by their kind and disclosing terms by <TERM> or nothing."""
     found = find(docs, settings).filter((F.size("base") > 0) | (F.size("added") > 0)).dropDuplicates(["doc_id", "h"])
     found = found.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), together(F.col("base"), F.col("added")).alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left")
+    # the input's columns travel as one, so that none clashes with those made here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left")
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
     def step(acc, s):
@@ -188,4 +189,5 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    clean = joined.select("row", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest).alias("text"))
+    return clean.select(*((F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -1,6 +1,6 @@
 """Quality by attention over passages (multiple-instance learning).
 
-A text is a bag of passages of 128 words. Each passage is encoded as a vector (how its words and characters are made up,
+A text is a bag of passages of 128 words, parted by any ASCII white space. Each passage is encoded as a vector (how its words and characters are made up,
 and how much of it repeats), a hidden layer follows, gated attention gives each passage a weight, and the weighted mean
 of the hidden vectors is scored. Only the label of the whole document is known in training.
 
@@ -11,6 +11,7 @@ other columns of the input are kept, but for those named like a result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +28,8 @@ HASHED = 32
 #: Bytes counted as one kind each.
 KINDS = (b"!", b"|", b"*#$%&", b".,;:?", b"0123456789", b"@/\\=<>{}[]()+_~^\"'", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", bytes(range(0x80, 0x100)), b"\n")
 SIZE = len(KINDS) + 8 + HASHED
+#: White space other than blanks and ends of lines.
+OTHER_SPACE = re.compile(r"[\t\v\f\r]")
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,7 @@ class Settings:
 
     rows: int = 2500
     max_chars: int = 60_000
+    total_chars: int = 30_000_000
     hidden: int = 24
     gate: int = 12
     epochs: int = 40
@@ -55,6 +59,7 @@ def shape(word: str) -> int:
 
     Capital words are told by 1 and words of letters by 2 in the fourfold of it.
     """
+    word = word.rstrip("\n")
     return shape_of(word[:1] + word[-3:], min(len(word), 12) // 3)
 
 
@@ -65,7 +70,8 @@ class Passages:
         self.chunks = WordCache(shape)
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.split(" ")
+        spaced = text.replace("\n", "\n ")  # a line's end stays with its last word
+        words = (OTHER_SPACE.sub(" ", spaced) if OTHER_SPACE.search(spaced) else spaced).split(" ")
         out = np.zeros((max(1, -(-len(words) // PASSAGE_WORDS)), SIZE))
         seen: set[str] = set()
         for row, at in zip(out, range(0, len(words), PASSAGE_WORDS), strict=False):
@@ -84,8 +90,6 @@ class Passages:
             )
             row[-HASHED:] = shapes.sum(1) / n
             seen |= own
-            if len(seen) > 50_000:
-                seen = own
         return out
 
 
@@ -180,7 +184,7 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits on a bounded sample of `labels` (doc_id, quality), held-out ids left out."""
-    return fit(*labelled_sample(docs, labels, "quality", settings.rows, settings.max_chars), settings)
+    return fit(*labelled_sample(docs, labels, "quality", settings.rows, settings.max_chars, settings.total_chars), settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

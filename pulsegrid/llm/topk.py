@@ -142,7 +142,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings(
     bundled = "dim int, block int, query_ids binary, q binary, kth binary"
 
     def searched(bundles: DataFrame, first: int, last: int) -> DataFrame:
-        met = bundles.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(trees, ["dim", "shard"])
+        # joined by block too, so that no task gets a shard's meetings with all blocks
+        own = trees.filter(F.col("shard").between(first, last)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = bundles.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(own, ["dim", "shard", "block"])
         return met.groupBy("dim", "shard", "block").applyInPandas(search, "query_id long, vec_id long, score long")
 
     pilot = cut(searched(asked.groupBy("dim", "block").applyInPandas(bundle, bundled), 0, 0))

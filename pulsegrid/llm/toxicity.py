@@ -2,7 +2,9 @@
 
 Logistic regression on the presence of words and parts of words. For each labelled text that names a group, a
 counterfactual names others of the same kind instead; the squared change of the logit between both is part of the
-loss, so that naming a group neither raises nor lowers a score much.
+loss, so that naming a group neither raises nor lowers a score much. Names of groups are given by a table, and more are
+found in the labelled texts themselves: common words that stand in clean texts at least as often as in toxic ones, each
+swapped for the one whose neighbours are most like its own. What such words seem to tell is chance, as it is for names of groups.
 
 Cases: null and empty texts score as texts without any evidence; long texts are read whole; repeated rows are scored
 each; an empty table gives no rows; without labels of both classes every score is the share of label 1; other columns
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,13 @@ class Settings:
     """`rows`: labelled texts of each class to learn from at most, none longer than `max_chars`.
 
     `penalty`: weight of the squared change of the logit under swapped groups. `least_g2`: the evidence (G squared) and
-    `least_texts` the number of label-1 texts that a feature must have.
+    `least_texts` the number of label-1 texts that a feature must have. `total_chars`: characters of a class at most.
+    Neutral words: at most `neutral`, in `neutral_texts` texts of each class, swapped for one whose neighbours are `alike`.
     """
 
     rows: int = 3000
     max_chars: int = 60_000
+    total_chars: int = 30_000_000
     features: int = 6000
     least_g2: float = 16.0
     least_texts: int = 3
@@ -54,6 +58,9 @@ class Settings:
     ridge: float = 0.03
     steps: int = 400
     terms: tuple = field(default=IDENTITY_TERMS)
+    neutral: int = 400
+    neutral_texts: int = 20
+    alike: float = 0.5
 
 
 def parts_of(word: str) -> list[int]:
@@ -66,6 +73,33 @@ def swaps(terms) -> dict[str, str]:
     return {a: group[(i + 1) % len(group)] for group in terms for i, a in enumerate(group)}
 
 
+def neutral_pairs(texts: list[np.ndarray], in0: np.ndarray, in1: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+    """Neutral words, each with the one whose contexts are most like its own. `texts`: word numbers in order; `in0`,
+    `in1`: texts that have the word, by class.
+
+    The contexts of a word are how often each of the 256 most common words is its left and its right neighbour.
+    """
+    common = np.argsort(-(in0 + in1), kind="stable")
+    words = common[(np.minimum(in0, in1)[common] >= settings.neutral_texts) & (in0[common] >= in1[common])][: settings.neutral]
+    around = common[:256]
+    if len(words) < 2:
+        return []
+    row, col = np.full(len(in0), -1), np.full(len(in0), -1)
+    row[words], col[around] = np.arange(len(words)), np.arange(len(around))
+    counts = np.zeros(len(words) * 2 * len(around))
+    for text in texts:
+        r, c = row[text], col[text]
+        for own, other, shift in ((r[1:], c[:-1], 0), (r[:-1], c[1:], len(around))):
+            both = (own >= 0) & (other >= 0)
+            np.add.at(counts, own[both] * 2 * len(around) + shift + other[both], 1.0)
+    table = np.sqrt(counts.reshape(len(words), -1))
+    table /= np.maximum(np.sqrt((table**2).sum(1, keepdims=True)), 1e-12)
+    like = table @ table.T
+    np.fill_diagonal(like, -1.0)
+    nearest = like.argmax(1)
+    return [(int(words[a]), int(words[b])) for a, b in enumerate(nearest) if like[a, b] >= settings.alike]
+
+
 @dataclass
 class Model:
     """Weights of features by hash; the score of a text is the logistic of bias plus its features' weights."""
@@ -112,7 +146,8 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
         return Model({}, math.log(share / (1 - share)))
     swap = swaps(settings.terms)
     number: dict[str, int] = {}
-    bags = [np.unique([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())]).astype(np.int64) for t in texts]
+    orders = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+    bags = [np.unique(order) for order in orders]
     for term in swap:
         number.setdefault(term, len(number))
     parts = [parts_of(w) for w in number]
@@ -121,7 +156,11 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     swapped = np.arange(len(number))
     for one, other in swap.items():
         swapped[number[one]] = number[other]
-    del parts, number
+    in0, in1 = (np.bincount(np.concatenate([b for b, y in zip(bags, labels, strict=True) if y == k]), minlength=len(number)) for k in (0, 1))
+    for a, b in neutral_pairs(orders, in0, in1, settings):
+        if swapped[a] == a:
+            swapped[a] = b
+    del parts, number, orders
 
     def present(bag: np.ndarray) -> np.ndarray:
         """The distinct features of some words."""
@@ -171,9 +210,19 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-4}, float(bias))
 
 
+def with_terms(terms: DataFrame, settings: Settings = Settings(), most: int = 10_000) -> Settings:
+    """Settings with the groups of a table (kind, term) instead, of at most `most` rows."""
+    kinds: dict[str, list[str]] = {}
+    for r in terms.filter(F.col("kind").isNotNull() & F.col("term").isNotNull()).select("kind", F.lower("term").alias("term")).distinct().orderBy("kind", "term").limit(most + 1).collect():
+        kinds.setdefault(r.kind, []).append(r.term)
+    if sum(map(len, kinds.values())) > most:
+        raise ValueError(f"more than {most} names of groups")
+    return replace(settings, terms=tuple(tuple(k) for k in kinds.values() if len(k) > 1))
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits on a bounded sample of `labels` (doc_id, toxic), held-out ids left out."""
-    return fit(*labelled_sample(docs, labels, "toxic", settings.rows, settings.max_chars), settings)
+    return fit(*labelled_sample(docs, labels, "toxic", settings.rows, settings.max_chars, settings.total_chars), settings)
 
 
 def with_score(docs: DataFrame, scorer, name: str = "score") -> DataFrame:
