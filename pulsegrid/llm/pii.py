@@ -126,14 +126,15 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFr
     # the easiest case: an entity of one document against the term beside any entity
     possible = (F.col("n_b") + settings.smoothing) / (F.col("n_t") + settings.smoothing) >= F.lit((1 / total) ** (1 - settings.generalise) * (1 - 1e-9))
     rare = beside.join(counts, "term").filter(possible).select("term", "n_t")
-    by_term = salted_join(found.select("doc_id", "h", "entities", F.explode("terms").alias("term")), rare, ["term"], ["doc_id", "h"], salts=16)
-    pairs = salted_join(by_term.select("doc_id", "h", F.explode("entities").alias("entity"), "term", "n_t"), n_e, ["entity"], ["doc_id", "h", "term"], salts=16)
+    # what explodes may not be broadcast, however small its table is
+    by_term = salted_join(found.select("doc_id", "h", "entities", F.explode("terms").alias("term")).hint("merge"), rare, ["term"], ["doc_id", "h"], salts=16)
+    pairs = salted_join(by_term.select("doc_id", "h", F.explode("entities").alias("entity"), "term", "n_t").hint("merge"), n_e, ["entity"], ["doc_id", "h", "term"], salts=16)
     pairs = cut(pairs.filter(enough(F.least("n_t", "n_e"), F.col("n_e"))))
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
     p_e = F.col("n_e") / F.lit(total)
     share = F.when(p_e < 1, F.log2(given(F.col("n_te"), F.col("n_t"), p_e) / p_e) / F.log2(1 / p_e)).otherwise(0.0)
     told = joint.select("entity", "term", share.alias("share")).filter(F.col("share") >= settings.generalise)
-    of_doc = salted_join(pairs.select("doc_id", "h", "entity", "term"), told, ["entity", "term"], ["doc_id", "h"], salts=16)
+    of_doc = salted_join(pairs.select("doc_id", "h", "entity", "term").hint("merge"), told, ["entity", "term"], ["doc_id", "h"], salts=16)
     most = of_doc.groupBy("doc_id", "h", "term").agg(F.max("share").alias("share"))
     return most.groupBy("doc_id", "h").agg(F.collect_list(F.struct("term", "share")).alias("told"))
 
