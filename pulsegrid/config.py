@@ -34,6 +34,8 @@ class Analysis:
     smoothing: float = 0.3
     algorithm: str = "pos"
     background: bool = True
+    # frames without a face that a session outlasts; one more begins a new segment
+    patience: int = 0
     # a background that explains nothing leaves the channel as it is; True doubles its level as the reference does
     double_level: bool = False
 

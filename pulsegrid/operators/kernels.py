@@ -320,6 +320,23 @@ def algorithm(name: str):
     return found
 
 
+def effective_rate(t: np.ndarray) -> float:
+    """Frames a second by the median of positive time differences; 0 where there is none."""
+    gaps = np.diff(np.sort(t))
+    gaps = gaps[gaps > 0]
+    return float(1.0 / np.median(gaps)) if len(gaps) else 0.0
+
+
+def uniform(channels: np.ndarray, t: np.ndarray, fps: float) -> np.ndarray:
+    """Channels on an even grid of round(duration * fps) + 1 points, at least 2, linear between frames in any order."""
+    if len(t) < 2:
+        return channels
+    order = np.argsort(t, kind="stable")
+    t = t[order]
+    grid = np.linspace(t[0], t[-1], max(2, round((t[-1] - t[0]) * fps) + 1))
+    return np.array([np.interp(grid, t, c[order]) for c in channels])
+
+
 def rectify(x: np.ndarray, background: np.ndarray, most_lags: int = 3, most_gain: float = 3.0) -> np.ndarray | None:
     """The centred signal without what lags of the background explain; None where it stays as it is."""
     sd, own = background.std(), x.std()

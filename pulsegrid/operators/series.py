@@ -39,6 +39,17 @@ def segments(frames: DataFrame, reset: Column, keys: Sequence[str] = ("session",
     return frames.withColumn("segment", F.sum(F.when(reset, 1).otherwise(0)).over(w))
 
 
+def face_segments(frames: DataFrame, patience: int = 0, keys: Sequence[str] = ("session",), order: str = "i", lost: str = "lost") -> DataFrame:
+    """The frames with a face, with their segment: one begins where more than `patience` frames in a row have none."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.coalesce(F.col(lost), F.lit(False))
+    placed = frames.withColumn("_gone", gone).withColumn("_place", F.row_number().over(w))
+    run = placed.withColumn("_run", F.col("_place") - F.coalesce(F.max(F.when(~F.col("_gone"), F.col("_place"))).over(upto), F.lit(0)))
+    counted = run.withColumn("segment", F.sum(F.when(F.col("_gone") & (F.col("_run") == patience + 1), 1).otherwise(0)).over(upto).cast("int"))
+    return counted.filter(~F.col("_gone")).drop("_gone", "_place", "_run")
+
+
 def sessions_by_gap(frames: DataFrame, gap: float, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """(keys, part, start, end, n): runs of frames with no pause above `gap`."""
     w = Window.partitionBy(*keys).orderBy(t)
@@ -121,15 +132,18 @@ def smoothed(frames: DataFrame, column: str, alpha: float, out: str, keys: Seque
     return packed.select(*keys, F.explode(guarded).alias("v")).select(*keys, F.col("v.o").alias(order), F.col("v.x").alias(out))
 
 
-def resampled(frames: DataFrame, columns: Sequence[str], fps: float, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
+def resampled(frames: DataFrame, columns: Sequence[str], fps: float | DataFrame, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """(keys, k, t, columns) on a uniform grid of round(duration * fps) + 1 points, linear between neighbours.
 
+    `fps`: one rate, or a table (keys, fps) as `effective_fps` gives; a rate of 0 leaves the first point.
+
     Grid points and frames are put in one order and each grid point takes the frame before and after it, so no range
     join is needed. Frames may come in any order; of equal times the last counts before and the first after.
     """
     span = frames.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
     # rounds halves to even, as the length of a recording is
-    count = F.bround((F.col("_b") - F.col("_a")) * fps).cast("long")
+    span = span.join(fps.select(*keys, F.col("fps").alias("_fps")), list(keys)) if isinstance(fps, DataFrame) else span.withColumn("_fps", F.lit(float(fps)))
+    count = F.bround((F.col("_b") - F.col("_a")) * F.col("_fps")).cast("long")
     grid = span.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count)))
     grid = grid.select(*keys, "k", (F.col("_a") + F.when(count > 0, (F.col("_b") - F.col("_a")) * F.col("k") / F.nullif(count, F.lit(0))).otherwise(0.0)).alias("_t"))
     rows = frames.select(*keys, F.lit(None).cast("long").alias("k"), F.col(t).alias("_t"), F.struct(F.col(t).alias("_t"), *columns).alias("_s"))

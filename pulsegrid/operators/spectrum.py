@@ -23,7 +23,8 @@ SNR_MOST_DB = 60.0
 def periodogram(series: DataFrame, value: str, fps: float, band: Band, keys: Sequence[str] = ("session",), order: str = "i", periodic: bool = False, double: bool = False) -> DataFrame:
     """Power of the mean-removed, Hann-windowed series padded to a power of two of 8 times its length, within the band.
 
-    |transform|^2 / (sum of squared weights * fps), one-sided; `double` counts both sides. Under 2 frames: no rows.
+    |transform|^2 / (sum of squared weights * fps), one-sided; `double` counts both sides. Under 2 frames: no rows;
+    of 2 frames both weights are 0, and so is the power.
     """
     each = Window.partitionBy(*keys)
     n = F.count("*").over(each)
@@ -37,7 +38,7 @@ def periodogram(series: DataFrame, value: str, fps: float, band: Band, keys: Seq
     angle = F.pmod(F.col("_i").cast("long") * F.col("bin"), F.col("_size")) * (2 * math.pi) / F.col("_size")
     x = F.col("_x") * F.col("_w")
     sums = bins.groupBy(*keys, "bin", "_size").agg(F.sum(x * F.cos(angle)).alias("re"), F.sum(x * F.sin(angle)).alias("im"), F.sum(F.col("_w") * F.col("_w")).alias("gain"))
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("gain") * fps)
+    power = F.coalesce((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.nullif(F.col("gain"), F.lit(0.0)) * fps), F.lit(0.0))
     return sums.select(*keys, "bin", (F.col("bin") * fps / F.col("_size")).alias("hz"), (power * (2.0 if double else 1.0)).alias("power"))
 
 

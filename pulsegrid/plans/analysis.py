@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..config import LIBRARY, Analysis
 from ..operators import kernels, pulse, spectrum
-from ..operators.series import count_windows
+from ..operators.series import count_windows, face_segments
 
 RESULT = (
     "bpm double, hz double, snr_db double, confidence string, algorithm string, window_s double, peak_bpm double, disagreement double, "
@@ -22,15 +23,25 @@ def level(snr: float) -> str:
     return "alta" if snr >= 6 else "média" if snr >= 2 else "baixa" if snr >= 0 else "descartada"
 
 
-def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.ndarray | None = None, gate: bool = True) -> dict:
-    """One series of three channels; an error code instead of numbers where it can't be judged."""
+def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.ndarray | None = None, gate: bool = True, times: np.ndarray | None = None) -> dict:
+    """One series of three channels; an error code instead of numbers where it can't be judged.
+
+    With `times` the series is put on an even grid at the rate that they show, or at `fps` where they show none.
+    """
+    if background is not None and not np.isfinite(background).all():
+        background = None
+    if times is not None:
+        fps = kernels.effective_rate(times) or fps
+        rows = channels if background is None else np.concatenate([channels, background])
+        rows = kernels.uniform(rows, times, fps)
+        channels, background = rows[:3], None if background is None else rows[3:]
     failed = {"algorithm": config.algorithm.strip().lower(), "window_s": channels.shape[1] / fps if fps > 0 else None}
     extract = kernels.algorithm(config.algorithm)
     if fps <= 0 or not 0 < config.band.low_hz < config.band.high_hz < fps / 2:
         return failed | {"error_code": "banda_invalida"}
     if channels.shape[1] < kernels.least_samples(config.order):
         return failed | {"error_code": "janela_insuficiente"}
-    if config.background and background is not None and np.isfinite(background).all():
+    if config.background and background is not None:
         clean = []
         for c, b in zip(channels, background, strict=True):
             found = kernels.rectify(c, b)
@@ -53,30 +64,44 @@ def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.n
     return failed | {"bpm": hz * 60, "hz": hz, "snr_db": snr, "confidence": level(snr), "peak_bpm": rate, "disagreement": abs(hz * 60 - rate), "beats": len(beats)} | kernels.variability(intervals)
 
 
-def analysed(windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] | None = None) -> DataFrame:
+def analysed(
+    windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] | None = None,
+    times: str | None = None, uses: Sequence[bool] | None = None,
+) -> DataFrame:
     """A row for each window (and algorithm): `windows` has keys, order, r, g, b and bg_r, bg_g, bg_b if it is rectified.
 
-    A window is bounded by its number of frames, so each group is small however long its session is.
-    """
+    `times`: a column of seconds, by which each window is resampled at its own rate. `uses`: both uses of the background
+    from one pass, told by with_background; a window whose background isn't whole gives no row that uses it. A window is
+    bounded by its number of frames, so each group is small however long its session is.
+    """
     names = algorithms or (config.algorithm,)
     columns = [f.name for f in windows.schema.fields]
-    has_background = config.background and "bg_r" in columns
+    has_background = "bg_r" in columns and (config.background if uses is None else True in uses)
     kinds = dict(windows.dtypes)
+    result = RESULT if uses is None else f"{RESULT}, with_background boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         channels = pdf[["r", "g", "b"]].to_numpy(float).T
         background = pdf[["bg_r", "bg_g", "bg_b"]].to_numpy(float).T if has_background else None
-        rows = [{k: pdf[k].iloc[0] for k in keys} | analyse(channels, fps, config.having(algorithm=a), background) for a in names]
-        out = pd.DataFrame(rows, columns=[*keys, *(x.split()[0] for x in RESULT.split(", "))])
+        t = pdf[times].to_numpy(float) if times else None
+        own = {k: pdf[k].iloc[0] for k in keys}
+        rows = []
+        for use in (None,) if uses is None else uses:
+            if use and (background is None or not np.isfinite(background).all()):
+                continue
+            for a in names:
+                found = analyse(channels, fps, config.having(algorithm=a, background=config.background if use is None else use), background, times=t)
+                rows.append(own | found | ({} if use is None else {"with_background": use}))
+        out = pd.DataFrame(rows, columns=[*keys, *(x.split()[0] for x in result.split(", "))])
         out["beats"] = out["beats"].astype("Int32")
         for c in ("confidence", "algorithm", "error_code"):  # a column without texts would count as numbers
             out[c] = out[c].astype(object).where(out[c].notna(), None)
         return out
 
-    wanted = [*keys, order, "r", "g", "b", *(("bg_r", "bg_g", "bg_b") if has_background else ())]
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), RESULT])
-    return windows.select(*wanted).groupBy(*keys).applyInPandas(run, schema)
+    wanted = [*keys, order, "r", "g", "b", *(("bg_r", "bg_g", "bg_b") if has_background else ()), *((times,) if times else ())]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), result])
+    return windows.select(*dict.fromkeys(wanted)).groupBy(*keys).applyInPandas(run, schema)
 
 
 def finger(frames: DataFrame, fps: float, config: Analysis = LIBRARY, length: int = 1024, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
@@ -85,7 +110,18 @@ def finger(frames: DataFrame, fps: float, config: Analysis = LIBRARY, length: in
     return spectrum.dominant(spectrum.periodogram(signal, "pulse", fps, config.band, keys, order), config.band, keys)
 
 
-def sessions(frames: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
-    """Sliding windows of each session, analysed."""
-    windows = count_windows(frames, config.frames_in_window(fps), config.frames_in_step(fps), keys, order)
-    return analysed(windows, fps, config, [*keys, "window_id"])
+def sessions(frames: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session",), order: str = "i", limit: int | None = None) -> DataFrame:
+    """Sliding windows of each session, analysed.
+
+    Seconds in a column `t` put each window on an even grid at its own rate. Where a column `lost` tells frames without a
+    face, no window reaches across more of them in a row than the configuration's patience, and segments are told apart.
+    `limit`: frames of a session that are read at most.
+    """
+    if limit is not None:
+        frames = frames.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_place") <= limit).drop("_place")
+    by = list(keys)
+    if "lost" in frames.columns:
+        frames = face_segments(frames, config.patience, keys, order)
+        by.append("segment")
+    windows = count_windows(frames, config.frames_in_window(fps), config.frames_in_step(fps), by, order)
+    return analysed(windows, fps, config, [*by, "window_id"], times="t" if "t" in frames.columns else None)

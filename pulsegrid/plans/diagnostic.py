@@ -25,13 +25,11 @@ def stacked(capture: DataFrame, variants: Sequence[str], keys: Sequence[str] = (
 def grid(capture: DataFrame, fps: float, config: Analysis = DIAGNOSTIC, keys: Sequence[str] = ("session",), algorithms: Sequence[str] = GRID) -> DataFrame:
     """Estimates of every window of every variant by every algorithm, with and without the background.
 
-    Windows of max(64, window) frames start every step. Both uses of the background come from the same windows.
+    Windows of max(64, window) frames start every step, and the gate on noise is the configuration's. Both uses of the
+    background come from one pass over the windows; one without a whole background is judged only without it.
     """
     size = max(64, config.frames_in_window(fps))
     step = config.frames_in_step(fps)
     windows = count_windows(capture, size, step, [*keys, "variant"])
-    by = [*keys, "variant", "window_id"]
-    gated = config.having(least_snr_db=float("-inf"))
-    used = analysed(windows, fps, gated.having(background=True), by, algorithms=algorithms).withColumn("with_background", F.lit(True))
-    plain = analysed(windows, fps, gated.having(background=False), by, algorithms=algorithms).withColumn("with_background", F.lit(False))
-    return used.unionByName(plain).filter(F.col("error_code").isNull())
+    found = analysed(windows, fps, config, [*keys, "variant", "window_id"], algorithms=algorithms, uses=(True, False))
+    return found.filter(F.col("error_code").isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FPS, BAND, BLOCK = 30.0, Band(), 64
 PERIOD = 6.283185307179586
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 FRAMES = """f AS (SELECT l_suppkey AS session, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
   l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS i, l_quantity + 100 AS r, l_extendedprice / 1000 + 80 AS g,
@@ -57,14 +59,19 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames in whole blocks of 64, the unit of the spectral queries."""
-    rows = frames(spark, sf_dir).withColumn("block", F.floor(F.col("i") / BLOCK)).withColumn("k", F.col("i") % BLOCK)
-    return rows.withColumn("_n", F.count("*").over(Window.partitionBy("session", "block"))).filter(F.col("_n") == BLOCK).drop("_n")
+    """Frames in blocks of 64, the unit of the spectral queries; a session's last block is what is left."""
+    return frames(spark, sf_dir).withColumn("block", F.floor(F.col("i") / BLOCK)).withColumn("k", F.col("i") % BLOCK)
+
+
+def long_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the 8 frames at least that a dominant frequency needs."""
+    rows = blocks(spark, sf_dir).withColumn("_n", F.count("*").over(Window.partitionBy("session", "block")))
+    return rows.filter("_n >= 8").drop("_n")
 
 
 KEYS = ["session", "block"]
 BLOCKS = FRAMES + """, k0 AS (SELECT *, i // 64 AS block, i % 64 AS k, count(*) OVER (PARTITION BY session, i // 64) AS n FROM f),
-  bl AS (SELECT * FROM k0 WHERE n = 64)"""
+  bl AS (SELECT * FROM k0)"""
 
 
 @query(f"""WITH {FRAMES}, c AS (SELECT session, count(*) AS n FROM f GROUP BY 1)
@@ -206,10 +213,27 @@ def chrom_spectral(spark, sf_dir):
     return made.select(*KEYS, "k", C.zero(F.col("pulse"), 5).alias("pulse"))
 
 
-PERIODOGRAM = f"""d AS (SELECT session, block, k, (g - avg(g) OVER (PARTITION BY session, block)) * (0.5e0 - 0.5e0 * cos({PERIOD} * k / 63)) AS x,
-    0.5e0 - 0.5e0 * cos({PERIOD} * k / 63) AS w FROM bl),
-  sp AS (SELECT session, block, bin, bin * 30.0e0 / 512 AS hz, (power(sum(x * cos((k * bin % 512) * {PERIOD} / 512)), 2) + power(sum(x * sin((k * bin % 512) * {PERIOD} / 512)), 2)) / (sum(w * w) * 30) AS power
-    FROM d, (SELECT unnest(range(12, 69)) AS bin) GROUP BY 1, 2, 3)"""
+def periodogram_sql(rows: str, value: str, least: int = 2) -> str:
+    """The least power of two of 8 frames a frame; bins from 0.7 to 4 Hz; a block whose weights are all 0 has no power."""
+    return f"""d AS (SELECT session, block, k, ({value} - avg({value}) OVER w) * (0.5e0 - 0.5e0 * cos({PERIOD} * k / (count(*) OVER w - 1))) AS x,
+      0.5e0 - 0.5e0 * cos({PERIOD} * k / (count(*) OVER w - 1)) AS w, CAST(power(2, ceil(log2(8 * count(*) OVER w - 0.5e0))) AS BIGINT) AS size
+      FROM (SELECT * FROM {rows} WHERE n >= {least}) WINDOW w AS (PARTITION BY session, block)),
+    db AS (SELECT *, unnest(range(CAST(ceil(0.7e0 * size / 30 - 1e-9) AS BIGINT), CAST(floor(4.0e0 * size / 30 + 1e-9) AS BIGINT) + 1)) AS bin FROM d),
+    sp AS (SELECT session, block, bin, bin * 30.0e0 / size AS hz, CASE WHEN sum(w * w) > 0 THEN (power(sum(x * cos((k * bin % size) * {PERIOD} / size)), 2)
+      + power(sum(x * sin((k * bin % size) * {PERIOD} / size)), 2)) / (sum(w * w) * 30) ELSE 0 END AS power FROM db GROUP BY session, block, bin, size)"""
+
+
+PERIODOGRAM, LONG_PERIODOGRAM = periodogram_sql("bl", "g"), periodogram_sql("bl", "g", 8)
+DOMINANT = """v AS (SELECT *, lag(power) OVER w AS pb, lead(power) OVER w AS pa, lead(hz) OVER w AS hn,
+    row_number() OVER (PARTITION BY session, block ORDER BY power DESC, bin) AS rk FROM sp WINDOW w AS (PARTITION BY session, block ORDER BY bin)),
+  t AS (SELECT *, ln(CASE WHEN pb > 0 THEN pb END) AS l, ln(CASE WHEN power > 0 THEN power END) AS m, ln(CASE WHEN pa > 0 THEN pa END) AS u FROM v WHERE rk = 1),
+  pk AS (SELECT session, block, greatest(0.7e0, least(4.0e0, CASE WHEN abs(l - 2 * m + u) >= 1e-18
+    THEN hz + greatest(-0.5e0, least(0.5e0, 0.5e0 * (l - u) / nullif(l - 2 * m + u, 0))) * (hn - hz) ELSE hz END)) AS peak FROM t),
+  g AS (SELECT session, block, peak, sum(CASE WHEN abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0 THEN power ELSE 0 END) AS s,
+    sum(CASE WHEN abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0 THEN 0 ELSE power END) AS n FROM sp JOIN pk USING (session, block) GROUP BY 1, 2, 3),
+  o AS (SELECT session, block, peak * 60 AS bpm, CASE WHEN s <= 1e-20 THEN CAST('-inf' AS DOUBLE) WHEN n <= 1e-20 THEN 60e0 ELSE least(60e0, 10 * log10(s / n)) END AS snr_db FROM g)
+  SELECT session, block, round(bpm, 4) AS bpm, round(snr_db, 4) + 0e0 AS snr_db,
+    CASE WHEN snr_db >= 6 THEN 'alta' WHEN snr_db >= 2 THEN 'média' WHEN snr_db >= 0 THEN 'baixa' ELSE 'descartada' END AS confidence FROM o"""
 
 
 @query(f"""WITH {BLOCKS}, {PERIODOGRAM} SELECT session, block, bin, round(hz, 6) AS hz, round(power, 4) + 0e0 AS power FROM sp""")
@@ -225,26 +249,19 @@ def spectrum_normalised(spark, sf_dir):
     return made.select(*KEYS, "bin", C.zero(F.col("power"), 6).alias("power"))
 
 
-@query(f"""WITH {BLOCKS}, {PERIODOGRAM}, v AS (SELECT *, lag(power) OVER w AS pb, lead(power) OVER w AS pa, lead(hz) OVER w AS hn,
-    row_number() OVER (PARTITION BY session, block ORDER BY power DESC, bin) AS rk FROM sp WINDOW w AS (PARTITION BY session, block ORDER BY bin)),
-  t AS (SELECT *, ln(CASE WHEN pb > 0 THEN pb END) AS l, ln(CASE WHEN power > 0 THEN power END) AS m, ln(CASE WHEN pa > 0 THEN pa END) AS u FROM v WHERE rk = 1),
-  pk AS (SELECT session, block, greatest(0.7e0, least(4.0e0, CASE WHEN abs(l - 2 * m + u) >= 1e-18
-    THEN hz + greatest(-0.5e0, least(0.5e0, 0.5e0 * (l - u) / nullif(l - 2 * m + u, 0))) * (hn - hz) ELSE hz END)) AS peak FROM t),
-  g AS (SELECT session, block, peak, sum(CASE WHEN abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0 THEN power ELSE 0 END) AS s,
-    sum(CASE WHEN abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0 THEN 0 ELSE power END) AS n FROM sp JOIN pk USING (session, block) GROUP BY 1, 2, 3),
-  o AS (SELECT session, block, peak * 60 AS bpm, CASE WHEN s <= 1e-20 THEN CAST('-inf' AS DOUBLE) WHEN n <= 1e-20 THEN 60e0 ELSE least(60e0, 10 * log10(s / n)) END AS snr_db FROM g)
-  SELECT session, block, round(bpm, 4) AS bpm, round(snr_db, 4) + 0e0 AS snr_db,
-    CASE WHEN snr_db >= 6 THEN 'alta' WHEN snr_db >= 2 THEN 'média' WHEN snr_db >= 0 THEN 'baixa' ELSE 'descartada' END AS confidence FROM o""")
+@query(f"""WITH {BLOCKS}, {LONG_PERIODOGRAM}, {DOMINANT}""")
 def dominant_frequency(spark, sf_dir):
-    made = spectrum.dominant(spectrum.periodogram(blocks(spark, sf_dir), "g", FPS, BAND, KEYS, "k"), BAND, KEYS)
+    made = spectrum.dominant(spectrum.periodogram(long_blocks(spark, sf_dir), "g", FPS, BAND, KEYS, "k"), BAND, KEYS)
     return made.select(*KEYS, F.round("bpm", 4).alias("bpm"), C.zero(F.col("snr_db"), 4).alias("snr_db"), "confidence")
 
 
-# 64 frames make 3 segments of 21 that overlap by 10 and hop by 11, so 4 places (0, 11, 22, 33); 256 bins of 30 / 256 Hz
-@query(f"""WITH {BLOCKS}, sg AS (SELECT *, k - s * 11 AS j FROM bl, (SELECT unnest(range(0, 4)) AS s) WHERE k - s * 11 BETWEEN 0 AND 20),
-  d AS (SELECT session, block, s, j, (g - avg(g) OVER (PARTITION BY session, block, s)) * (0.5e0 - 0.5e0 * cos({PERIOD} * j / 21)) AS x, 0.5e0 - 0.5e0 * cos({PERIOD} * j / 21) AS w FROM sg),
-  pw AS (SELECT session, block, s, bin, 2 * (power(sum(x * cos((j * bin % 256) * {PERIOD} / 256)), 2) + power(sum(x * sin((j * bin % 256) * {PERIOD} / 256)), 2)) / (sum(w * w) * 30) AS power
-    FROM d, (SELECT unnest(range(6, 35)) AS bin) GROUP BY 1, 2, 3, 4)
+# segments of max(8, n / 3) frames that overlap by half, padded to a power of two of 8 times their length
+@query(f"""WITH {BLOCKS}, z AS (SELECT *, greatest(8, n // 3) AS len FROM bl WHERE n >= 8), y AS (SELECT *, len - len // 2 AS hop, CAST(power(2, ceil(log2(8 * len - 0.5e0))) AS BIGINT) AS size FROM z),
+  sg0 AS (SELECT *, unnest(range(0, (n - len) // hop + 1)) AS s FROM y), sg AS (SELECT *, k - s * hop AS j FROM sg0 WHERE k - s * hop BETWEEN 0 AND len - 1),
+  d AS (SELECT session, block, s, j, size, (g - avg(g) OVER (PARTITION BY session, block, s)) * (0.5e0 - 0.5e0 * cos({PERIOD} * j / len)) AS x, 0.5e0 - 0.5e0 * cos({PERIOD} * j / len) AS w FROM sg),
+  db AS (SELECT *, unnest(range(CAST(ceil(0.7e0 * size / 30 - 1e-9) AS BIGINT), CAST(floor(4.0e0 * size / 30 + 1e-9) AS BIGINT) + 1)) AS bin FROM d),
+  pw AS (SELECT session, block, s, bin, 2 * (power(sum(x * cos((j * bin % size) * {PERIOD} / size)), 2) + power(sum(x * sin((j * bin % size) * {PERIOD} / size)), 2)) / (sum(w * w) * 30) AS power
+    FROM db GROUP BY 1, 2, 3, 4)
   SELECT session, block, bin, round(avg(power), 4) + 0e0 AS power FROM pw GROUP BY 1, 2, 3""")
 def welch(spark, sf_dir):
     made = spectrum.welch(blocks(spark, sf_dir), "g", FPS, BAND, KEYS, "k")
@@ -432,10 +449,10 @@ def benchmark_metrics(spark, sf_dir):
     return made.select("scenario", "total", "failures", *(C.zero(F.col(c), 5).alias(c) for c in ("mae", "max_error", "rmse", "mean_snr_db")), F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query(f"""WITH {EVENTS} SELECT session % 7 AS scenario, {", ".join(f"round(avg(abs(value - 50)) FILTER (event_type = '{a}'), 5) AS {a}" for a in ("click", "view", "signup"))} FROM e GROUP BY 1""")
+@query(f"""WITH {EVENTS} SELECT session % 7 AS scenario, {", ".join(f"round(avg(abs(value - 50)) FILTER (event_type = '{a}'), 5) AS {a}" for a in EVENT_TYPES)} FROM e GROUP BY 1""")
 def benchmark_pivot(spark, sf_dir):
     rows = events(spark, sf_dir).select((F.col("session") % 7).alias("scenario"), "event_type", F.abs(F.col("value") - 50).alias("error"))
-    return rows.groupBy("scenario").pivot("event_type", ["click", "view", "signup"]).agg(F.round(F.avg("error"), 5))
+    return rows.groupBy("scenario").pivot("event_type", list(EVENT_TYPES)).agg(F.round(F.avg("error"), 5))
 
 
 RANKING = f"""{EVENTS}, {ESTIMATES}, c AS (SELECT event_type, session % 5 AS variant, quantile_cont(value, 0.5) AS m, stddev_pop(value) AS d, quantile_cont(snr_db, 0.5) AS s, count(*) AS n FROM z GROUP BY 1, 2),
@@ -523,21 +540,22 @@ def history_people(spark, sf_dir):
     return made.select("person", "records", "last", *(F.round(f"{n}_bpm", 5).alias(f"{n}_bpm") for n in ("mean", "min", "max")))
 
 
-@query(f"""WITH {HISTORY} SELECT id, strftime(ts, '%d/%m/%Y;%H:%M:%S;') || person || ';' || replace(format('{{:.1f}}', bpm), '.', ',') || ';' || replace(format('{{:.1f}}', bpm * 2), '.', ',') || ';' || confidence || ';' || regexp_replace(note, '[;\\r\\n]+', ' ', 'g') AS line FROM h
-  WHERE round(bpm * 10, 6) * 10 % 10 <> 5""")
-def history_csv(spark, sf_dir):
-    # halves of the last shown digit are left out: both engines print them as their own rounding says
-    rows = as_history(spark, sf_dir).filter(F.round(F.col("bpm") * 10, 6) * 10 % 10 != 5)
-    return reports.history_lines(rows.withColumn("snr_db", F.col("bpm") * 2))
+HISTORY_LINES = f"""WITH {HISTORY}, c AS (SELECT *, CAST(bpm AS DECIMAL(18, 6)) AS d, CAST(bpm * 2 AS DECIMAL(18, 6)) AS d2 FROM h)
+  SELECT id, strftime(ts, '%d/%m/%Y;%H:%M:%S;') || person || ';' || replace(CAST(round(d, 1) AS VARCHAR), '.', ',') || ';' || replace(CAST(round(d2, 1) AS VARCHAR), '.', ',') || ';' || confidence || ';' || regexp_replace(note, '[;\\r\\n]+', ' ', 'g') AS line FROM c"""
 
 
-@query(f"""WITH {HISTORY}, c AS (SELECT *, CAST(bpm AS DECIMAL(18, 6)) AS d, CAST(bpm * 2 AS DECIMAL(18, 6)) AS d2 FROM h)
-  SELECT id, strftime(ts, '%d/%m/%Y;%H:%M:%S;') || person || ';' || replace(CAST(round(d, 1) AS VARCHAR), '.', ',') || ';' || replace(CAST(round(d2, 1) AS VARCHAR), '.', ',') || ';' || confidence || ';' || regexp_replace(note, '[;\\r\\n]+', ' ', 'g') AS line FROM c""")
-def history_csv_whole(spark, sf_dir):
+@query(HISTORY_LINES)
+def history_csv(spark, sf_dir):
     """Every record of the history; halves of the last shown digit go up, as decimals do in both engines."""
     return reports.history_lines(as_history(spark, sf_dir).withColumn("snr_db", F.col("bpm") * 2))
 
 
+@query(HISTORY_LINES)
+def history_csv_whole(spark, sf_dir):
+    """The same under its earlier name."""
+    return history_csv(spark, sf_dir)
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def history_json(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -575,7 +593,7 @@ def drawn_points(spark, sf_dir):
 
 
 # Kernels, state and streams have no SQL.
-SHORT = Analysis(window_s=64 / FPS, step_s=32 / FPS, background=False, least_snr_db=-60.0)
+SHORT = Analysis(window_s=64 / FPS, step_s=32 / FPS, background=False)
 
 
 @query()
@@ -593,11 +611,11 @@ def algorithm_grid(spark, sf_dir):
 
 @query()
 def accuracy_battery(spark, sf_dir):
-    """Simulated recordings for the customers' rates in every condition, by chrominance and plane, against the truth."""
+    """Simulated recordings for the customers' rates in every condition, by every algorithm, against the truth."""
     table = recordings.scenarios(rates(spark, sf_dir))
     made = recordings.simulated(table.repartition("bpm", "scenario"))
     truth = made.withColumnRenamed("bpm", "truth")
-    found = analysis.analysed(truth, FPS, Analysis(background=False), ["scenario", "truth"], "i", ["chrom", "pos"])
+    found = analysis.analysed(truth, FPS, Analysis(background=False), ["scenario", "truth"], "i", list(ALGORITHMS))
     errors = found.select("scenario", "algorithm", F.abs(F.col("bpm") - F.col("truth")).alias("error"), "snr_db")
     return reports.accuracy(errors, ["scenario", "algorithm"])
 
@@ -607,27 +625,63 @@ def diagnostic_grid(spark, sf_dir):
     """Two colour variants of every session through the grid, ranked; the capture is read once."""
     rows = frames(spark, sf_dir)
     wide = rows.select("session", "i", *(F.col(c).alias(f"{c}_plain") for c in "rgb"), *((F.col(c) * 0.9 + F.col("bg") * 0.1).alias(f"{c}_mixed") for c in "rgb"), *(F.col("bg").alias(f"bg_{c}") for c in "rgb"))
-    config = Analysis(window_s=128 / FPS, step_s=128 / FPS, band=Band(0.75, 3.3))
+    # orders have no pulse, so the gate on noise is open here; `pulse_estimates` and `algorithm_grid` keep it
+    config = Analysis(window_s=128 / FPS, step_s=128 / FPS, band=Band(0.75, 3.3), least_snr_db=-60.0)
     found = diagnostic.grid(diagnostic.stacked(wide, ["plain", "mixed"]), FPS, config)
     return reports.diagnostic_ranking(found, ["variant", "algorithm", "with_background"])
 
 
-@query()
+@query(f"""WITH {BLOCKS}, d AS (SELECT session, block, k, avg(g) OVER (PARTITION BY session, block) - g AS x FROM bl WHERE n >= 8), {dft_sql("x")},
+  y AS (SELECT d.session, d.block, d.k, sum(2 * (re * cos(k * bin * {PERIOD} / 64) + im * sin(k * bin * {PERIOD} / 64))) / 64 AS y FROM d JOIN s USING (session, block) GROUP BY 1, 2, 3),
+  yn AS (SELECT *, count(*) OVER (PARTITION BY session, block) AS n FROM y), x AS (WITH {periodogram_sql("yn", "y")} SELECT * FROM sp), sp AS (SELECT * FROM x), {DOMINANT}""")
 def finger_mode(spark, sf_dir):
     """Blocks of frames as a fingertip's."""
-    return analysis.finger(blocks(spark, sf_dir), FPS, SHORT, BLOCK, KEYS, "k")
+    made = analysis.finger(long_blocks(spark, sf_dir), FPS, SHORT, BLOCK, KEYS, "k")
+    return made.select(*KEYS, F.round("bpm", 4).alias("bpm"), C.zero(F.col("snr_db"), 4).alias("snr_db"), "confidence")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT session, i, row_number() OVER (PARTITION BY session ORDER BY i) AS n, i % 5 <> 0 AS face, x, y, w, h FROM q),
+  t AS (SELECT session, i, n, CASE WHEN face THEN x END AS x, CASE WHEN face THEN y END AS y, CASE WHEN face THEN w END AS w, CASE WHEN face THEN h END AS h, CASE WHEN face THEN 0 ELSE 1 END AS misses FROM o WHERE n = 1
+  UNION ALL SELECT session, i, n, CASE what WHEN 'held' THEN bx WHEN 'new' THEN x WHEN 'moved' THEN CAST(round_even(bx + (x - bx) * 0.25e0, 0) AS INTEGER) END,
+    CASE what WHEN 'held' THEN "by" WHEN 'new' THEN y WHEN 'moved' THEN CAST(round_even("by" + (y - "by") * 0.25e0, 0) AS INTEGER) END,
+    CASE what WHEN 'held' THEN bw WHEN 'new' THEN w WHEN 'moved' THEN CAST(round_even(bw + (w - bw) * 0.25e0, 0) AS INTEGER) END,
+    CASE what WHEN 'held' THEN bh WHEN 'new' THEN h WHEN 'moved' THEN CAST(round_even(bh + (h - bh) * 0.25e0, 0) AS INTEGER) END,
+    CASE WHEN what IN ('held', 'gone') THEN misses + 1 ELSE 0 END
+    FROM (SELECT *, CASE WHEN (NOT face OR odd) AND bx IS NOT NULL AND misses + 1 <= 15 THEN 'held' WHEN NOT face THEN 'gone' WHEN bx IS NULL THEN 'new' ELSE 'moved' END AS what
+      FROM (SELECT o.*, t.x AS bx, t.y AS "by", t.w AS bw, t.h AS bh, t.misses, t.x IS NOT NULL AND (sqrt(power(o.x + o.w / 2e0 - t.x - t.w / 2e0, 2) + power(o.y + o.h / 2e0 - t.y - t.h / 2e0, 2)) > 0.35e0 * greatest(1, t.w)
+        OR NOT o.w / CAST(greatest(1, t.w) AS DOUBLE) BETWEEN 0.625e0 AND 1.6e0) AS odd FROM o JOIN t ON o.session = t.session AND o.n = t.n + 1)))
+  SELECT session, i, x, y, w, h, x IS NULL AS lost FROM t""")
 def box_tracking(spark, sf_dir):
     """Boxes of each session through the tracker; every fifth order has no face."""
     rows = boxes(spark, sf_dir)
     return regions.tracked(rows.select("session", "i", *(F.when(F.col("i") % 5 != 0, F.col(n)).alias(n) for n in "xywh")))
 
 
+@query(f"""WITH {EVENTS}, o AS (SELECT session, t, value, row_number() OVER (PARTITION BY session ORDER BY event_id) AS n, count(*) OVER (PARTITION BY session) AS total FROM e),
+  w AS (SELECT session, window_id, t, value FROM (SELECT *, unnest(range(0, (total - 20) // 10 + 1)) AS window_id FROM o WHERE total >= 20) WHERE n BETWEEN window_id * 10 + 1 AND window_id * 10 + 20),
+  g0 AS (SELECT *, t - lag(t) OVER (PARTITION BY session, window_id ORDER BY t) AS gap FROM w), r AS (SELECT session, window_id, coalesce(1 / quantile_cont(gap, 0.5) FILTER (gap > 0), 0) AS fps, min(t) AS a, max(t) AS b FROM g0 GROUP BY 1, 2),
+  c AS (SELECT *, CAST(round_even((b - a) * fps, 0) AS BIGINT) AS points FROM r), p AS (SELECT *, unnest(range(0, points + 1)) AS k FROM c), q AS (SELECT session, window_id, fps, points, k, a + (b - a) * k / nullif(points, 0) AS s FROM p),
+  l AS (SELECT session, window_id, t, value, lead(t) OVER o AS t2, lead(value) OVER o AS v2 FROM w WINDOW o AS (PARTITION BY session, window_id ORDER BY t)),
+  m AS (SELECT q.session, q.window_id, q.fps, q.points, CASE WHEN l.t2 > l.t THEN l.value + (least(q.s, l.t2) - l.t) / (l.t2 - l.t) * (l.v2 - l.value) ELSE l.value END AS v FROM q ASOF JOIN l ON q.session = l.session AND q.window_id = l.window_id AND q.s >= l.t)
+  SELECT session, window_id, round(any_value(fps), 4) AS fps, any_value(points) + 1 AS points, round(avg(v), 3) AS mean FROM m GROUP BY 1, 2""")
+def window_resampling(spark, sf_dir):
+    """Count windows over events at their irregular times, each put on an even grid at the rate that its times show."""
+    windows = series.count_windows(events(spark, sf_dir).select("session", "event_id", "t", "value"), 20, 10, order="event_id")
+    by = ["session", "window_id"]
+    rates = series.effective_fps(windows, "t", by)
+    made = series.resampled(windows, ["value"], rates, by)
+    sums = made.groupBy(*by).agg(F.count("*").alias("points"), F.avg("value").alias("mean"))
+    return sums.join(rates, by).select(*by, F.round("fps", 4).alias("fps"), "points", F.round("mean", 3).alias("mean"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the checkpoint folder that the cluster names."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/pulsegrid'}/stream-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="pulsegrid-")
+    return f"{named}/stream-{uuid.uuid4().hex}"
 
 
 @query()
@@ -636,7 +690,7 @@ def stream_monitor(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = monitor.frame_stream(spark, sf_dir, schema, "events.parquet")
     v = F.col("value")
-    live = stream.select(F.col("user_id").alias("session"), F.col("event_id").alias("i"), (F.col("event_id") * 7 % 50 + 100.0).alias("r"), (v * 0.7 + 90).alias("g"), (F.col("event_id") * 13 % 30 + 80.0).alias("b"), (F.col("event_id") % 997 == 0).alias("lost"))
+    live = stream.select(F.col("user_id").alias("session"), F.col("event_id").alias("i"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 / 300).alias("t"), (F.col("event_id") * 7 % 50 + 100.0).alias("r"), (v * 0.7 + 90).alias("g"), (F.col("event_id") * 13 % 30 + 80.0).alias("b"), (F.col("event_id") % 997 == 0).alias("lost"))
     return monitor.drained(monitor.monitored(live, FPS, SHORT.having(window_s=40 / FPS, step_s=10 / FPS)), "monitor", shared_folder(spark))
 
 

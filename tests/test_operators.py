@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.config import COMMAND, DIAGNOSTIC, LIBRARY, Analysis, Band, Simulation
 from pulsegrid.functions import columns as C
 from pulsegrid.operators import kernels, pulse, regions, series, spectrum
-from pulsegrid.plans import analysis, reports
+from pulsegrid.plans import analysis, diagnostic, reports
 from pulsegrid.sources import faces, history, recordings
 from pulsegrid.sources.datasource import SimulatedPulse
 from pulsegrid.streaming.monitor import Monitor
@@ -185,12 +185,64 @@ def test_stream_state_equals_the_batch(recording):
     rows = []
     for r in recording.itertuples():
         own = Monitor(30.0, config, own.saved())  # as a new trigger would find it
-        if (found := own.push(r.i, [r.r, r.g, r.b], False)) is not None:
+        assert (own.progress(r.i) is None) == (len(own.buffer) == 300)
+        if (found := own.push(r.i, [None, r.r, r.g, r.b], False)) is not None:
             rows.append(found)
     direct = [analysis.analyse(recording[["r", "g", "b"]].to_numpy()[i - 299 : i + 1].T, 30.0, config)["bpm"] for i in range(299, 600, 30)]
     assert [x[0] for x in rows] == list(range(299, 600, 30)) and np.allclose([x[2] for x in rows], direct)
-    own.push(600, [1, 2, 3], True)
-    assert own.buffer == [] and own.segment == 1 and own.shown is None
+    last = own.last_bpm
+    for k in range(30):  # a flat window fails and keeps the last good analysis
+        found = Monitor(30.0, config.having(least_snr_db=1e9), own.saved()).push(600 + k, [None, 1, 2, 3], False) or found
+        own.push(600 + k, [None, *recording[["r", "g", "b"]].iloc[k]], False)
+    assert found[2] is None and found[5] is not None and found[7] == last
+    own.push(700, [None, 1, 2, 3], True)
+    assert own.buffer == [] and own.segment == 1 and own.shown is None and own.last_bpm is None
+
+
+@pytest.mark.parametrize(("fps", "jitter"), [(20.0, 0.0), (50.0, 0.0), (30.0, 0.012)])
+def test_windows_are_resampled_at_their_own_rate_in_batch_and_stream(spark, fps, jitter):
+    """Analysed as 30 frames a second, whatever the capture's rate: a stream finds what the batch does."""
+    made = recordings.simulate(Simulation(bpm=72, duration_s=26, fps=fps, seed=5, jitter_s=jitter))
+    config = Analysis(window_s=10.0, step_s=2.0, background=False, smoothing=1.0)
+    frames = spark.createDataFrame(made[["i", "t", "r", "g", "b"]].assign(session=1))
+    rows = sorted(analysis.sessions(frames, 30.0, config).collect(), key=lambda r: r.window_id)
+    assert rows and all(r.error_code is None and abs(r.bpm - 72) < 1.5 for r in rows)
+    own = Monitor(30.0, config)
+    live = [x for r in made.itertuples() if (x := own.push(r.i, [r.t, r.r, r.g, r.b], False)) is not None]
+    assert np.allclose([x[2] for x in live], [r.bpm for r in rows])
+
+
+def test_windows_do_not_reach_across_lost_faces(spark, recording):
+    frames = spark.createDataFrame(recording[["i", "r", "g", "b"]].assign(session=1))
+    gone = frames.withColumn("lost", F.col("i").between(280, 283) | (F.col("i") == 20))
+    config = Analysis(window_s=4.0, step_s=1.0, background=False, patience=3)
+    found = analysis.sessions(gone, 30.0, config).collect()
+    own, live = Monitor(30.0, config), []
+    for r in recording.itertuples():
+        if (x := own.push(r.i, [None, r.r, r.g, r.b], r.i == 20 or 280 <= r.i <= 283)) is not None:
+            live.append(x)
+    assert [(r.segment, r.window_id) for r in sorted(found, key=lambda r: (r.segment, r.window_id))] == [(0, k) for k in range(6)] + [(1, k) for k in range(7)]
+    assert [x[6] for x in live] == [0] * 6 + [1] * 7
+    assert analysis.sessions(frames, 30.0, config, limit=150).count() == 2
+
+
+def test_live_sessions_use_their_background(recording):
+    config = Analysis(window_s=10.0, step_s=2.0, algorithm="verde")
+    wave = 20 * np.sin(2 * np.pi * 1.9 * np.arange(len(recording)) / 30)  # a white balance that swings
+    own, plain = Monitor(30.0, config), Monitor(30.0, config)
+    for k, r in enumerate(recording.itertuples()):
+        frame = [None, r.r + 0.8 * wave[k], r.g + 0.28 * wave[k], r.b + 0.9 * wave[k]]
+        own.push(r.i, [*frame, 100 + 0.8 * wave[k], 100 + 0.28 * wave[k], 100 + 0.9 * wave[k]], False)
+        plain.push(r.i, frame, False)
+    assert abs(own.last_bpm - 72) < 1 and (plain.last_bpm is None or abs(plain.last_bpm - 72) > 1)
+
+
+def test_the_grid_skips_windows_without_a_whole_background(spark, recording):
+    frames = spark.createDataFrame(recording[["i", "r", "g", "b"]].assign(session=1, variant="a"))
+    rows = frames.select("*", *(F.when(F.col("i") != 100, F.lit(90.0) + F.sin("i")).alias(f"bg_{c}") for c in "rgb"))
+    found = diagnostic.grid(rows, 30.0, Analysis(window_s=4.0, step_s=2.0, least_snr_db=-100.0), algorithms=["pos"]).collect()
+    assert {r.window_id for r in found if not r.with_background} == set(range(9))
+    assert {r.window_id for r in found if r.with_background} == set(range(2, 9))
 
 
 def test_reports(spark):
