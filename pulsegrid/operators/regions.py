@@ -30,8 +30,9 @@ def opened_and_closed(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A mask (keys, y, x, on) after an opening and a closing by the cross of five pixels.
 
     Each pass takes the least or largest of a pixel and its four neighbours: two windows, along rows and along columns.
-    Pixels beyond the image never decide.
+    Pixels beyond the image never decide. Frames are dealt once, so all eight windows share one exchange.
     """
+    mask = mask.repartition(*keys)
 
     def passed(df, pick):
         row = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-1, 1)

@@ -70,16 +70,17 @@ def dominant(spectrum: DataFrame, band: Band, keys: Sequence[str] = ("session",)
 
     Signal is what lies within 0.1 Hz of the peak or 0.2 Hz of its double; -inf without signal, 60 dB at most.
     """
-    ordered = Window.partitionBy(*keys).orderBy("bin")
+    each = Window.partitionBy(*keys)
+    ordered = each.orderBy("bin")
     near = spectrum.withColumn("_before", F.lag("power").over(ordered)).withColumn("_after", F.lead("power").over(ordered)).withColumn("_next", F.lead("hz").over(ordered))
-    top = near.groupBy(*keys).agg(F.max_by(F.struct("hz", "power", "_before", "_after", "_next"), F.struct("power", -F.col("bin"))).alias("p"))
+    # the peak by a window over the same keys: the spectrum is made once and joined with nothing
+    top = near.withColumn("p", F.max(F.struct("power", (-F.col("bin")).alias("_turn"), "hz", "_before", "_after", "_next")).over(each))
     positive = (F.col("p._before") > 0) & (F.col("p.power") > 0) & (F.col("p._after") > 0)
     log = {n: F.log(F.when(F.col(f"p.{n}") > 0, F.col(f"p.{n}"))) for n in ("_before", "power", "_after")}
     bend = log["_before"] - 2 * log["power"] + log["_after"]
     shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (log["_before"] - log["_after"]) / F.nullif(bend, F.lit(0.0))))
     hz = F.when(positive & (F.abs(bend) >= 1e-18), F.col("p.hz") + shift * (F.col("p._next") - F.col("p.hz"))).otherwise(F.col("p.hz"))
-    peak = top.select(*keys, F.greatest(F.lit(band.low_hz), F.least(F.lit(band.high_hz), hz)).alias("peak_hz"))
-    met = spectrum.join(peak, list(keys))
+    met = top.select(*keys, "hz", "power", F.greatest(F.lit(band.low_hz), F.least(F.lit(band.high_hz), hz)).alias("peak_hz"))
     is_signal = (F.abs(F.col("hz") - F.col("peak_hz")) <= SNR_WIDTH_HZ) | (F.abs(F.col("hz") - 2 * F.col("peak_hz")) <= 2 * SNR_WIDTH_HZ)
     sums = met.groupBy(*keys, "peak_hz").agg(F.sum(F.when(is_signal, F.col("power")).otherwise(0.0)).alias("s"), F.sum(F.when(is_signal, 0.0).otherwise(F.col("power"))).alias("n"))
     ratio = 10 * F.log10(F.when(F.col("s") > 1e-20, F.col("s")) / F.when(F.col("n") > 1e-20, F.col("n")))

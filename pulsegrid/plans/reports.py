@@ -107,20 +107,25 @@ def write_estimates(estimates: DataFrame, path: str) -> None:
 
 
 def capture_wide(capture: DataFrame, variants: Sequence[str]) -> DataFrame:
-    """A row for each frame with r, g, b and px of every variant side by side."""
-    wide = capture.groupBy("i", "t").pivot("variant", list(variants)).agg(*(F.first(c).alias(c) for c in ("r", "g", "b", "px")))
-    return wide
+    """A row for each frame with r, g, b and px of every variant side by side, and the background's colours and the box
+    where the capture has them; these are the frame's, not a variant's."""
+    of_variant = (F.first(F.when(F.col("variant") == v, F.col(c)), True).alias(f"{v}_{c}") for v in variants for c in ("r", "g", "b", "px"))
+    of_frame = (F.first(c, True).alias(c) for c in ("bg_r", "bg_g", "bg_b", "box_x", "box_y", "box_w", "box_h") if c in capture.columns)
+    return capture.groupBy("i", "t").agg(*of_variant, *of_frame)
 
 
 def write_capture(capture: DataFrame, variants: Sequence[str], path: str) -> None:
     capture_wide(capture, variants).write.mode("overwrite").option("header", True).option("sep", ";").option("nullValue", "").csv(path)
 
 
-def markdown(report: DataFrame, rows: int = 100) -> str:
-    """A small report as a Markdown table."""
+def markdown(report: DataFrame, rows: int = 10_000) -> str:
+    """A small report as a Markdown table; one of more than `rows` rows is refused, not cut."""
     names = report.columns
     lines = [f"| {' | '.join(names)} |", f"|{'---|' * len(names)}"]
-    for r in report.limit(rows).collect():
+    found = report.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report of more than {rows} rows is for a table, not for Markdown")
+    for r in found:
         lines.append(f"| {' | '.join(f'{v:.2f}' if isinstance(v, float) else '' if v is None else str(v) for v in r)} |")
     return "\n".join(lines)
 

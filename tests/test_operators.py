@@ -327,3 +327,21 @@ def test_commands():
     assert (args.window, args.bpm_min, args.algorithm) == (25.0, 45.0, "pos")
     with pytest.raises(SystemExit):
         parser().parse_args(["simulate", "--algorithm", "none"])
+
+
+def test_captures_are_written_with_background_and_box(spark, tmp_path):
+    rows = [(i, i / 30, v, 1.0 + i, 2.0, 3.0, 60, None if i == 1 else 9.5, 9.0, 8.0, 4, 5, 40, 50) for i in range(3) for v in ("brow", "cheeks")]
+    capture = table(spark, rows, "i long, t double, variant string, r double, g double, b double, px int, bg_r double, bg_g double, bg_b double, box_x int, box_y int, box_w int, box_h int")
+    reports.write_capture(capture, ["brow", "cheeks"], str(tmp_path / "c"))
+    lines = sorted(line for f in (tmp_path / "c").glob("*.csv") for line in f.read_text().splitlines())
+    header = next(x for x in lines if x.startswith("i;"))
+    assert header.split(";") == ["i", "t", *(f"{v}_{c}" for v in ("brow", "cheeks") for c in ("r", "g", "b", "px")), "bg_r", "bg_g", "bg_b", "box_x", "box_y", "box_w", "box_h"]
+    assert len(set(lines) - {header}) == 3 and ";;9.0;8.0;4;5;40;50" in next(x for x in lines if x.startswith("1;"))
+    with pytest.raises(ValueError):
+        reports.markdown(capture, rows=5)
+
+
+def test_morphology_deals_frames_once(spark):
+    mask = spark.range(400).select((F.col("id") % 4).alias("frame"), (F.col("id") % 10).alias("y"), F.floor(F.col("id") / 40).alias("x"), (F.col("id") % 3 == 0).cast("int").alias("on"))
+    plan = regions.opened_and_closed(mask, ["frame"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
