@@ -104,6 +104,23 @@ def analysed(
     return windows.select(*dict.fromkeys(wanted)).groupBy(*keys).applyInPandas(run, schema)
 
 
+def pulses(windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] = ("pos",)) -> DataFrame:
+    """(keys, order, a column for each algorithm): the pulse signals themselves, null in a window too short to filter."""
+    kinds = dict(windows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        channels = pdf[["r", "g", "b"]].to_numpy(float).T
+        made = pdf[[*keys, order]].copy()
+        for a in algorithms:
+            long = channels.shape[1] >= kernels.least_samples(config.order)
+            made[a] = kernels.algorithm(a)(channels, fps, config.band, config.order, config.detrend) if long else pd.array([None] * len(pdf), "Float64")
+        return made
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, order)), *(f"{a} double" for a in algorithms)])
+    return windows.select(*keys, order, "r", "g", "b").groupBy(*keys).applyInPandas(run, schema)
+
+
 def finger(frames: DataFrame, fps: float, config: Analysis = LIBRARY, length: int = 1024, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
     """A fingertip over the lens: green alone, band-passed by its transform, without rectification or detrending."""
     signal = pulse.spectral_bandpass(pulse.green(frames), ["pulse"], fps, config.band, length, keys, order)

@@ -5,6 +5,7 @@ import pytest
 
 from pulsegrid.config import Band, Simulation
 from pulsegrid.operators import kernels as K
+from pulsegrid.plans import linear_maps
 from pulsegrid.plans.analysis import analyse
 from pulsegrid.config import Analysis
 from pulsegrid.sources.recordings import BATTERY_BPM, CONDITIONS, simulate
@@ -102,3 +103,10 @@ def test_background_rescues_oscillating_white_balance(bpm):
     wall = np.array([120 * (1 + gain * light) + rng.normal(0, 0.05, 720) for gain in (0.020, 0.008, 0.030)])
     config = Analysis(window_s=24, background=True)
     assert abs(analyse(face, 30.0, config, wall)["bpm"] - bpm) < 3
+
+
+@pytest.mark.parametrize("n", [28, 64, 300])
+def test_filters_equal_their_dense_matrices(n):
+    x = np.random.default_rng(n).normal(100, 5, n)
+    assert np.allclose(linear_maps.bandpass_map(n, 30.0, 0.7, 4.0) @ x, K.bandpass(x, 30.0, Band()), atol=1e-7)
+    assert np.allclose(linear_maps.detrend_map(n, 100.0) @ x, K.detrend(x, 100.0), atol=1e-7)
