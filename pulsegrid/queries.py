@@ -606,13 +606,13 @@ FILTER = bandpass_map(BLOCK, FPS, BAND.low_hz, BAND.high_hz)
   m AS (SELECT *, r / avg(r) OVER x AS nr, g / avg(g) OVER x AS ng, b / avg(b) OVER x AS nb FROM w WINDOW x AS (PARTITION BY session, window_id)),
   xy AS (SELECT session, window_id, fl.i AS k, sum(v * (3 * nr - 2 * ng)) AS x, sum(v * (1.5e0 * nr + ng - 1.5e0 * nb)) AS y FROM m JOIN fl ON k = j GROUP BY 1, 2, 3),
   s AS (SELECT session, window_id, k, x - CASE WHEN stddev_pop(y) OVER o > 1e-12 THEN stddev_pop(x) OVER o / stddev_pop(y) OVER o ELSE 0 END * y AS s FROM xy WINDOW o AS (PARTITION BY session, window_id))
-  SELECT w.session, w.window_id, CAST(fd.i AS INTEGER) AS k, round(sum(-v * g), 4) + 0e0 AS verde, round(sum(v * s), 4) + 0e0 AS chrom
+  SELECT w.session, w.window_id, CAST(fd.i AS INTEGER) AS k, round(sum(-v * g), 3) + 0e0 AS verde, round(sum(v * s), 4) + 0e0 AS chrom
   FROM w JOIN s ON w.session = s.session AND w.window_id = s.window_id AND w.k = s.k JOIN fd ON w.k = j GROUP BY 1, 2, 3""")
 def pulse_signals(spark, sf_dir):
     """Sliding windows through the recursive band-pass and the smooth trend: green's and chrominance's pulse signals."""
     windows = series.count_windows(frames(spark, sf_dir), BLOCK, BLOCK // 2)
     made = analysis.pulses(windows, FPS, Analysis(), algorithms=["verde", "chrom"])
-    return made.select("session", "window_id", "k", C.zero(F.col("verde"), 4).alias("verde"), C.zero(F.col("chrom"), 4).alias("chrom"))
+    return made.select("session", "window_id", "k", C.zero(F.col("verde"), 3).alias("verde"), C.zero(F.col("chrom"), 4).alias("chrom"))
 
 
 @query()
