@@ -119,9 +119,22 @@ def plausible_eyes(left: Column, right: Column, face_width: Column) -> Column:
     return (dx > 0) & (d / face_width).between(0.22, 0.75) & (F.abs(right["y"] - left["y"]) <= 0.35 * d)
 
 
+def held_eyes(frames: DataFrame, keys: Sequence[str] = ("session",), order: str = "i", every: int = 60) -> DataFrame:
+    """`frames` with the eyes (left, right) that hold at each: looked for until some are found, then every so many frames.
+
+    A look that finds none leaves the eyes as they were. The order column counts a session's frames from 0.
+    """
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), F.struct("left", "right"))
+    seen = frames.withColumn("_found", found).withColumn("_before", F.count("_found").over(upto) - F.col("_found").isNotNull().cast("int"))
+    looked = F.when((F.col(order) % every == 0) | (F.col("_before") == 0), F.col("_found"))
+    held = seen.withColumn("_looked", looked).withColumn("_held", F.last("_looked", True).over(upto))
+    return held.withColumn("left", F.col("_held.left")).withColumn("right", F.col("_held.right")).drop("_found", "_before", "_looked", "_held")
+
+
 def anchored_or_fraction(eyes: Column, fractions: Column) -> Column:
-    """Regions by the eyes where there are any."""
-    return F.when(F.size(eyes) > 0, eyes).otherwise(fractions)
+    """The three regions by the eyes, where all lie in the image; for the set of forehead and cheeks alone."""
+    return F.when(F.size(eyes) == 3, eyes).otherwise(fractions)
 
 
 def background_strips(face: Column, width: int, height: int, share: float = 0.14, grown: float = 1.35) -> Column:

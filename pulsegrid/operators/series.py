@@ -50,6 +50,11 @@ def face_segments(frames: DataFrame, patience: int = 0, keys: Sequence[str] = ("
     return counted.filter(~F.col("_gone")).drop("_gone", "_place", "_run")
 
 
+def read_frames(frames: DataFrame, most: int = 30, keys: Sequence[str] = ("session",), order: str = "i", failed: str = "failed") -> DataFrame:
+    """The frames that a capture gives: failed reads are dropped, and `most` of them in a row end its session."""
+    return face_segments(frames, most - 1, keys, order, failed).filter("segment = 0").drop("segment")
+
+
 def sessions_by_gap(frames: DataFrame, gap: float, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """(keys, part, start, end, n): runs of frames with no pause above `gap`."""
     w = Window.partitionBy(*keys).orderBy(t)

@@ -345,3 +345,25 @@ def test_morphology_deals_frames_once(spark):
     mask = spark.range(400).select((F.col("id") % 4).alias("frame"), (F.col("id") % 10).alias("y"), F.floor(F.col("id") / 40).alias("x"), (F.col("id") % 3 == 0).cast("int").alias("on"))
     plan = regions.opened_and_closed(mask, ["frame"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_failed_reads_are_dropped_and_thirty_end_a_session(spark):
+    failed = {3, 4, *range(10, 39), *range(50, 80)}
+    frames = table(spark, [(1, i, i in failed) for i in range(100)], "session int, i int, failed boolean")
+    assert [r.i for r in series.read_frames(frames).orderBy("i").collect()] == [i for i in range(50) if i not in failed]
+
+
+def test_eyes_are_held_and_looked_for_again(spark):
+    rng = random.Random(1)
+    point = "struct<x:double,y:double>"
+    rows, expected, held = [], [], None
+    for i in range(200):
+        eyes = None if i < 7 or rng.random() < 0.3 else ((float(i), 1.0), (i + 9.0, 1.0))
+        if held is None or i % 60 == 0:  # the rule itself
+            held = eyes or held
+        expected.append(held and held[0][0])
+        rows.append((1, i, *(eyes or (None, None))))
+    got = regions.held_eyes(table(spark, rows, f"session int, i int, left {point}, right {point}")).orderBy("i").collect()
+    assert [r.left and r.left.x for r in got] == expected
+    eyes, fractions = F.array(*map(F.lit, (1, 2))), F.array(F.lit(9))
+    assert spark.range(1).select(regions.anchored_or_fraction(eyes, fractions).alias("r")).first().r == [9]
