@@ -12,6 +12,7 @@ from . import langid, neardup, pii, quality, topk, toxicity
 from .common import held_out, table
 from .media import store_texts
 from .mixing import mix
+from .oracles import OP3_SQL, OP5_SQL, OP10_SQL
 from .packing import Limits, pack
 from .tokencount import count_tokens
 
@@ -98,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_kdtree_topk": OP6_SQL}
+    return {"op3_pii": OP3_SQL, "op5_language_fusion": OP5_SQL, "op6_kdtree_topk": OP6_SQL, "op10_setsketch_dedup": OP10_SQL}
