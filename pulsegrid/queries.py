@@ -615,11 +615,65 @@ def pulse_signals(spark, sf_dir):
     return made.select("session", "window_id", "k", C.zero(F.col("verde"), 3).alias("verde"), C.zero(F.col("chrom"), 4).alias("chrom"))
 
 
-@query()
+def middle_sql(x: str) -> str:
+    return f"(list_sort({x})[(len({x}) + 1) // 2] + list_sort({x})[len({x}) // 2 + 1]) / 2"
+
+
+# windows of 64 frames, 32 apart: lags of the background regressed out of each channel, 17 stacked windows of 48 frames,
+# trend and band-pass as one matrix, bins 11 to 69 of 512 (12 to 68 lie in the band), and beats of what passes the gate
+CHAIN = f"""WITH {FRAMES}, {matrix_sql("fd", FILTER @ detrend_map(BLOCK, 100.0))}, c AS (SELECT session, count(*) AS n FROM f GROUP BY 1),
+  u AS (SELECT f.*, unnest(range(0, (n - 64) // 32 + 1)) AS window_id FROM f JOIN c USING (session) WHERE n >= 64),
+  w AS (SELECT session, window_id, i - window_id * 32 AS k, r, g, b, bg FROM u WHERE i BETWEEN window_id * 32 AND window_id * 32 + 63),
+  z AS (SELECT *, (bg - avg(bg) OVER x) / nullif(stddev_pop(bg) OVER x, 0) AS z FROM w WINDOW x AS (PARTITION BY session, window_id)),
+  l AS (SELECT session, window_id, k, z AS l0, coalesce(lag(z) OVER o, 0) AS l1, coalesce(lag(z, 2) OVER o, 0) AS l2, unnest(['r', 'g', 'b']) AS ch, unnest([r, g, b]) AS v FROM z WINDOW o AS (PARTITION BY session, window_id ORDER BY k)),
+  m AS (SELECT *, avg(v) OVER x AS mean, stddev_pop(v) OVER x AS sd FROM l WINDOW x AS (PARTITION BY session, window_id, ch)),
+  s AS (SELECT session, window_id, ch, sum(l0 * l0) AS s00, sum(l0 * l1) AS s01, sum(l0 * l2) AS s02, sum(l1 * l1) AS s11, sum(l1 * l2) AS s12, sum(l2 * l2) AS s22,
+    sum(l0 * (v - mean)) AS t0, sum(l1 * (v - mean)) AS t1, sum(l2 * (v - mean)) AS t2 FROM m GROUP BY 1, 2, 3),
+  k3 AS (SELECT session, window_id, ch, {", ".join(f"{cramer(j)} AS c{j}" for j in range(3))} FROM s),
+  y AS (SELECT session, window_id, k, ch, CASE WHEN greatest(abs(c0), abs(c1), abs(c2)) <= 3 * sd THEN v - c0 * l0 - c1 * l1 - c2 * l2 ELSE v END AS y FROM m JOIN k3 USING (session, window_id, ch)),
+  rgb AS (SELECT session, window_id, k, {", ".join(f"max(y) FILTER (ch = '{c}') AS {c}" for c in "rgb")} FROM y GROUP BY 1, 2, 3),
+  a0 AS (SELECT *, unnest(range(greatest(0, k - 47), least(k, 16) + 1)) AS a FROM rgb),
+  a1 AS (SELECT session, window_id, k, a, {", ".join(f"{c} / avg({c}) OVER x AS {c}" for c in "rgb")} FROM a0 WINDOW x AS (PARTITION BY session, window_id, a)),
+  a2 AS (SELECT session, window_id, k, a, g - b AS s1, g + b - 2 * r AS s2 FROM a1),
+  a3 AS (SELECT session, window_id, k, a, s1 + stddev_pop(s1) OVER x / stddev_pop(s2) OVER x * s2 AS h FROM a2 WINDOW x AS (PARTITION BY session, window_id, a)),
+  a4 AS (SELECT session, window_id, k, (h - avg(h) OVER x) / stddev_pop(h) OVER x AS h FROM a3 WINDOW x AS (PARTITION BY session, window_id, a)),
+  a5 AS (SELECT session, window_id, k, sum(h) AS h FROM a4 GROUP BY 1, 2, 3),
+  p AS (SELECT session, window_id, fd.i AS k, sum(v * h) AS x FROM a5 JOIN fd ON k = j GROUP BY 1, 2, 3),
+  d AS (SELECT session, window_id, k, 0.5e0 - 0.5e0 * cos({PERIOD} * k / 63) AS w, (x - avg(x) OVER o) * (0.5e0 - 0.5e0 * cos({PERIOD} * k / 63)) AS x FROM p WINDOW o AS (PARTITION BY session, window_id)),
+  sp AS (SELECT session, window_id, bin, bin * 30.0e0 / 512 AS hz, bin BETWEEN 12 AND 68 AS inside, (power(sum(x * cos((k * bin % 512) * {PERIOD} / 512)), 2) + power(sum(x * sin((k * bin % 512) * {PERIOD} / 512)), 2)) / (sum(w * w) * 30) AS power
+    FROM d, (SELECT unnest(range(11, 70)) AS bin) GROUP BY 1, 2, 3),
+  v AS (SELECT *, ln(lag(power) OVER o) AS pb, ln(power) AS pm, ln(lead(power) OVER o) AS pa FROM sp WINDOW o AS (PARTITION BY session, window_id ORDER BY bin)),
+  t AS (SELECT * FROM v WHERE inside QUALIFY row_number() OVER (PARTITION BY session, window_id ORDER BY power DESC, bin) = 1),
+  pk AS (SELECT session, window_id, greatest(0.7e0, least(4.0e0, hz + CASE WHEN abs(pb - 2 * pm + pa) >= 1e-18 THEN greatest(-0.5e0, least(0.5e0, 0.5e0 * (pb - pa) / (pb - 2 * pm + pa))) * 30.0e0 / 512 ELSE 0 END)) AS peak FROM t),
+  n AS (SELECT session, window_id, peak, least(60e0, 10 * log10(sum(power) FILTER (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0) / sum(power) FILTER (NOT (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0)))) AS snr
+    FROM sp JOIN pk USING (session, window_id) WHERE inside GROUP BY 1, 2, 3),
+  xs AS (SELECT session, window_id, list(x ORDER BY k) AS xs, stddev_pop(x) AS sd FROM p GROUP BY 1, 2),
+  q0 AS (SELECT n.session, n.window_id, peak, snr, xs, sd, greatest(1, CAST(floor(0.7e0 * 30 / peak) AS BIGINT)) AS far, list_filter(range(2, 64), lambda i: xs[i] > xs[i - 1] AND xs[i] > xs[i + 1]) AS tops FROM n JOIN xs USING (session, window_id) WHERE snr >= 0),
+  q1 AS (SELECT *, list_transform(list_reverse_sort(list_transform(tops, lambda i: [xs[i], i])), lambda e: [CAST(e[2] AS BIGINT)]) AS ranked FROM q0),
+  q2 AS (SELECT *, CASE WHEN len(ranked) > 0 THEN list_reduce(ranked, lambda kept, e: CASE WHEN len(list_filter(kept, lambda o: abs(o - e[1]) < far)) = 0 THEN list_concat(kept, e) ELSE kept END) ELSE [] END AS kept FROM q1),
+  q3 AS (SELECT *, list_sort(list_filter(kept, lambda i: xs[i] - greatest(list_min(xs[coalesce(list_max(list_filter(range(1, i), lambda j: xs[j] > xs[i])), 1):i]),
+    list_min(xs[i:coalesce(list_min(list_filter(range(i + 1, 65), lambda j: xs[j] > xs[i])), 64)])) >= 0.3e0 * sd)) AS beats FROM q2),
+  q4 AS (SELECT *, list_transform(range(1, len(beats)), lambda i: (beats[i + 1] - beats[i]) * 1000.0e0 / 30.0e0) AS every FROM q3),
+  q5 AS (SELECT *, {middle_sql("every")} AS middle FROM q4),
+  q6 AS (SELECT *, CASE WHEN len(every) < 3 THEN every ELSE list_filter(every, lambda e: abs(e - middle) / middle <= 0.3e0) END AS gaps FROM q5),
+  q7 AS (SELECT *, list_transform(range(1, len(gaps)), lambda i: gaps[i + 1] - gaps[i]) AS steps, CASE WHEN len(gaps) >= 2 THEN 60000.0e0 / ({middle_sql("gaps")}) END AS found FROM q6),
+  q8 AS (SELECT *, CASE WHEN found / 60 BETWEEN 0.7e0 AND 4.0e0 THEN found END AS rate, len(gaps) >= 2 AS enough FROM q7)
+  SELECT n.session, n.window_id, round(q8.peak * 60, 3) AS bpm, round(q8.peak, 5) AS hz, round(n.snr, 3) + 0e0 AS snr_db,
+    CASE WHEN n.snr >= 6 THEN 'alta' WHEN n.snr >= 2 THEN 'média' WHEN n.snr >= 0 THEN 'baixa' END AS confidence, 'pos' AS algorithm, round(64 / 30.0e0, 6) AS window_s,
+    round(rate, 3) AS peak_bpm, round(abs(q8.peak * 60 - rate), 3) AS disagreement, CASE WHEN enough THEN round(list_avg(gaps), 3) END AS mean_ms,
+    CASE WHEN enough THEN round(list_stddev_samp(gaps), 3) END AS sdnn, CASE WHEN enough THEN round(sqrt(list_avg(list_transform(steps, lambda e: e * e))), 3) END AS rmssd,
+    CASE WHEN enough THEN round(list_avg(list_transform(steps, lambda e: CASE WHEN abs(e) > 50 THEN 1e0 ELSE 0e0 END)), 6) END AS pnn50, CAST(len(beats) AS INTEGER) AS beats,
+    CASE WHEN n.snr < 0 THEN 'sinal_sem_qualidade' END AS error_code
+  FROM n LEFT JOIN q8 USING (session, window_id)"""
+
+
+@query(CHAIN)
 def pulse_estimates(spark, sf_dir):
-    """Sliding windows of every session through detrending, band-pass, spectrum, gate and beats."""
+    """Sliding windows of every session through rectification, detrending, band-pass, spectrum, gate and beats."""
     rows = frames(spark, sf_dir).select("session", "i", "r", "g", "b", *(F.col("bg").alias(f"bg_{c}") for c in "rgb"))
-    return analysis.sessions(rows, FPS, SHORT.having(background=True))
+    made = analysis.sessions(rows, FPS, SHORT.having(background=True))
+    digits = {"bpm": 3, "hz": 5, "snr_db": 3, "window_s": 6, "peak_bpm": 3, "disagreement": 3, "mean_ms": 3, "sdnn": 3, "rmssd": 3, "pnn50": 6}
+    return made.select(*(C.zero(F.col(c), digits[c]).alias(c) if c in digits else c for c in made.columns))
 
 
 @query()
