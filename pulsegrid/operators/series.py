@@ -33,6 +33,22 @@ def count_windows(frames: DataFrame, size: int, step: int, keys: Sequence[str] =
     return met.withColumn("k", (F.col("_n") - 1 - (first + F.col("window_id") * step - size)).cast("int")).drop("_n", "_total", "_low", "_high")
 
 
+def count_chunks(frames: DataFrame, size: int, step: int, windows: int = 64, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """A row for each frame of each chunk, a run of `windows` of the windows of `count_windows`, with its place k there.
+
+    Window j of a chunk has the number chunk * `windows` + j and begins at k = j * `step`; it is emitted if it is full.
+    Chunks overlap by less than a window, so hardly a frame is copied, and the chunks of one long session part.
+    """
+    if size < 1 or step < 1:
+        raise ValueError("size and step must be positive")
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1 - (max(size, step) - size)
+    span = windows * step
+    low = F.greatest(F.lit(0), F.ceil((F.col("_n") - (span - step + size - 1)) / span)).cast("long")
+    met = frames.withColumn("_n", n).filter("_n >= 0").withColumn("_low", low).withColumn("_high", F.floor(F.col("_n") / span).cast("long")).filter("_low <= _high")
+    met = met.withColumn("chunk", F.explode(F.sequence("_low", "_high")))
+    return met.withColumn("k", (F.col("_n") - F.col("chunk") * span).cast("int")).drop("_n", "_low", "_high")
+
+
 def segments(frames: DataFrame, reset: Column, keys: Sequence[str] = ("session",), order: Sequence[str] = ("i",)) -> DataFrame:
     """`segment` counts the resets up to a row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

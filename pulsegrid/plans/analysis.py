@@ -1,17 +1,19 @@
-"""From windows of colour to heart rate: the whole chain as one grouped map, with failures as rows."""
+"""From windows of colour to heart rate: the whole chain in one pass over sorted groups, with failures as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIBRARY, Analysis
 from ..operators import kernels, pulse, spectrum
-from ..operators.series import count_windows, face_segments
+from ..operators.series import count_chunks, face_segments
 
 RESULT = (
     "bpm double, hz double, snr_db double, confidence string, algorithm string, window_s double, peak_bpm double, disagreement double, "
@@ -64,44 +66,85 @@ def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.n
     return failed | {"bpm": hz * 60, "hz": hz, "snr_db": snr, "confidence": level(snr), "peak_bpm": rate, "disagreement": abs(hz * 60 - rate), "beats": len(beats)} | kernels.variability(intervals)
 
 
+ARROW = {"double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64()}
+#: Windows of one chunk of a session.
+CHUNK = 64
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with the row at which each begins, from rows sorted by `keys`.
+
+    The last group of a batch waits for the next, which may go on with it.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            column = table[k]
+            differ = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
+            new |= np.asarray(differ) | (np.asarray(column[1:].is_null()) != np.asarray(column[:-1].is_null()))
+        starts = np.append(0, np.flatnonzero(new) + 1)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield held, np.zeros(1, int)
+
+
 def analysed(
     windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] | None = None,
-    times: str | None = None, uses: Sequence[bool] | None = None,
+    times: str | None = None, uses: Sequence[bool] | None = None, sliding: tuple[int, int] | None = None,
 ) -> DataFrame:
     """A row for each window (and algorithm): `windows` has keys, order, r, g, b and bg_r, bg_g, bg_b if it is rectified.
 
     `times`: a column of seconds, by which each window is resampled at its own rate. `uses`: both uses of the background
-    from one pass, told by with_background; a window whose background isn't whole gives no row that uses it. A window is
-    bounded by its number of frames, so each group is small however long its session is.
+    from one pass, told by with_background; a window whose background isn't whole gives no row that uses it. `sliding`:
+    size and step of the windows in groups that are chunks of `CHUNK` of them; the last key, the chunk, is window_id in
+    the result. Groups are dealt by all their keys and read in order, batch by batch: a hot session's go to many tasks.
     """
     names = algorithms or (config.algorithm,)
     columns = [f.name for f in windows.schema.fields]
     has_background = "bg_r" in columns and (config.background if uses is None else True in uses)
     kinds = dict(windows.dtypes)
-    result = RESULT if uses is None else f"{RESULT}, with_background boolean"
+    result = [x.split() for x in (RESULT if uses is None else f"{RESULT}, with_background boolean").split(", ")]
+    channels = ["r", "g", "b", *(("bg_r", "bg_g", "bg_b") if has_background else ())]
+    named = list(keys) if sliding is None else [*keys[:-1], "window_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        channels = pdf[["r", "g", "b"]].to_numpy(float).T
-        background = pdf[["bg_r", "bg_g", "bg_b"]].to_numpy(float).T if has_background else None
-        t = pdf[times].to_numpy(float) if times else None
-        own = {k: pdf[k].iloc[0] for k in keys}
-        rows = []
+    def judged(rows: np.ndarray, t: np.ndarray | None) -> Iterator[dict]:
+        background = rows[3:] if has_background else None
         for use in (None,) if uses is None else uses:
             if use and (background is None or not np.isfinite(background).all()):
                 continue
             for a in names:
-                found = analyse(channels, fps, config.having(algorithm=a, background=config.background if use is None else use), background, times=t)
-                rows.append(own | found | ({} if use is None else {"with_background": use}))
-        out = pd.DataFrame(rows, columns=[*keys, *(x.split()[0] for x in result.split(", "))])
-        out["beats"] = out["beats"].astype("Int32")
-        for c in ("confidence", "algorithm", "error_code"):  # a column without texts would count as numbers
-            out[c] = out[c].astype(object).where(out[c].notna(), None)
-        return out
-
-    wanted = [*keys, order, "r", "g", "b", *(("bg_r", "bg_g", "bg_b") if has_background else ()), *((times,) if times else ())]
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), result])
-    return windows.select(*dict.fromkeys(wanted)).groupBy(*keys).applyInPandas(run, schema)
+                found = analyse(rows[:3], fps, config.having(algorithm=a, background=config.background if use is None else use), background, times=t)
+                yield found | {"with_background": use}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            held = np.array([table[c].to_numpy() for c in channels], float)
+            t = table[times].to_numpy().astype(float) if times else None
+            at, place, out = [], [], []
+            for start, end in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+                size, step = sliding or (end - start, 1)
+                for j in range((end - start - size) // step + 1):
+                    own = slice(start + j * step, start + j * step + size)
+                    for found in judged(held[:, own], None if t is None else t[own]):
+                        at.append(start)
+                        place.append(j)
+                        out.append(found)
+            of_keys = [table[k].take(pa.array(at, pa.int64())).combine_chunks() for k in keys]
+            if sliding is not None:
+                of_keys[-1] = pc.add(pc.multiply(of_keys[-1].cast(pa.int64()), CHUNK), pa.array(place, pa.int64()))
+            values = [pa.array([r.get(name) for r in out], ARROW[kind], from_pandas=True) for name, kind in result]
+            yield pa.RecordBatch.from_arrays([*of_keys, *values], [*named, *(name for name, _ in result)])
+
+    quoted = [F.col(f"`{c}`") for c in dict.fromkeys([*keys, order, *channels, *((times,) if times else ())])]
+    by = [F.col(f"`{k}`") for k in keys]
+    schema = ", ".join([*(f"`{name}` {'bigint' if name != k else kinds[k]}" for name, k in zip(named, keys, strict=True)), *(f"{name} {kind}" for name, kind in result)])
+    return windows.select(*quoted).repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 def pulses(windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] = ("pos",)) -> DataFrame:
@@ -140,5 +183,6 @@ def sessions(frames: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Se
     if "lost" in frames.columns:
         frames = face_segments(frames, config.patience, keys, order)
         by.append("segment")
-    windows = count_windows(frames, config.frames_in_window(fps), config.frames_in_step(fps), by, order)
-    return analysed(windows, fps, config, [*by, "window_id"], times="t" if "t" in frames.columns else None)
+    sliding = config.frames_in_window(fps), config.frames_in_step(fps)
+    chunks = count_chunks(frames, *sliding, CHUNK, by, order)
+    return analysed(chunks, fps, config, [*by, "chunk"], times="t" if "t" in frames.columns else None, sliding=sliding)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DIAGNOSTIC, Analysis
-from ..operators.series import count_windows
-from .analysis import analysed
+from ..operators.series import count_chunks
+from .analysis import CHUNK, analysed
 
 #: ICA is left out of the grid.
 GRID = ("pos", "chrom", "verde")
@@ -30,6 +30,6 @@ def grid(capture: DataFrame, fps: float, config: Analysis = DIAGNOSTIC, keys: Se
     """
     size = max(64, config.frames_in_window(fps))
     step = config.frames_in_step(fps)
-    windows = count_windows(capture, size, step, [*keys, "variant"])
-    found = analysed(windows, fps, config, [*keys, "variant", "window_id"], algorithms=algorithms, uses=(True, False))
+    chunks = count_chunks(capture, size, step, CHUNK, [*keys, "variant"])
+    found = analysed(chunks, fps, config, [*keys, "variant", "chunk"], algorithms=algorithms, uses=(True, False), sliding=(size, step))
     return found.filter(F.col("error_code").isNull())

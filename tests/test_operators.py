@@ -2,9 +2,11 @@
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,3 +369,27 @@ def test_eyes_are_held_and_looked_for_again(spark):
     assert [r.left and r.left.x for r in got] == expected
     eyes, fractions = F.array(*map(F.lit, (1, 2))), F.array(F.lit(9))
     assert spark.range(1).select(regions.anchored_or_fraction(eyes, fractions).alias("r")).first().r == [9]
+
+
+@pytest.mark.parametrize(("n", "size", "step", "windows"), [(0, 5, 2, 3), (4, 5, 2, 3), (5, 5, 2, 3), (57, 5, 2, 3), (57, 3, 7, 2), (40, 10, 10, 1)])
+def test_chunks_hold_the_windows(spark, n, size, step, windows):
+    frames = spark.range(n).select(F.lit("a").alias("session"), F.col("id").alias("i"))
+    expected = defaultdict(list)
+    for r in series.count_windows(frames, size, step).orderBy("k").collect():
+        expected[r.window_id].append(r.i)
+    chunks = defaultdict(list)
+    for r in series.count_chunks(frames, size, step, windows).orderBy("k").collect():
+        assert r.k == len(chunks[r.chunk])
+        chunks[r.chunk].append(r.i)
+    got = {c * windows + j: rows[j * step : j * step + size] for c, rows in chunks.items() for j in range((len(rows) - size) // step + 1)}
+    assert got == dict(expected)
+
+
+def test_groups_go_on_over_batches():
+    rows = pa.RecordBatch.from_pydict({"a": [1, 1, None, None, 2, 2, 2], "b": ["x", "x", "x", None, None, None, None]})
+    for size in (1, 2, 3, 7):
+        found = []
+        for table, starts in analysis.whole_groups((rows.slice(k, size) for k in range(0, 7, size)), ["a", "b"]):
+            ends = [*starts[1:], table.num_rows]
+            found += [(table["a"][int(s)].as_py(), table["b"][int(s)].as_py(), int(e - s)) for s, e in zip(starts, ends, strict=True)]
+        assert found == [(1, "x", 2), (None, "x", 1), (None, None, 1), (2, None, 3)]
