@@ -89,6 +89,14 @@ def centre_box(width: int, height: int, share: float = 0.5) -> Column:
     return rect(F.lit((width - w) // 2), F.lit((height - h) // 2), F.lit(w), F.lit(h))
 
 
+def frame_time(t: Column, i: Column, fps: Column) -> Column:
+    """A frame's own time in seconds where its container gives one above 0, or else its number over the nominal rate.
+
+    A nominal rate that is missing or not above 0 counts as 30.
+    """
+    return F.when(t > 0, t).otherwise(i / F.when(fps > 0, fps).otherwise(30.0))
+
+
 def frame_error(image: Column, channels: int, width: Column, height: Column) -> Column:
     """The code of an image that is missing or not of its declared size, or null."""
     wrong = image.isNull() | (width <= 0) | (height <= 0) | (F.octet_length(image) != channels * width * height)

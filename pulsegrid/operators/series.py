@@ -6,8 +6,9 @@ segment), so one exchange serves a chain of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,40 @@ def count_chunks(frames: DataFrame, size: int, step: int, windows: int = 64, key
     return met.withColumn("k", (F.col("_n") - F.col("chunk") * span).cast("int")).drop("_n", "_low", "_high")
 
 
+def spaced(frames: DataFrame, apart: float, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
+    """The first frame of each session and then each that comes more than `apart` after the last one taken.
+
+    What is taken depends on what was, so frames are read in order; a task remembers one time. Frames without a time go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, 0.0
+        for batch in batches:
+            taken = []
+            for row, (key, at) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column(t).to_pylist(), strict=True)):
+                if key != own or at - last > apart:
+                    taken.append(row)
+                    own, last = key, at
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    by = [F.col(f"`{k}`") for k in keys]
+    return frames.filter(F.col(t).isNotNull()).repartition(*by).sortWithinPartitions(*by, t).mapInArrow(run, frames.schema)
+
+
+def due_analyses(frames: DataFrame, window: float, apart: float = 1.0, least: int = 64, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
+    """The frames at which a window kept by time is analysed, with `retained` (frames kept) and `enough` of them.
+
+    Kept are frames of the last 1.3 windows, to the microsecond, and two at least. An analysis is due once they span a window, and more than
+    `apart` after the last one due; with fewer than `least` frames it gives nothing, but counts for the cadence.
+    """
+    each = Window.partitionBy(*keys).orderBy(t)
+    near = Window.partitionBy(*keys).orderBy(F.round(F.col(t) * 1e6).cast("long")).rangeBetween(-round(1.3e6 * window), 0)  # ranges are whole numbers
+    kept = frames.withColumn("retained", F.greatest(F.count("*").over(near), F.least(F.lit(2), F.rank().over(each)).cast("long")))
+    kept = kept.withColumn("_from", F.least(F.min(t).over(near), F.lag(t).over(each)))
+    due = kept.filter(F.col(t) - F.col("_from") >= window).drop("_from").withColumn("enough", F.col("retained") >= least)
+    return spaced(due, apart, keys, t)
+
+
 def segments(frames: DataFrame, reset: Column, keys: Sequence[str] = ("session",), order: Sequence[str] = ("i",)) -> DataFrame:
     """`segment` counts the resets up to a row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -503,6 +503,17 @@ def time_retention(spark, sf_dir):
     return events(spark, sf_dir).select("session", "event_id", F.count("*").over(w).alias("retained"), F.round(F.avg("value").over(w), 5).alias("mean"))
 
 
+@query(f"""WITH RECURSIVE {EVENTS}, k0 AS (SELECT session, t, greatest(count(*) OVER w, least(2, rank() OVER o)) AS retained, least(min(t) OVER w, lag(t) OVER o) AS since
+    FROM e WINDOW o AS (PARTITION BY session ORDER BY t), w AS (PARTITION BY session ORDER BY t RANGE BETWEEN 130 PRECEDING AND CURRENT ROW)),
+  due AS (SELECT DISTINCT session, t, retained FROM k0 WHERE t - since >= 100),
+  s AS (SELECT session, min(t) AS t FROM due GROUP BY 1 UNION ALL SELECT s.session, min(due.t) FROM s JOIN due ON due.session = s.session AND due.t - s.t > 24 GROUP BY 1)
+  SELECT session, round(t, 5) AS t, CAST(retained AS BIGINT) AS retained, retained >= 8 AS enough FROM s JOIN due USING (session, t)""")
+def analysis_cadence(spark, sf_dir):
+    """When windows of 100 hours, kept by time, are analysed: at most once a day, and in earnest from 8 events on."""
+    made = series.due_analyses(events(spark, sf_dir).select("session", "t"), 100.0, 24.0, 8)
+    return made.select("session", F.round("t", 5).alias("t"), "retained", "enough")
+
+
 @query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_id DESC) AS k FROM e)
   SELECT session, round(CASE WHEN count(*) >= 3 THEN quantile_cont(value, 0.5) END, 5) AS median_bpm, round(CASE WHEN count(*) >= 3 THEN stddev_pop(value) END, 5) AS bpm_sd FROM r WHERE k <= 60 GROUP BY 1""")
 def recent_median(spark, sf_dir):
@@ -693,7 +704,45 @@ def accuracy_battery(spark, sf_dir):
     return reports.accuracy(errors, ["scenario", "algorithm"])
 
 
-@query()
+WIDE = bandpass_map(128, FPS, 0.75, 3.3)
+W4 = "session, window_id, variant, used"
+
+
+# windows of 128 frames end to end, in two variants, with and without what the background explains, by three algorithms;
+# of 1024 bins 26 to 112 lie in 0.75 to 3.3 Hz
+@query(f"""WITH {FRAMES}, {matrix_sql("fl", WIDE)}, {matrix_sql("fd", WIDE @ detrend_map(128, 100.0))}, c AS (SELECT session, count(*) AS n FROM f GROUP BY 1),
+  w AS (SELECT session, i // 128 AS window_id, i % 128 AS k, r, g, b, bg FROM f JOIN c USING (session) WHERE i // 128 < n // 128),
+  z AS (SELECT *, (bg - avg(bg) OVER x) / nullif(stddev_pop(bg) OVER x, 0) AS z FROM w WINDOW x AS (PARTITION BY session, window_id)),
+  l AS (SELECT *, z AS l0, coalesce(lag(z) OVER o, 0) AS l1, coalesce(lag(z, 2) OVER o, 0) AS l2 FROM z WINDOW o AS (PARTITION BY session, window_id ORDER BY k)),
+  lv AS (SELECT session, window_id, k, l0, l1, l2, unnest(['plain', 'plain', 'plain', 'mixed', 'mixed', 'mixed']) AS variant, unnest(['r', 'g', 'b', 'r', 'g', 'b']) AS ch,
+    unnest([r, g, b, r * 0.9e0 + bg * 0.1e0, g * 0.9e0 + bg * 0.1e0, b * 0.9e0 + bg * 0.1e0]) AS v FROM l),
+  m AS (SELECT *, avg(v) OVER x AS mean, stddev_pop(v) OVER x AS sd FROM lv WINDOW x AS (PARTITION BY session, window_id, variant, ch)),
+  s AS (SELECT session, window_id, variant, ch, sum(l0 * l0) AS s00, sum(l0 * l1) AS s01, sum(l0 * l2) AS s02, sum(l1 * l1) AS s11, sum(l1 * l2) AS s12, sum(l2 * l2) AS s22,
+    sum(l0 * (v - mean)) AS t0, sum(l1 * (v - mean)) AS t1, sum(l2 * (v - mean)) AS t2 FROM m GROUP BY 1, 2, 3, 4),
+  k3 AS (SELECT session, window_id, variant, ch, {", ".join(f"{cramer(j)} AS c{j}" for j in range(3))} FROM s),
+  y AS (SELECT session, window_id, variant, k, ch, unnest([true, false]) AS used, unnest([CASE WHEN greatest(abs(c0), abs(c1), abs(c2)) <= 3 * sd THEN v - c0 * l0 - c1 * l1 - c2 * l2 ELSE v END, v]) AS y
+    FROM m JOIN k3 USING (session, window_id, variant, ch)),
+  rgb AS (SELECT {W4}, k, {", ".join(f"max(y) FILTER (ch = '{c}') AS {c}" for c in "rgb")} FROM y GROUP BY ALL),
+  nm AS (SELECT {W4}, k, {", ".join(f"{c} / avg({c}) OVER x AS {c}" for c in "rgb")} FROM rgb WINDOW x AS (PARTITION BY {W4})),
+  xy AS (SELECT {W4}, fl.i AS k, sum(v * (3 * r - 2 * g)) AS x, sum(v * (1.5e0 * r + g - 1.5e0 * b)) AS y FROM nm JOIN fl ON k = j GROUP BY ALL),
+  a0 AS (SELECT *, unnest(range(greatest(0, k - 47), least(k, 80) + 1)) AS a FROM rgb),
+  a1 AS (SELECT {W4}, k, a, {", ".join(f"{c} / avg({c}) OVER x AS {c}" for c in "rgb")} FROM a0 WINDOW x AS (PARTITION BY {W4}, a)),
+  a2 AS (SELECT {W4}, k, a, g - b AS s1, g + b - 2 * r AS s2 FROM a1),
+  a3 AS (SELECT {W4}, k, a, s1 + stddev_pop(s1) OVER x / stddev_pop(s2) OVER x * s2 AS h FROM a2 WINDOW x AS (PARTITION BY {W4}, a)),
+  a4 AS (SELECT {W4}, k, (h - avg(h) OVER x) / stddev_pop(h) OVER x AS h FROM a3 WINDOW x AS (PARTITION BY {W4}, a)),
+  raw AS (SELECT {W4}, k, 'verde' AS algorithm, -g AS h FROM rgb UNION ALL SELECT {W4}, k, 'pos', sum(h) FROM a4 GROUP BY ALL
+    UNION ALL SELECT {W4}, k, 'chrom', x - stddev_pop(x) OVER o / stddev_pop(y) OVER o * y FROM xy WINDOW o AS (PARTITION BY {W4})),
+  p AS (SELECT {W4}, algorithm, fd.i AS k, sum(v * h) AS x FROM raw JOIN fd ON k = j GROUP BY ALL),
+  d AS (SELECT {W4}, algorithm, k, 0.5e0 - 0.5e0 * cos({PERIOD} * k / 127) AS w, (x - avg(x) OVER o) * (0.5e0 - 0.5e0 * cos({PERIOD} * k / 127)) AS x FROM p WINDOW o AS (PARTITION BY {W4}, algorithm)),
+  waves AS (SELECT k, bin, cos((k * bin % 1024) * {PERIOD} / 1024) AS re, sin((k * bin % 1024) * {PERIOD} / 1024) AS im FROM (SELECT unnest(range(0, 128)) AS k), (SELECT unnest(range(25, 114)) AS bin)),
+  sp AS (SELECT {W4}, algorithm, bin, bin * 30.0e0 / 1024 AS hz, bin BETWEEN 26 AND 112 AS inside, (power(sum(x * re), 2) + power(sum(x * im), 2)) / (sum(w * w) * 30) AS power FROM d JOIN waves USING (k) GROUP BY ALL),
+  v AS (SELECT *, ln(lag(power) OVER o) AS pb, ln(power) AS pm, ln(lead(power) OVER o) AS pa FROM sp WINDOW o AS (PARTITION BY {W4}, algorithm ORDER BY bin)),
+  t AS (SELECT * FROM v WHERE inside QUALIFY row_number() OVER (PARTITION BY {W4}, algorithm ORDER BY power DESC, bin) = 1),
+  pk AS (SELECT {W4}, algorithm, greatest(0.75e0, least(3.3e0, hz + CASE WHEN abs(pb - 2 * pm + pa) >= 1e-18 THEN greatest(-0.5e0, least(0.5e0, 0.5e0 * (pb - pa) / (pb - 2 * pm + pa))) * 30.0e0 / 1024 ELSE 0 END)) AS peak FROM t),
+  e AS (SELECT {W4}, algorithm, peak * 60 AS bpm, least(60e0, 10 * log10(sum(power) FILTER (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0) / sum(power) FILTER (NOT (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0)))) AS snr
+    FROM sp JOIN pk USING ({W4}, algorithm) WHERE inside GROUP BY {W4}, algorithm, peak),
+  g AS (SELECT variant, algorithm, used, quantile_cont(bpm, 0.5) AS median_bpm, stddev_pop(bpm) AS dispersion, quantile_cont(snr, 0.5) AS median_snr_db, count(*) AS windows FROM e WHERE snr >= -60 GROUP BY 1, 2, 3)
+  SELECT variant, algorithm, used AS with_background, round(median_bpm, 3) AS median_bpm, round(dispersion, 3) AS dispersion, round(median_snr_db, 3) + 0e0 AS median_snr_db, windows, windows < greatest(5, floor(0.4e0 * max(windows) OVER ())) AS few FROM g""")
 def diagnostic_grid(spark, sf_dir):
     """Two colour variants of every session through the grid, ranked; the capture is read once."""
     rows = frames(spark, sf_dir)
@@ -701,7 +750,9 @@ def diagnostic_grid(spark, sf_dir):
     # orders have no pulse, so the gate on noise is open here; `pulse_estimates` and `algorithm_grid` keep it
     config = Analysis(window_s=128 / FPS, step_s=128 / FPS, band=Band(0.75, 3.3), least_snr_db=-60.0)
     found = diagnostic.grid(diagnostic.stacked(wide, ["plain", "mixed"]), FPS, config)
-    return reports.diagnostic_ranking(found, ["variant", "algorithm", "with_background"])
+    by = ["variant", "algorithm", "with_background"]
+    made = reports.diagnostic_ranking(found, by)
+    return made.select(*by, *(C.zero(F.col(c), 3).alias(c) for c in ("median_bpm", "dispersion", "median_snr_db")), "windows", "few")
 
 
 @query(f"""WITH {BLOCKS}, d AS (SELECT session, block, k, avg(g) OVER (PARTITION BY session, block) - g AS x FROM bl WHERE n >= 8), {dft_sql("x")},

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CHANNEL_GAINS, Simulation
+from ..functions import columns as C
 
 #: The conditions of the accuracy battery and what they set.
 CONDITIONS = {
@@ -98,8 +99,11 @@ def simulated(table: DataFrame, duration_s: float = 20.0, fps: float = 30.0) ->
     return table.mapInPandas(run, "scenario string, bpm double, i long, t double, r double, g double, b double")
 
 
-def videos(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tuple]], schema: str = "t double, r double, g double, b double") -> DataFrame:
-    """Frames of video files by a given decoder of a file's bytes; there is none here, as decoding needs a library."""
+def videos(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tuple]], schema: str = "t double, r double, g double, b double", fps: float | str = 0.0) -> DataFrame:
+    """Frames of video files by a given decoder of a file's bytes; there is none here, as decoding needs a library.
+
+    Where the decoder gives no time `t` above 0, a frame has its number over `fps`, a rate or a column of the decoder's.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -110,7 +114,10 @@ def videos(spark: SparkSession, path: str, decode: Callable[[bytes], Iterator[tu
                 made.insert(0, "session", r.path)
                 yield made
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"session string, i long, {schema}")
+    made = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"session string, i long, {schema}")
+    if "t" not in made.columns:
+        return made
+    return made.withColumn("t", C.frame_time(F.col("t"), F.col("i"), F.col(fps) if isinstance(fps, str) else F.lit(float(fps))))
 
 
 def frames_table(spark: SparkSession, sf_dir: str) -> DataFrame:

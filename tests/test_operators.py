@@ -393,3 +393,32 @@ def test_groups_go_on_over_batches():
             ends = [*starts[1:], table.num_rows]
             found += [(table["a"][int(s)].as_py(), table["b"][int(s)].as_py(), int(e - s)) for s, e in zip(starts, ends, strict=True)]
         assert found == [(1, "x", 2), (None, "x", 1), (None, None, 1), (2, None, 3)]
+
+
+def test_missing_clocks_count_frames(spark):
+    rows = table(spark, [(0, 0.0, 25.0), (1, 0.04, 25.0), (2, None, 25.0), (3, -1.0, 0.0), (6, None, None)], "i long, t double, fps double")
+    got = [r.t for r in rows.orderBy("i").select(C.frame_time(F.col("t"), F.col("i"), F.col("fps")).alias("t")).collect()]
+    assert got == [0.0, 0.04, 2 / 25, 3 / 30, 6 / 30]
+
+
+def test_analyses_are_due_by_time(spark):
+    rng = random.Random(3)
+    rows = []
+    for session in ("a", "b", None):
+        t = 0.0
+        for _ in range(400):
+            t += rng.uniform(0.02, 0.2) if rng.random() > 0.02 else 6.0  # no ties: ranges are read to the microsecond
+            rows.append((session, t))
+    expected = []
+    for session in ("a", "b", None):
+        kept, last = [], None
+        for t in (t for s, t in rows if s == session):
+            kept.append(t)
+            while len(kept) > 2 and t - kept[0] > 1.3 * 4.0:
+                kept.pop(0)
+            if t - kept[0] >= 4.0 and (last is None or t - last > 1.0):
+                last = t
+                expected.append((session, t, len(kept), len(kept) >= 20))
+    rng.shuffle(rows)
+    got = [tuple(r) for r in series.due_analyses(table(spark, rows, "session string, t double"), 4.0, 1.0, 20).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and {r[3] for r in got} == {True, False}
