@@ -1,4 +1,8 @@
-"""DuckDB SQL of the registered queries that SQL can express, written from their contracts and not from the operators."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+Near duplicates and base spans follow their contracts. Disclosing terms and language fusion have no outside definition:
+their SQL restates the operators' formulas, with patterns and settings shared, so it checks the computing, not the model.
+"""
 
 from __future__ import annotations
 
@@ -58,7 +62,7 @@ def places(name: str, rows: str, pattern: str) -> str:
 
 
 def op3_sql(settings: Settings = Settings()) -> str:
-    """Base spans by the contract's own patterns, and terms by the share of an entity's information that they disclose."""
+    """Base spans by the contract's own patterns, and terms by the operator's formula: the share of an entity's information that they disclose."""
     kinds = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     base = " UNION ALL ".join(f"SELECT doc_id, start, stop, hit, {k} AS kind, '{kind}' AS name FROM {kind} WHERE {KEPT.get(kind, 'true')}" for k, kind in enumerate(kinds))
     counts = ", ".join(f"count(*) FILTER (name = '{kind}') AS n_{kind}" for kind in kinds)
