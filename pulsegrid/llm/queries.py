@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, pii, quality, topk, toxicity
+from . import langid, neardup, pii, quality, spelling, topk, toxicity, urlfilter, whitening
 from .common import held_out, table
 from .media import store_texts
 from .mixing import mix
@@ -94,9 +94,23 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("h").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op11_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), urlfilter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op5_language_fusion, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op5_language_fusion, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup, op11_url_verdicts, op12_spelling_variants, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pii": OP3_SQL, "op5_language_fusion": OP5_SQL, "op6_kdtree_topk": OP6_SQL, "op10_setsketch_dedup": OP10_SQL}
+    return {"op3_pii": OP3_SQL, "op5_language_fusion": OP5_SQL, "op6_kdtree_topk": OP6_SQL, "op10_setsketch_dedup": OP10_SQL, "op11_url_verdicts": urlfilter.OP11_SQL, "op12_spelling_variants": spelling.OP12_SQL}
