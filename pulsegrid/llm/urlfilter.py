@@ -7,8 +7,8 @@ redirects of a given table are edges. Connected components are found by rounds o
 is blocked where a rule blocks one of its component's urls and none allows one; else it is allowed.
 
 Cases: a url that is null or has no `://` has an empty host and path, no address, and is allowed; an empty path starts
-with no `/`; a null or very long HTML has the links that it has, all of it read; of rules equally long for a url the
-first by action counts, allow before block; repeated rows are judged each; an empty table gives no rows; other columns
+with no `/`; a null or very long HTML has the links that it has, all of it read; of rules equally long for a url allow
+counts before block, then the first by its text; repeated rows are judged each; an empty table gives no rows; other columns
 are kept by `judge`, whatever their names.
 """
 
