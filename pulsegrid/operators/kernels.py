@@ -233,6 +233,8 @@ def dominant(x: np.ndarray, fps: float, band: Band) -> tuple[float, float]:
     inside = np.flatnonzero((hz >= band.low_hz) & (hz <= band.high_hz))
     if len(x) < 8 or not len(inside):
         raise ValueError("janela_insuficiente" if len(x) < 8 else "banda_invalida")
+    if not np.isfinite(power[inside]).all():
+        raise ValueError("sinal_sem_qualidade")
     k = int(inside[np.argmax(power[inside])])
     peak = hz[k]
     if 0 < k < len(hz) - 1 and power[k - 1 : k + 2].min() > 0:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_rect, is_skin, overlap, part_rect, rect, scale_rect
+from .quantiles import met, quantiles
 
 #: Region sets as fractions (x0, y0, x1, y1) of a face box.
 FOREHEAD = (0.24, 0.12, 0.76, 0.32)
@@ -51,10 +52,10 @@ def trimmed(pixels: DataFrame, keys: Sequence[str], low: float = 0.05, high: flo
 
     A region keeps all its pixels where fewer than `least` would be left.
     """
-    bounds = pixels.groupBy(*keys).agg(F.percentile("g", F.lit(low)).alias("_lo"), F.percentile("g", F.lit(high)).alias("_hi"))
-    near = pixels.join(bounds, list(keys)).withColumn("_in", F.col("g").between(F.col("_lo"), F.col("_hi")))
-    left = F.sum(F.col("_in").cast("int")).over(Window.partitionBy(*keys))
-    return near.withColumn("_left", left).filter(F.col("_in") | (F.col("_left") < least)).drop("_lo", "_hi", "_in", "_left")
+    bounds = quantiles(pixels, keys, {"_lo": (F.col("g"), low), "_hi": (F.col("g"), high)})
+    near = met(pixels, bounds, keys).withColumn("_in", F.col("g").between(F.col("_lo"), F.col("_hi")))
+    left = near.groupBy(*keys).agg(F.count_if("_in").alias("_left"))
+    return met(near, left, keys).filter(F.col("_in") | (F.col("_left") < least)).drop("_lo", "_hi", "_in", "_left")
 
 
 def spatial_means(pixels: DataFrame, frame: Sequence[str], region: str = "region", least: int = LEAST_PIXELS, least_region: int | None = None) -> DataFrame:
@@ -145,6 +146,13 @@ def background_strips(face: Column, width: int, height: int, share: float = 0.14
     return F.filter(strips, lambda s: overlap(s, wide) == 0)
 
 
+def pixel_variation(pixels: DataFrame, frame: Sequence[str] = ("frame",), region: Sequence[str] = ("region",)) -> DataFrame:
+    """(region, median_pixels, variation): the median of a region's pixels in a frame, and their deviation in per cent."""
+    counts = pixels.groupBy(*frame, *region).agg(F.count("*").alias("_n"))
+    middle = quantiles(counts, region, {"median_pixels": (F.col("_n"), 0.5)})
+    return met(counts.groupBy(*region).agg((100 * F.stddev_pop("_n") / F.avg("_n")).alias("variation")), middle, region)
+
+
 def box_jitter(boxes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(keys, jitter, drift): the 95th percentile of the centre's moves and how far it strays in all."""
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import smoothed as smoothed
+
 
 def count_windows(frames: DataFrame, size: int, step: int, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
     """A row for each frame of each emitted window, with window_id and the frame's place k in it.
@@ -169,25 +171,6 @@ def running_max(frames: DataFrame, column: str, out: str, keys: Sequence[str] =
     return frames.withColumn(out, F.max(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def smoothed(frames: DataFrame, column: str, alpha: float, out: str, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
-    """(keys, order, out): exponential smoothing that starts at the first value; alpha of 1 or more leaves values.
-
-    A fold over a session's ordered values: a session is a recording, so its array is bounded by its length.
-    """
-    a = min(max(alpha, 0.0), 1.0)
-    packed = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("x")))).alias("s"))
-
-    def step(acc, row):
-        last = F.element_at(acc, -1)["x"]
-        value = F.when(F.size(acc) == 0, row["x"]).otherwise(last + a * (row["x"] - last))
-        return F.concat(acc, F.array(F.struct(row["o"].alias("o"), value.alias("x"))))
-
-    kind = frames.schema[order].dataType.simpleString()
-    start = F.array().cast(f"array<struct<o:{kind},x:double>>")
-    guarded = F.aggregate("s", start, lambda acc, row: F.when(F.size(acc) == 0, F.array(F.struct(row["o"].alias("o"), row["x"].alias("x")))).otherwise(step(acc, row)))
-    return packed.select(*keys, F.explode(guarded).alias("v")).select(*keys, F.col("v.o").alias(order), F.col("v.x").alias(out))
-
-
 def resampled(frames: DataFrame, columns: Sequence[str], fps: float | DataFrame, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """(keys, k, t, columns) on a uniform grid of round(duration * fps) + 1 points, linear between neighbours.
 

@@ -28,17 +28,22 @@ def level(snr: float) -> str:
 def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.ndarray | None = None, gate: bool = True, times: np.ndarray | None = None) -> dict:
     """One series of three channels; an error code instead of numbers where it can't be judged.
 
-    With `times` the series is put on an even grid at the rate that they show, or at `fps` where they show none.
+    With `times` the series is put on an even grid at the rate that they show, or at `fps` where they show none; a series
+    without any time is taken as even. A colour or a single time that is null or not finite makes it unfit to judge: a
+    filter would spread it over the whole window, and a spectrum of it has a peak like any other.
     """
+    extract = kernels.algorithm(config.algorithm)
     if background is not None and not np.isfinite(background).all():
         background = None
-    if times is not None:
+    timed = times is not None and not np.isnan(times).all()
+    if not np.isfinite(channels).all() or timed and not np.isfinite(times).all():
+        return {"algorithm": config.algorithm.strip().lower(), "error_code": "sinal_sem_qualidade"}
+    if timed:
         fps = kernels.effective_rate(times) or fps
         rows = channels if background is None else np.concatenate([channels, background])
         rows = kernels.uniform(rows, times, fps)
         channels, background = rows[:3], None if background is None else rows[3:]
     failed = {"algorithm": config.algorithm.strip().lower(), "window_s": channels.shape[1] / fps if fps > 0 else None}
-    extract = kernels.algorithm(config.algorithm)
     if fps <= 0 or not 0 < config.band.low_hz < config.band.high_hz < fps / 2:
         return failed | {"error_code": "banda_invalida"}
     if channels.shape[1] < kernels.least_samples(config.order):
@@ -51,7 +56,7 @@ def analyse(channels: np.ndarray, fps: float, config: Analysis, background: np.n
         channels = np.array(clean)
     try:
         pulse = extract(channels, fps, config.band, config.order, config.detrend)
-        if pulse.std() < 1e-9 * max(1.0, float(np.abs(channels.mean(1)).mean())):
+        if not np.isfinite(pulse).all() or pulse.std() < 1e-9 * max(1.0, float(np.abs(channels.mean(1)).mean())):
             return failed | {"error_code": "sinal_sem_qualidade"}
         hz, snr = kernels.dominant(pulse, fps, config.band)
     except ValueError as e:

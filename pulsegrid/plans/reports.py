@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import decimal_comma, scrub, usable
+from ..operators.quantiles import met, quantiles
+from ..sources.shared import written
 
 INF = float("inf")
 
@@ -51,9 +53,10 @@ def diagnostic_ranking(estimates: DataFrame, config: Sequence[str], show: int =
 
     Enough is 5 windows, or 40 % of the most that any has. The list is a report, so its limit is its meaning.
     """
-    each = estimates.groupBy(*config).agg(
-        F.percentile("bpm", F.lit(0.5)).alias("median_bpm"), F.stddev_pop("bpm").alias("dispersion"), F.percentile(finite(F.col("snr_db")), F.lit(0.5)).alias("median_snr_db"), F.count("*").alias("windows")
-    )
+    own = written(estimates.select(*config, "bpm", "snr_db"))  # read more than once
+    spread = own.groupBy(*config).agg(F.stddev_pop("bpm").alias("dispersion"), F.count("*").alias("windows"))
+    middle = quantiles(own, config, {"median_bpm": (F.col("bpm"), 0.5), "median_snr_db": (F.col("snr_db"), 0.5)})
+    each = met(spread, middle, config)
     most = each.agg(F.greatest(F.lit(5), F.floor(0.4 * F.max("windows"))).alias("least"))
     ranked = each.crossJoin(F.broadcast(most)).withColumn("few", F.col("windows") < F.col("least"))
     return ranked.orderBy("few", "dispersion", F.desc("median_snr_db"), *config).limit(show).drop("least")

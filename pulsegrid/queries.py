@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .config import Analysis, Band
 from .functions import columns as C
-from .operators import pulse, regions, series, spectrum
-from .operators.kernels import ALGORITHMS
+from .operators import pulse, regions, scan, series, spectrum
+from .operators.kernels import ALGORITHMS, bandpass_design
 from .plans import analysis, diagnostic, reports
 from .plans.linear_maps import bandpass_map, detrend_map, matrix_sql
 from .sources import recordings
@@ -277,6 +277,33 @@ def ema_smooth(spark, sf_dir):
     return made.select("session", "event_id", F.round("shown", 5).alias("shown"))
 
 
+def sections_sql(name: str, source: str, x: str) -> str:
+    """A table of a band-pass's outputs, value by value: each step knows the states that the one before left."""
+    nums, dens = bandpass_design(BAND.low_hz / (FPS / 2), BAND.high_hz / (FPS / 2), 4)
+    states = [f"{s}{k}" for k in range(len(nums)) for s in "uw"]
+    inner = f"SELECT o.session, o.p, o.{x} AS v0, {', '.join(f'r.{s}' for s in states)} FROM {name} AS r JOIN {source} AS o ON o.session = r.session AND o.p = r.p + 1"
+    for k, b in enumerate(nums):
+        inner = f"SELECT *, {b[0]:.17e} * v{k} + u{k} AS v{k + 1} FROM ({inner})"
+    after = [f"{b[1]:.17e} * v{k} - ({a[1]:.17e}) * v{k + 1} + w{k}, {b[2]:.17e} * v{k} - ({a[2]:.17e}) * v{k + 1}" for k, (b, a) in enumerate(zip(nums, dens, strict=True))]
+    # zeros at 1 let nothing of a constant through, so only the first section's states differ from 0 at the start
+    start = ", ".join([f"-({nums[0][0]:.17e}) * {x}", f"{nums[0][2]:.17e} * {x}", *["0e0"] * (len(states) - 2)])
+    return f"""{name}(session, p, y, {', '.join(states)}) AS (SELECT session, p - 1, 0e0, {start} FROM (SELECT *, min(p) OVER (PARTITION BY session) AS least FROM {source}) WHERE p = least
+      UNION ALL SELECT session, p, v{len(nums)}, {', '.join(after)} FROM ({inner}))"""
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT session, i, g, count(*) OVER (PARTITION BY session) AS n, first_value(g) OVER (PARTITION BY session ORDER BY i) AS head,
+    first_value(g) OVER (PARTITION BY session ORDER BY i DESC) AS tail FROM f),
+  x AS (SELECT session, i AS p, g AS v, n FROM n WHERE n > 27 UNION ALL SELECT session, -i, 2 * head - g, n FROM n WHERE n > 27 AND i BETWEEN 1 AND 27
+    UNION ALL SELECT session, 2 * (n - 1) - i, 2 * tail - g, n FROM n WHERE n > 27 AND i BETWEEN n - 28 AND n - 2),
+  {sections_sql("forth", "x", "v")}, y AS (SELECT x.session, n + 26 - x.p AS p, forth.y AS v, n FROM forth JOIN x USING (session, p)), {sections_sql("back", "y", "v")},
+  z AS (SELECT back.session, n + 26 - back.p AS i, back.y FROM back JOIN y USING (session, p))
+  SELECT session, i, round(z.y, 4) + 0e0 AS pulse FROM n LEFT JOIN z USING (session, i)""")
+def recording_bandpass(spark, sf_dir):
+    """Whole recordings through the recursive band-pass, forwards and backwards, whatever their length."""
+    made = scan.bandpassed(frames(spark, sf_dir), "g", FPS, BAND, "pulse")
+    return made.select("session", "i", C.zero(F.col("pulse"), 4).alias("pulse"))
+
+
 @query(f"""WITH {EVENTS}, {ESTIMATES} SELECT session, count(*) AS windows, CAST(sum(CASE WHEN confidence <> 'descartada' THEN 1 ELSE 0 END) AS BIGINT) AS usable,
   round(quantile_cont(CASE WHEN confidence <> 'descartada' THEN value END, 0.5), 5) AS median_bpm,
   round(CASE WHEN count(CASE WHEN confidence <> 'descartada' THEN value END) >= 2 THEN stddev_pop(CASE WHEN confidence <> 'descartada' THEN value END) END, 5) AS bpm_sd,
@@ -487,8 +514,7 @@ def completeness(spark, sf_dir):
 @query(f"""WITH {PIXELS}, c AS (SELECT frame, region, count(*) AS n FROM px GROUP BY 1, 2)
   SELECT region, quantile_cont(n, 0.5) AS median_pixels, round(100 * stddev_pop(n) / avg(n), 5) AS variation FROM c GROUP BY 1""")
 def pixel_variation(spark, sf_dir):
-    counts = pixels(spark, sf_dir).groupBy("frame", "region").agg(F.count("*").alias("n"))
-    return counts.groupBy("region").agg(F.percentile("n", F.lit(0.5)).alias("median_pixels"), F.round(100 * F.stddev_pop("n") / F.avg("n"), 5).alias("variation"))
+    return regions.pixel_variation(pixels(spark, sf_dir)).select("region", "median_pixels", F.round("variation", 5).alias("variation"))
 
 
 @query(f"""WITH {EVENTS} SELECT session, round(avg(CASE WHEN event_type <> 'error' THEN 1e0 ELSE 0e0 END), 6) AS detection_rate FROM e GROUP BY 1""")
@@ -687,6 +713,26 @@ def pulse_estimates(spark, sf_dir):
     return made.select(*(C.zero(F.col(c), digits[c]).alias(c) if c in digits else c for c in made.columns))
 
 
+def unfit(df):
+    """Events as frames with a red, green, blue or time that is missing here and there."""
+    e = F.col("event_id")
+    colours = {"r": e * 7 % 50 + 100.0, "g": F.col("value") * 0.7 + 90, "b": e * 13 % 30 + 80.0, "t": F.col("t") / 300}
+    lost = {"r": e % 211 == 0, "g": e % 223 == 0, "b": e % 227 == 0, "t": e % 229 == 0}
+    gaps = {"r": F.lit(None), "g": F.lit(float("nan")), "b": F.lit(float("inf")), "t": F.lit(None)}
+    return df.select("session", e.alias("i"), *(F.when(lost[c], gaps[c]).otherwise(v).cast("double").alias(c) for c, v in colours.items()))
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY event_id) AS n, count(*) OVER (PARTITION BY session) AS total,
+    event_id % 211 = 0 OR event_id % 223 = 0 OR event_id % 227 = 0 OR event_id % 229 = 0 AS bad FROM e),
+  w AS (SELECT *, unnest(range(0, (total - 40) // 10 + 1)) AS window_id FROM o WHERE total >= 40)
+  SELECT session, window_id, bool_or(bad) AS refused, NOT bool_or(bad) AS judged FROM w WHERE n BETWEEN window_id * 10 + 1 AND window_id * 10 + 40 GROUP BY 1, 2""")
+def refused_windows(spark, sf_dir):
+    """Windows that hold a colour or time that is missing get neither a rate nor a level of noise; all others are judged."""
+    made = analysis.sessions(unfit(events(spark, sf_dir)), FPS, SHORT.having(window_s=40 / FPS, step_s=10 / FPS))
+    nothing = (F.col("error_code") == "sinal_sem_qualidade") & F.col("bpm").isNull() & F.col("snr_db").isNull() & F.col("confidence").isNull()
+    return made.select("session", "window_id", nothing.alias("refused"), F.coalesce(F.col("snr_db").isNotNull() | (F.col("error_code") == "banda_invalida"), F.lit(False)).alias("judged"))
+
+
 @query()
 def algorithm_grid(spark, sf_dir):
     """Every algorithm over the same blocks of frames, read once."""

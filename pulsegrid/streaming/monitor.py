@@ -69,8 +69,7 @@ class Monitor:
             return None
         self.since = 0  # a failed window counts for the cadence too
         held = np.array(self.buffer, float)  # None becomes NaN
-        times = held[:, 0] if np.isfinite(held[:, 0]).all() else None
-        found = analyse(held[:, 1:4].T, self.fps, self.config, held[:, 4:7].T if held.shape[1] == 7 else None, times=times)
+        found = analyse(held[:, 1:4].T, self.fps, self.config, held[:, 4:7].T if held.shape[1] == 7 else None, times=held[:, 0])
         bpm = found.get("bpm")
         if bpm is not None:
             a = min(max(self.config.smoothing, 0.0), 1.0)

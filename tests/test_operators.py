@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import COMMAND, DIAGNOSTIC, LIBRARY, Analysis, Band, Simulation
 from pulsegrid.functions import columns as C
-from pulsegrid.operators import kernels, pulse, regions, series, spectrum
+from pulsegrid.operators import kernels, pulse, quantiles, regions, scan, series, spectrum
 from pulsegrid.plans import analysis, diagnostic, reports
 from pulsegrid.sources import faces, history, recordings
 from pulsegrid.sources.datasource import SimulatedPulse
@@ -422,3 +422,82 @@ def test_analyses_are_due_by_time(spark):
     rng.shuffle(rows)
     got = [tuple(r) for r in series.due_analyses(table(spark, rows, "session string, t double"), 4.0, 1.0, 20).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str) and {r[3] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("place", ["r", "g", "b", "t"])
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf")])
+def test_a_missing_colour_or_time_is_refused_in_batch_and_stream(spark, recording, place, value):
+    own = recording.iloc[:420][["i", "t", "r", "g", "b"]].astype(object)
+    own.loc[350, place] = value
+    rows = [(1, int(r.i), *(None if v is None else float(v) for v in (r.t, r.r, r.g, r.b))) for r in own.itertuples()]
+    frames = spark.createDataFrame(rows, "session long, i long, t double, r double, g double, b double")
+    config = Analysis(background=False, smoothing=0.5)
+    found = {r.window_id: r for r in analysis.sessions(frames, 30.0, config).collect()}
+    live, own = [], Monitor(30.0, config)
+    for _, i, *frame in rows:
+        if (x := own.push(i, frame, False)) is not None:
+            live.append(x)
+    assert len(found) == len(live) == 5
+    for k, x in enumerate(live):
+        refused = k * 30 <= 350 < k * 30 + 300
+        assert (found[k].error_code == "sinal_sem_qualidade") == refused == (x[5] == "sinal_sem_qualidade")
+        assert (found[k].bpm is None) == refused and (refused or abs(found[k].bpm - 72) < 1 and abs(x[2] - 72) < 1)
+        assert x[3] is None or abs(x[3] - 72) < 1  # what is shown never takes up a refused window
+
+
+@pytest.mark.parametrize("name", list(kernels.ALGORITHMS))
+def test_no_algorithm_judges_what_is_missing(recording, name):
+    channels = recording[["r", "g", "b"]].to_numpy()[:300].T.copy()
+    times = np.arange(300) / 30.0
+    config = Analysis(background=False, algorithm=name)
+    assert analysis.analyse(channels, 30.0, config, times=np.full(300, np.nan))["bpm"] == analysis.analyse(channels, 30.0, config)["bpm"]
+    times[7] = np.nan
+    assert analysis.analyse(channels, 30.0, config, times=times).get("bpm") is None
+    for c in range(3):
+        bad = channels.copy()
+        bad[c, 100] = np.nan
+        assert analysis.analyse(bad, 30.0, config) == {"algorithm": name, "error_code": "sinal_sem_qualidade"}
+    huge = channels.copy() * 1e305
+    assert analysis.analyse(huge, 30.0, config).get("confidence") != "alta" or name == "verde"
+
+
+def test_quantiles_by_refinement_equal_a_sort(spark):
+    rng = np.random.default_rng(7)
+    parts = {0: rng.standard_normal(5000), 1: np.exp(rng.standard_normal(3000) * 20), 2: np.round(rng.standard_normal(4000)), 3: np.full(2000, 5.0), None: rng.standard_normal(1000) * 2e307, 4: np.array([1.5])}
+    rows = [(k, float(x)) for k, xs in parts.items() for x in xs] + [(0, None), (0, float("nan")), (1, float("inf")), (5, None)]
+    df = spark.createDataFrame(rows, "key int, v double").repartition(5)
+    wanted = {"a": (F.col("v"), 0.05), "b": (F.col("v"), 0.5), "c": (-F.col("v"), 0.95), "d": (F.col("v"), 1.0)}
+    for gather in (2, 900, 10**6):
+        found = {r.key: r for r in quantiles.quantiles(df, ["key"], wanted, gather).collect()}
+        assert set(found) == {*parts, 5} and found[5].a is None
+        for k, xs in parts.items():
+            for name, sign, p in (("a", 1, 0.05), ("b", 1, 0.5), ("c", -1, 0.95), ("d", 1, 1.0)):
+                assert np.isclose(found[k][name], np.quantile(sign * xs, p), rtol=1e-12, atol=1e-300), (gather, k, name)
+
+
+def test_smoothing_and_filters_scan_long_sessions_in_many_tasks(spark):
+    n = 200_000
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.standard_normal(n))
+    frames = spark.createDataFrame(pd.DataFrame({"session": 1, "i": np.arange(n), "x": x})).unionByName(
+        spark.createDataFrame([(2, i, float(i * i % 7)) for i in range(40)] + [(3, i, 1.0) for i in range(5)], "session long, i long, x double")
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = scan.dealt(frames, ["session"], "i").filter("session = 1").groupBy("_run").count().collect()
+        assert len(runs) >= 4 and max(r["count"] for r in runs) < n / 2
+        smooth = series.smoothed(frames, "x", 0.2, "y").filter("session = 1").orderBy("i").toPandas().y.to_numpy()
+        made = scan.bandpassed(frames, "x", 30.0, Band(), "y").orderBy("session", "i").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    expected = [x[0]]
+    for v in x[1:]:
+        expected.append(expected[-1] + 0.2 * (v - expected[-1]))
+    assert np.allclose(smooth, expected, rtol=1e-12, atol=1e-9)
+    for session, own in made.groupby("session"):
+        if session == 3:
+            assert own.y.isna().all() and len(own) == 5
+        else:
+            own_x = x if session == 1 else np.array([float(i * i % 7) for i in range(40)])
+            assert np.abs(own.y.to_numpy() - kernels.bandpass(own_x, 30.0, Band())).max() < 1e-8
