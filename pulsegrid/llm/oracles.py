@@ -75,11 +75,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     FROM (SELECT *, regexp_extract(hit, '^(\\p{{L}}+)([._%+-].*)?$', 1) AS word FROM run) WHERE word <> ''),
   dt AS (SELECT DISTINCT doc_id, term FROM term),
   nt AS (SELECT term, count(*) AS n_t FROM dt GROUP BY term),
-  de AS (SELECT DISTINCT doc_id, kind || ':' || regexp_replace(lower(hit), '[\\x20().-]', '', 'g') AS entity FROM base),
-  ne AS (SELECT entity, count(*) AS n_e, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM d) AS p FROM de GROUP BY entity),
-  te AS (SELECT entity, term, count(*) AS n_te FROM de JOIN dt USING (doc_id) GROUP BY entity, term),
-  told AS (SELECT entity, term FROM te JOIN nt USING (term) JOIN ne USING (entity)
-    WHERE p < 1 AND log2((n_te + {settings.smoothing} * p) / (n_t + {settings.smoothing}) / p) / log2(1 / p) >= {settings.generalise}),
+  ex AS (SELECT doc_id, CAST(kind AS VARCHAR) AS kind, lower(hit) AS hit, regexp_replace(lower(hit), '[\\x20().-]', '', 'g') AS plain FROM base),
+  de AS (SELECT doc_id, kind || ':' || plain AS entity FROM ex UNION
+    SELECT doc_id, kind || ':~' || CASE kind WHEN '0' THEN split_part(hit, '@', 2) WHEN '1' THEN split_part(hit, '.', 1) || '.' || split_part(hit, '.', 2) ELSE plain[1:4] END FROM ex),
+  total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+  ne AS (SELECT entity, count(*) AS n_e, count(*) / (SELECT n FROM total) AS p FROM de GROUP BY entity HAVING count(*) >= 2),
+  nb AS (SELECT term FROM dt WHERE doc_id IN (SELECT doc_id FROM de) GROUP BY term HAVING count(*) >= 2),
+  te AS (SELECT entity, term, CAST(count(*) AS DOUBLE) AS n_te FROM de JOIN dt USING (doc_id) JOIN ne USING (entity) JOIN nb USING (term) GROUP BY entity, term),
+  cells AS (SELECT entity, term, p, n_te, CAST(n_t AS DOUBLE) AS n_t, CAST(n_e AS DOUBLE) AS n_e, n FROM te JOIN nt USING (term) JOIN ne USING (entity), total),
+  told AS (SELECT entity, term FROM cells
+    WHERE p < 1 AND log2((n_te + {settings.smoothing} * p) / (n_t + {settings.smoothing}) / p) / log2(1 / p) >= {settings.generalise} AND n_te * n > n_t * n_e
+    AND n_te * ln(n_te * n / (n_t * n_e)) + CASE WHEN n_t > n_te THEN (n_t - n_te) * ln((n_t - n_te) * n / (n_t * (n - n_e))) ELSE 0 END
+      + CASE WHEN n_e > n_te THEN (n_e - n_te) * ln((n_e - n_te) * n / ((n - n_t) * n_e)) ELSE 0 END
+      + CASE WHEN n - n_t - n_e + n_te > 0 THEN (n - n_t - n_e + n_te) * ln((n - n_t - n_e + n_te) * n / ((n - n_t) * (n - n_e))) ELSE 0 END
+      >= ln(greatest((SELECT count(*) FROM nb) * (SELECT count(*) FROM ne), 1) / {settings.alpha})),
   mine AS (SELECT DISTINCT doc_id, term FROM told JOIN de USING (entity)),
   added AS (SELECT t.doc_id, t.start, t.stop FROM term AS t JOIN mine USING (doc_id, term)
     WHERE NOT EXISTS (SELECT 1 FROM base AS b WHERE b.doc_id = t.doc_id AND b.start < t.stop AND t.start < b.stop)),

@@ -179,29 +179,85 @@ def test_sanitising(spark, empty):
     assert pii.find(empty).count() == 0
 
 
-def test_terms_beside_entities_of_one_document(spark):
+def disclosed(rows, settings):
+    """Brute force over sets: the largest share of each word of each document, of what passes both tests."""
+    words = [set(w for w in t.split() if w.isalpha()) for _, t, *_ in rows]
+    found = [set(w for w in t.split() if not w.isalpha()) for _, t, *_ in rows]
+    protected = [es | {"~" + (e.split("@")[1] if "@" in e else ".".join(e.split(".")[:2])) for e in es} for es in found]
+    total = len(rows)
+    n_e = {e: n for e, n in collections.Counter(e for es in protected for e in es).items() if n >= 2}
+    n_t = collections.Counter(w for ws in words for w in ws)
+    beside = {w for w, n in collections.Counter(w for ws, es in zip(words, protected) if es for w in ws).items() if n >= 2}
+    bound = 2 * math.log(len(n_e) * len(beside) / settings.alpha)
+    out = []
+    for ws, es in zip(words, protected, strict=True):
+        best = {}
+        for w in ws & beside:
+            for e in es & set(n_e):
+                both, p = sum(w in x and e in y for x, y in zip(words, protected)), n_e[e] / total
+                share = math.log2((both + settings.smoothing * p) / (n_t[w] + settings.smoothing) / p) / math.log2(1 / p)
+                g = 0.0
+                for seen, row, column in ((both, n_t[w], n_e[e]), (n_t[w] - both, n_t[w], total - n_e[e]), (n_e[e] - both, total - n_t[w], n_e[e]), (total - n_t[w] - n_e[e] + both, total - n_t[w], total - n_e[e])):
+                    g += 2 * seen * math.log(seen * total / row / column) if seen else 0
+                if share >= settings.generalise and g >= bound and both * total > n_t[w] * n_e[e]:
+                    best[w] = max(best.get(w, 0), share)
+        out.append(best)
+    return out
+
+
+def test_terms_are_changed_for_standing_beside_entities_not_for_being_rare(spark):
     far = "common words " * 40
     rows = [(0, f"Zyx ombersley {far}bo.ray@mail.example.com common words Ombersley", "en", "s", 1)]
-    rows += [(1 + k, f"{far}here {'cy.dent@mail.example.com' if k < 2 else ''} {'quillfeather' if k < 2 else ''}", "en", "s", 1) for k in range(999)]
+    rows += [(1 + k, f"{far}here {'cy.dent@mail.example.com' if k < 3 else ''} {'quillfeather' if k < 3 else ''} {'rareword' if k in (5, 6, 7) else ''}", "en", "s", 1) for k in range(999)]
+    rows += [(2000, f"{far} rareword cy.dent@mail.example.com", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
     texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert texts[0] == f"<TERM> <TERM> {far}<EMAIL> common words <TERM>"  # far off, and of three letters
-    assert "quillfeather" not in texts[1] + texts[2] and texts[3] == rows[3][1]
-    # brute force on random texts
+    assert texts[0] == rows[0][1].replace("bo.ray@mail.example.com", "<EMAIL>")  # words of one document alone tell nothing
+    assert all("quillfeather" not in texts[k] and "<TERM>" in texts[k] for k in (1, 2, 3)) and texts[4] == rows[4][1]
+    assert "rareword" in texts[2000] and texts[6] == rows[6][1]  # as rare, but mostly beside no entity
     rng = random.Random(9)
-    rows = [(k, " ".join([*rng.choices([f"{a}{b}" for a in "abcdefgh" for b in "klmnopq"], k=rng.randrange(1, 12)), *rng.sample(["a@b.cc", "d@e.ff", "10.0.0.1"], rng.choice([0, 0, 1, 2]))]), "en", "s", 1) for k in range(150)]
-    settings = pii.Settings(generalise=0.35, remove=0.6)
-    sets = [(set(w for w in t.split() if w.isalpha()), set(w for w in t.split() if not w.isalpha())) for _, t, *_ in rows]
-    for (doc, text, *_), got in zip(rows, sorted(pii.find(spark.createDataFrame(rows, DOCS), settings).collect(), key=lambda r: r.doc_id), strict=True):
-        expected = {}
-        for word in sets[doc][0]:
-            for e in sets[doc][1]:
-                p = sum(e in es for _, es in sets) / 150
-                n, both = sum(word in ws for ws, _ in sets), sum(word in ws and e in es for ws, es in sets)
-                expected[word] = max(expected.get(word, 0), math.log2((both + 2 * p) / (n + 2) / p) / math.log2(1 / p))
-        kept = {w: x for w, x in expected.items() if x >= 0.35}
-        assert {text[s.start : s.end]: round(s.share, 9) for s in got.added} == {w: round(x, 9) for w, x in kept.items()}
-        assert len(got.added) == sum(w in kept for w in text.split())
+    # words of one letter go with one address more often than others
+    rows = []
+    for k in range(200):
+        es = rng.sample(["a@b.cc", "d@b.cc", "10.0.0.1", "f@e.ff"], rng.choice([0, 0, 1, 2]))
+        ws = rng.choices([f"{a}{b}" for a in "abcdefgh" for b in "klmnopq"], k=rng.randrange(1, 12)) + [f"z{e[0]}" for e in es if e[0].isalpha() and rng.random() < 0.7]
+        rows.append((k, " ".join([*ws, *es]), "en", "s", 1))
+    rows += rows[:20]
+    settings = pii.Settings(generalise=0.3, remove=0.6, alpha=0.5)
+    got = sorted(pii.find(spark.createDataFrame(rows, DOCS), settings).collect(), key=lambda r: r.doc_id)
+    expected = dict(zip((r[0] for r in rows), disclosed(rows, settings), strict=True))
+    assert sum(map(len, expected.values())) > 20
+    for r in got:
+        text, kept = rows[r.doc_id][1], expected[r.doc_id]
+        assert {text[s.start : s.end]: round(s.share, 9) for s in r.added} == {w: round(x, 9) for w, x in kept.items()}
+        assert len(r.added) == sum(w in kept for w in text.split())
+
+
+def test_terms_are_generalised_to_classes_of_the_corpus(spark):
+    towns = [f"{a}{b}ton" for a in "bcdfg" for b in "aeiou"]
+    rows = [(k, f"a house in {towns[k % 25]} or so", "en", "s", 1) for k in range(600)]
+    rows += [(1000 + k, "near quillfeaton and mossgrave ann.lee@solo.example.com", "en", "s", 1) for k in range(4)]
+    texts = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert texts[1000] == "<TERM> <*ton> <TERM> <TERM> <EMAIL>" and texts[0] == rows[0][1]
+    gone = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, DOCS), pii.Settings(remove=0.8)).collect()}
+    assert gone[1000] == "    <EMAIL>"
+
+
+def test_long_lists_are_found_and_replaced_in_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "a@b.cd, é " * 40_000), (2, "\U0001f600x 1.2.3.4 " * 20_000)], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.base for r in pii.find(df).collect()}
+    assert [(s.start, s.end) for s in found[1]] == [(10 * k, 10 * k + 6) for k in range(40_000)]
+    assert [(s.start, s.end) for s in found[2]] == [(11 * k + 3, 11 * k + 10) for k in range(20_000)]
+    texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert texts == {1: "<EMAIL>, é " * 40_000, 2: "\U0001f600x <IP> " * 20_000}
+    assert time.time() - began < 90
+    # two copies of a list of many addresses and words meet as one pair
+    wide = " ".join(f"m{k}@x.org {''.join(chr(97 + int(c)) for c in str(k))}zz" for k in range(3000))
+    df = spark.createDataFrame([(k, wide if k < 3 else f"word {k}") for k in range(200)], "doc_id long, text string")
+    assert sum(len(r.added) for r in pii.find(df).collect()) == 3 * 3000
 
 
 def test_top_k_equals_brute_force(spark):
