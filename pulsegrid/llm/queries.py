@@ -22,6 +22,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations for training on answers: what is no assistant's bears no loss. All three limits bind here."""
+    turns = table(spark, sf_dir, "conversations")
+    answers = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    place = F.xxhash64("conv_id", "turn")  # a name for the turn, as the packer wants one number
+    rows = turns.select(place.alias("doc_id"), F.when(answers, F.col("text")).alias("text"), F.when(~answers, F.col("text")).alias("asked"))
+    packed = pack(rows, public_tokenizers.path("word_bpe_49k.json"), Limits(tokens=2048, segments=24, loss_tokens=1536), prompt="asked")
+    return packed.select(F.col("doc_id").alias("turn_key"), "start", "length", "loss_tokens", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "segment", "offset")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -109,7 +119,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op5_language_fusion, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup, op11_url_verdicts, op12_spelling_variants, op13_whitening)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_pii, op4_mixing, op5_language_fusion, op6_kdtree_topk, op7_quality, op8_token_counts, op9_media_columns, op10_setsketch_dedup, op11_url_verdicts, op12_spelling_variants, op13_whitening, conversation_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

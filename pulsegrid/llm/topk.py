@@ -5,14 +5,19 @@ nodes have tight bounding boxes. A query visits nodes best-first by the largest
 stops where that falls below its k-th score. The k-th scores found in one pilot shard travel with the queries to all
 other shards, so these are pruned from the start.
 
+A query block meets every shard, so vectors are shipped once for each block: blocks are large, and integers as narrow as
+the largest component allows.
+
 Cases: vectors that are null, empty or hold null or non-finite components, and rows without an id, take no part; only
 vectors of one length meet; equal scores go to the smaller id; a query with fewer candidates gets them all; rows that
-repeat an id are candidates each, but not of a query of that id; an empty table gives no rows.
+repeat an id are candidates each, but not of a query of that id; an empty table gives no rows. A score is a long: where
+the largest component m of the scaled vectors could take one beyond it, that is dim * m^2 >= 2^63, a ValueError tells so.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +35,7 @@ class Settings:
     k: int = 20
     scale: int = 64
     shard_rows: int = 8192
-    block_rows: int = 512
+    block_rows: int = 2048
 
 
 @dataclass
@@ -67,7 +72,8 @@ class Tree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """(query, id, score) of the k best of each query in this tree, of those that reach the query's k-th score."""
-        exact = float(np.abs(self.points).max()) * float(np.abs(queries).max()) * queries.shape[1] < 2.0**53
+        most = (float(np.abs(x.astype(float)).max()) for x in (self.points, queries))
+        exact = math.prod(most) * queries.shape[1] < 2.0**53
         kind = np.float64 if exact else np.int64  # floats of that size are exact and faster
         points, q = self.points.astype(kind), queries.astype(kind)
         bounds = np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T
@@ -102,12 +108,25 @@ class Tree:
 LOWEST = -(1 << 62)
 
 
-def integral(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, dim, v): each component as floor(scale * x), of the vectors that take part."""
+def fitting(vectors: DataFrame) -> DataFrame:
+    """(vec_id, dim, x) of the vectors that take part, as doubles."""
     fit = (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
-    )
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def counted(rows: DataFrame) -> tuple[int, int, float]:
+    """Rows, the largest dimension and the largest component in size."""
+    r = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.max(F.array_max(F.transform("x", F.abs))).alias("most")).first()
+    return r.n, r.dim or 0, r.most or 0.0
+
+
+def width(rows: tuple[int, int, float], asked: tuple[int, int, float], scale: int) -> np.dtype:
+    """The narrowest integers that hold floor(scale * x)."""
+    most = max(rows[2], asked[2]) * scale + 1
+    if most * most * max(rows[1], asked[1]) >= 2.0**63:
+        raise ValueError(f"scores of components as large as {most / scale:.3g} do not fit a long")
+    return np.dtype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -116,22 +135,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings(
     Every query meets every shard once, in blocks: rows shuffled are queries times shards and vectors times blocks.
     """
     k = settings.k
-    rows, asked = integral(vectors, settings.scale), integral(queries, settings.scale)
-    shards = max(1, -(-rows.count() // settings.shard_rows))
-    blocks = max(1, -(-asked.count() // settings.block_rows))
+    rows, asked = fitting(vectors), fitting(queries)
+    in_rows, in_asked = counted(rows), counted(asked)
+    kind = width(in_rows, in_asked, settings.scale)
+    shards = max(1, -(-in_rows[0] // settings.shard_rows))
+    blocks = max(1, -(-in_asked[0] // settings.block_rows))
+    rows, asked = (df.select("vec_id", "dim", F.transform("x", lambda x: F.floor(x * settings.scale).cast("long")).alias("v")) for df in (rows, asked))
+
+    def packed(*columns: np.ndarray) -> tuple[bytes, ...]:
+        """Ids and spans as they are, points narrow."""
+        return tuple(np.ascontiguousarray(x, np.int64 if x.ndim == 1 else kind).tobytes() for x in columns)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = Tree.build(pdf.vec_id.to_numpy(), np.stack(pdf.v.to_numpy()))
-        return pd.DataFrame([(pdf.dim.iloc[0], pdf.shard.iloc[0], *(np.ascontiguousarray(x, np.int64).tobytes() for x in (tree.ids, tree.points, tree.low, tree.high, tree.spans)))])
+        return pd.DataFrame([(pdf.dim.iloc[0], pdf.shard.iloc[0], *packed(tree.ids, tree.points, tree.low, tree.high, tree.spans.ravel()))])
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         kth = np.full(len(pdf), LOWEST) if "kth" not in pdf else pdf.kth.fillna(LOWEST).to_numpy()
-        return pd.DataFrame([(pdf.dim.iloc[0], pdf.block.iloc[0], *(np.ascontiguousarray(x, np.int64).tobytes() for x in (pdf.vec_id.to_numpy(), np.stack(pdf.v.to_numpy()), kth)))])
+        return pd.DataFrame([(pdf.dim.iloc[0], pdf.block.iloc[0], *packed(pdf.vec_id.to_numpy(), np.stack(pdf.v.to_numpy()), kth))])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for r in pdf.itertuples(index=False):
-            ids, points, low, high, spans, query_ids, q, kth = (np.frombuffer(x, np.int64) for x in (r.ids, r.points, r.low, r.high, r.spans, r.query_ids, r.q, r.kth))
+            ids, spans, query_ids, kth = (np.frombuffer(x, np.int64) for x in (r.ids, r.spans, r.query_ids, r.kth))
+            points, low, high, q = (np.frombuffer(x, kind) for x in (r.points, r.low, r.high, r.q))
             tree = Tree(ids, points.reshape(-1, r.dim), low.reshape(-1, r.dim), high.reshape(-1, r.dim), spans.reshape(-1, 4))
             found += tree.search(query_ids, q.reshape(-1, r.dim), kth, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

@@ -2,9 +2,11 @@
 
 Logistic regression on the presence of words and parts of words. For each labelled text that names a group, a
 counterfactual names others of the same kind instead; the squared change of the logit between both is part of the
-loss, so that naming a group neither raises nor lowers a score much. Names of groups are given by a table, and more are
-found in the labelled texts themselves: common words that stand in clean texts at least as often as in toxic ones, each
-swapped for the one whose neighbours are most like its own. What such words seem to tell is chance, as it is for names of groups.
+loss, so that naming a group neither raises nor lowers a score much. Names of groups are given by a table, and more
+neutral words are found in the labelled texts themselves: words common in both classes whose shares differ little enough
+to be chance or topic, those of most spurious evidence first, used alike in both classes, each swapped for the one whose
+neighbours are most like its own. Features of all swapped words enter the model whatever their evidence, so what they
+seem to tell is there to be learnt, and it is the penalty that takes it back.
 
 Cases: null and empty texts score as texts without any evidence; long texts are read whole; repeated rows are scored
 each; an empty table gives no rows; without labels of both classes every score is the share of label 1; other columns
@@ -45,7 +47,8 @@ class Settings:
 
     `penalty`: weight of the squared change of the logit under swapped groups. `least_g2`: the evidence (G squared) and
     `least_texts` the number of label-1 texts that a feature must have. `total_chars`: characters of a class at most.
-    Neutral words: at most `neutral`, in `neutral_texts` texts of each class, swapped for one whose neighbours are `alike`.
+    Neutral words: at most `neutral`, in `neutral_texts` texts of each class, their shares of texts apart by a factor of
+    `spurious` at most, with contexts `alike` in both classes, swapped for one whose contexts are `alike`.
     """
 
     rows: int = 3000
@@ -60,6 +63,7 @@ class Settings:
     terms: tuple = field(default=IDENTITY_TERMS)
     neutral: int = 400
     neutral_texts: int = 20
+    spurious: float = 2.0
     alike: float = 0.5
 
 
@@ -73,31 +77,48 @@ def swaps(terms) -> dict[str, str]:
     return {a: group[(i + 1) % len(group)] for group in terms for i, a in enumerate(group)}
 
 
-def neutral_pairs(texts: list[np.ndarray], in0: np.ndarray, in1: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G squared of counts of texts that have something: a of n1 with label 1, b of n0 with label 0."""
+    p = (a + b) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(a > 0, a * np.log(a / (n1 * p)), 0) + np.where(b > 0, b * np.log(b / (n0 * p)), 0))
+
+
+def neutral_pairs(texts: list[np.ndarray], labels: list[int], in0: np.ndarray, in1: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
     """Neutral words, each with the one whose contexts are most like its own. `texts`: word numbers in order; `in0`,
     `in1`: texts that have the word, by class.
 
     The contexts of a word are how often each of the 256 most common words is its left and its right neighbour.
     """
-    common = np.argsort(-(in0 + in1), kind="stable")
-    words = common[(np.minimum(in0, in1)[common] >= settings.neutral_texts) & (in0[common] >= in1[common])][: settings.neutral]
-    around = common[:256]
+    n1 = max(sum(map(int, labels)), 1)
+    n0 = max(len(labels) - n1, 1)
+    apart = (in1 / n1) / np.maximum(in0 / n0, 1e-12)
+    fits = (np.minimum(in0, in1) >= settings.neutral_texts) & (apart <= settings.spurious) & (apart >= 1 / settings.spurious)
+    words = np.flatnonzero(fits)
+    words = words[np.argsort(-evidence(in1[words].astype(float), in0[words].astype(float), n1, n0), kind="stable")][: settings.neutral]
+    around = np.argsort(-(in0 + in1), kind="stable")[:256]
     if len(words) < 2:
         return []
     row, col = np.full(len(in0), -1), np.full(len(in0), -1)
     row[words], col[around] = np.arange(len(words)), np.arange(len(around))
-    counts = np.zeros(len(words) * 2 * len(around))
-    for text in texts:
+    counts = np.zeros((2, len(words) * 2 * len(around)))
+    for text, y in zip(texts, labels, strict=True):
         r, c = row[text], col[text]
         for own, other, shift in ((r[1:], c[:-1], 0), (r[:-1], c[1:], len(around))):
             both = (own >= 0) & (other >= 0)
-            np.add.at(counts, own[both] * 2 * len(around) + shift + other[both], 1.0)
-    table = np.sqrt(counts.reshape(len(words), -1))
-    table /= np.maximum(np.sqrt((table**2).sum(1, keepdims=True)), 1e-12)
+            np.add.at(counts[int(y)], own[both] * 2 * len(around) + shift + other[both], 1.0)
+
+    def unit(table: np.ndarray) -> np.ndarray:
+        table = np.sqrt(table.reshape(len(words), -1))
+        return table / np.maximum(np.sqrt((table**2).sum(1, keepdims=True)), 1e-12)
+
+    used_alike = (unit(counts[0]) * unit(counts[1])).sum(1) >= settings.alike
+    table = unit(counts.sum(0))
     like = table @ table.T
     np.fill_diagonal(like, -1.0)
+    like[:, ~used_alike] = -1.0
     nearest = like.argmax(1)
-    return [(int(words[a]), int(words[b])) for a, b in enumerate(nearest) if like[a, b] >= settings.alike]
+    return [(int(words[a]), int(words[b])) for a, b in enumerate(nearest) if used_alike[a] and like[a, b] >= settings.alike]
 
 
 @dataclass
@@ -157,7 +178,7 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     for one, other in swap.items():
         swapped[number[one]] = number[other]
     in0, in1 = (np.bincount(np.concatenate([b for b, y in zip(bags, labels, strict=True) if y == k]), minlength=len(number)) for k in (0, 1))
-    for a, b in neutral_pairs(orders, in0, in1, settings):
+    for a, b in neutral_pairs(orders, labels, in0, in1, settings):
         if swapped[a] == a:
             swapped[a] = b
     del parts, number, orders
@@ -172,11 +193,12 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
         counts[int(y), present(bag)] += 1
     n1, n0 = ones, len(labels) - ones
     wanted = np.flatnonzero((counts[1] >= settings.least_texts) & (counts[1] / n1 > counts[0] / n0))
-    a, b = counts[1, wanted].astype(float), counts[0, wanted].astype(float)
-    p = (a + b) / (n1 + n0)
-    g2 = 2 * (a * np.log(a / (n1 * p)) + b * np.log(np.maximum(b, 1) / (n0 * p)))
+    g2 = evidence(counts[1, wanted].astype(float), counts[0, wanted].astype(float), n1, n0)
     order = np.argsort(-g2, kind="stable")[: settings.features]
     names = wanted[order[g2[order] >= settings.least_g2]].tolist()
+    # the words that are swapped, as words: what they are made of may belong to words that tell something
+    whole = flat[first[np.flatnonzero((swapped != np.arange(len(swapped))) | np.isin(np.arange(len(swapped)), swapped[swapped != np.arange(len(swapped))]))]]
+    names += np.setdiff1d(whole, names).tolist()
     place = np.full(HASHES, -1, np.int32)
     place[names] = np.arange(len(names))
 

@@ -256,8 +256,8 @@ def test_long_lists_are_found_and_replaced_in_linear_time(spark):
     assert time.time() - began < 90
     # two copies of a list of many addresses and words meet as one pair
     wide = " ".join(f"m{k}@x.org {''.join(chr(97 + int(c)) for c in str(k))}zz" for k in range(3000))
-    df = spark.createDataFrame([(k, wide if k < 3 else f"word {k}") for k in range(200)], "doc_id long, text string")
-    assert sum(len(r.added) for r in pii.find(df).collect()) == 3 * 3000
+    df = spark.createDataFrame([(k, wide if k < 6 else f"word {k}") for k in range(400)], "doc_id long, text string")
+    assert sum(len(r.added) for r in pii.find(df).collect()) == 6 * 3000
 
 
 def test_top_k_equals_brute_force(spark):

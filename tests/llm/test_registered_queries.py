@@ -11,9 +11,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import langid, packing, pii, quality, queries, toxicity
+from pulsegrid.llm import langid, packing, pii, quality, queries, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,6 +131,63 @@ def test_neutral_words_are_swapped_and_the_penalty_acts():
     assert change[0] < 0.5 * change[1]
 
 
+def test_swapped_words_enter_the_model_and_the_penalty_takes_them_back():
+    """Words that only seem to tell something are learnt without the penalty, and cost clean mentions false positives."""
+    rng = random.Random(6)
+    groups = ["northers", "southers"]
+    texts, labels = [], []
+    for k in range(900):
+        bad = k % 3 == 0
+        who = groups[0] if rng.random() < (0.7 if bad else 0.5) else groups[1]
+        texts.append(f"{rng.choice('abcdefgh')} the {who} sing {rng.choice(['here', 'there'])} the {who} walk" + (f" vile{rng.choice(['a', 'b', 'c'])}" if bad and rng.random() < 0.5 else ""))
+        labels.append(int(bad))
+    clean = [f"{c} the {groups[0]} sing here" for c in "abcdefgh"]
+    wrong = {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.fit(texts, labels, 1 / 3, toxicity.Settings(terms=(), penalty=penalty, least_g2=1e9))
+        assert {toxicity.parts_of(g)[0] for g in groups} & set(model.weights) or penalty  # whatever their evidence
+        wrong[penalty] = sum(s >= 0.3 for s in model.scorer().scores(clean))
+        again = toxicity.fit(texts, labels, 1 / 3, toxicity.Settings(terms=(), penalty=penalty, least_g2=1e9))
+        assert again.weights == model.weights
+    scores = [toxicity.fit(texts, labels, 1 / 3, toxicity.Settings(terms=(), penalty=p)).scorer().logit(clean[0]) - toxicity.fit(texts, labels, 1 / 3, toxicity.Settings(terms=(), penalty=p)).scorer().logit(clean[0].replace(*groups)) for p in (0.0, 5.0)]
+    assert scores[0] > 0.2 and abs(scores[1]) < 0.3 * scores[0]
+
+
+def test_conversations_meet_all_three_limits(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["sun", "river", "stone", "amber", "lantern"]
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(rng.choices(words, k=rng.choice([1, 5, 60, 400 if t % 2 else 900])))) for c in range(150) for t in range(4)]
+    rows += [(200, 0, None, None), (201, None, "assistant", ""), (202, 0, "system", "x"), (0, 1, "assistant", rows[1][3])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1)).repartition(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    pieces = queries.conversation_packing(spark, str(tmp_path)).collect()
+    tokens = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = Counter()
+    for _, _, role, text in rows:
+        n = len(tokens.tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        sizes[n, 1 if role != "assistant" else n] += 1
+    whole, full = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0, 0])
+    for p in pieces:
+        own = full[p.sequence_id]
+        assert p.offset == own[0] if p.segment == own[1] else True
+        for k, v in enumerate((p.length, 1, p.loss_tokens)):
+            own[k] += v
+        whole[p.turn_key][0] += p.length
+        whole[p.turn_key][1] += p.loss_tokens
+    assert sum(v[0] for v in whole.values()) == sum(n * c for (n, _), c in sizes.items()) and sum(v[1] for v in whole.values()) == sum(x * c for (_, x), c in sizes.items())
+    assert all(n <= 2048 and c <= 24 and x <= 1536 for n, c, x in full.values())
+    assert any(n == 2048 for n, _, _ in full.values()) and any(c == 24 and n < 2000 for n, c, _ in full.values()) and any(x == 1536 and n < 2000 for n, _, x in full.values())
+
+
+def test_scores_beyond_a_long_are_refused_and_wide_ones_exact(spark):
+    df = spark.createDataFrame([(0, [1e7, -2e7]), (1, [1e7, 3.0e7]), (2, [2.5e7, 1.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0")).collect()
+    v = {i: [math.floor(64 * x) for x in row] for i, row in ((0, (1e7, -2e7)), (1, (1e7, 3.0e7)), (2, (2.5e7, 1.0)))}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == sorted(((i, sum(a * b for a, b in zip(v[0], v[i]))) for i in (1, 2)), key=lambda x: -x[1])
+    for huge in (1e10, 1e30):
+        with pytest.raises(ValueError, match="long"):
+            topk.top_k(spark.createDataFrame([(0, [huge, huge]), (1, [huge, 1.0])], "vec_id long, embedding array<double>"), df)
+
+
 def test_terms_come_from_a_table(spark):
     table = spark.createDataFrame([("a", "Northers"), ("a", "southers"), ("b", "alone"), (None, "x")], "kind string, term string")
     assert toxicity.with_terms(table).terms == (("northers", "southers"),)
