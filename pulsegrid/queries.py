@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +14,8 @@ from .operators.kernels import ALGORITHMS, bandpass_design
 from .plans import analysis, diagnostic, reports
 from .plans.linear_maps import bandpass_map, detrend_map, matrix_sql
 from .sources import recordings
-from .streaming import monitor
+from .sources.shared import folder
+from .streaming import monitor, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -844,16 +843,6 @@ def window_resampling(spark, sf_dir):
     return sums.join(rates, by).select(*by, F.round("fps", 4).alias("fps"), "points", F.round("mean", 3).alias("mean"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder that the cluster names."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="pulsegrid-")
-    return f"{named}/stream-{uuid.uuid4().hex}"
-
-
 @query()
 def stream_monitor(spark, sf_dir):
     """Events as a live stream of frames: windows by count, reset by errors, smoothed."""
@@ -861,7 +850,52 @@ def stream_monitor(spark, sf_dir):
     stream = monitor.frame_stream(spark, sf_dir, schema, "events.parquet")
     v = F.col("value")
     live = stream.select(F.col("user_id").alias("session"), F.col("event_id").alias("i"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 / 300).alias("t"), (F.col("event_id") * 7 % 50 + 100.0).alias("r"), (v * 0.7 + 90).alias("g"), (F.col("event_id") * 13 % 30 + 80.0).alias("b"), (F.col("event_id") % 997 == 0).alias("lost"))
-    return monitor.drained(monitor.monitored(live, FPS, SHORT.having(window_s=40 / FPS, step_s=10 / FPS)), "monitor", shared_folder(spark))
+    return monitor.drained(monitor.monitored(live, FPS, SHORT.having(window_s=40 / FPS, step_s=10 / FPS)), "monitor", folder(spark, "stream"))
+
+
+LIVE = 40
+LIVE_FILTER = bandpass_map(LIVE, FPS, BAND.low_hz, BAND.high_hz)
+
+
+# a face lost or a control row begins a segment; windows of 40 frames, 10 apart, in each; of 512 bins 12 to 68 lie in the band
+@query(f"""WITH {EVENTS}, {matrix_sql("fl", LIVE_FILTER)}, {matrix_sql("fd", LIVE_FILTER @ detrend_map(LIVE, 100.0))},
+  m AS (SELECT session, event_id AS i, event_id % 97 = 0 AS lost, CASE WHEN event_id % 151 = 0 THEN CASE WHEN event_id // 151 % 2 = 1 THEN 'chrom' ELSE 'verde' END END AS named,
+    event_id * 7 % 50 + 100e0 AS r, value * 0.7e0 + 90 AS g, event_id * 13 % 30 + 80e0 AS b FROM e),
+  s AS (SELECT *, coalesce(lost AND NOT lag(lost, 1, false) OVER o, false) AS first_lost FROM (SELECT * FROM m WHERE named IS NULL) WINDOW o AS (PARTITION BY session ORDER BY i)),
+  x AS (SELECT m.*, coalesce(s.first_lost, false) OR m.named IS NOT NULL AS cut FROM m LEFT JOIN s USING (session, i)),
+  y AS (SELECT *, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY i) AS INTEGER) AS segment,
+    coalesce(last_value(named IGNORE NULLS) OVER (PARTITION BY session ORDER BY i), 'verde') AS algorithm FROM x),
+  f AS (SELECT *, row_number() OVER p AS n, count(*) OVER (PARTITION BY session, segment) AS total FROM y WHERE NOT lost AND named IS NULL WINDOW p AS (PARTITION BY session, segment ORDER BY i)),
+  w AS (SELECT session, segment, algorithm, w0 AS w, n - w0 * 10 - 1 AS k, i, r, g, b FROM (SELECT *, unnest(range(0, (total - 40) // 10 + 1)) AS w0 FROM f WHERE total >= 40) WHERE n BETWEEN w0 * 10 + 1 AND w0 * 10 + 40),
+  c0 AS (SELECT session, segment, w, k, {", ".join(f"{c} / avg({c}) OVER p AS {c}" for c in "rgb")} FROM w WHERE algorithm = 'chrom' WINDOW p AS (PARTITION BY session, segment, w)),
+  c1 AS (SELECT session, segment, w, fl.i AS k, sum(v * (3 * r - 2 * g)) AS x, sum(v * (1.5e0 * r + g - 1.5e0 * b)) AS y FROM c0 JOIN fl ON k = j GROUP BY ALL),
+  h AS (SELECT session, segment, w, k, -g AS h FROM w WHERE algorithm = 'verde' UNION ALL SELECT session, segment, w, k, x - stddev_pop(x) OVER p / stddev_pop(y) OVER p * y FROM c1 WINDOW p AS (PARTITION BY session, segment, w)),
+  p AS (SELECT session, segment, w, fd.i AS k, sum(v * h) AS x FROM h JOIN fd ON k = j GROUP BY ALL),
+  d AS (SELECT session, segment, w, k, 0.5e0 - 0.5e0 * cos({PERIOD} * k / 39) AS u, (x - avg(x) OVER o) * (0.5e0 - 0.5e0 * cos({PERIOD} * k / 39)) AS x FROM p WINDOW o AS (PARTITION BY session, segment, w)),
+  sp AS (SELECT session, segment, w, bin, bin * 30.0e0 / 512 AS hz, bin BETWEEN 12 AND 68 AS inside, (power(sum(x * cos((k * bin % 512) * {PERIOD} / 512)), 2) + power(sum(x * sin((k * bin % 512) * {PERIOD} / 512)), 2)) / (sum(u * u) * 30) AS power
+    FROM d, (SELECT unnest(range(11, 70)) AS bin) GROUP BY ALL),
+  v AS (SELECT *, ln(lag(power) OVER o) AS pb, ln(power) AS pm, ln(lead(power) OVER o) AS pa FROM sp WINDOW o AS (PARTITION BY session, segment, w ORDER BY bin)),
+  t AS (SELECT * FROM v WHERE inside QUALIFY row_number() OVER (PARTITION BY session, segment, w ORDER BY power DESC, bin) = 1),
+  pk AS (SELECT session, segment, w, greatest(0.7e0, least(4.0e0, hz + CASE WHEN abs(pb - 2 * pm + pa) >= 1e-18 THEN greatest(-0.5e0, least(0.5e0, 0.5e0 * (pb - pa) / (pb - 2 * pm + pa))) * 30.0e0 / 512 ELSE 0 END)) AS peak FROM t),
+  r AS (SELECT session, segment, w, peak * 60 AS bpm, least(60e0, 10 * log10(sum(power) FILTER (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0) / sum(power) FILTER (NOT (abs(hz - peak) <= 0.1e0 OR abs(hz - 2 * peak) <= 0.2e0)))) AS snr
+    FROM sp JOIN pk USING (session, segment, w) WHERE inside GROUP BY session, segment, w, peak),
+  q AS (SELECT *, CASE WHEN snr >= 0 THEN bpm END AS good FROM r),
+  z AS (SELECT *, list(good) FILTER (good IS NOT NULL) OVER (PARTITION BY session, segment ORDER BY w) AS upto FROM q)
+  SELECT z.session, max(w.i) AS i, z.segment, any_value(w.algorithm) AS algorithm, round(any_value(good), 3) AS bpm, round(any_value(snr), 3) + 0e0 AS snr_db,
+    CASE WHEN any_value(snr) < 0 THEN 'sinal_sem_qualidade' END AS error_code, round(any_value(list_reduce(upto, lambda a, x: a + (x - a) * 0.35e0)), 3) AS shown_bpm
+  FROM z JOIN w USING (session, segment, w) GROUP BY z.session, z.segment, z.w""")
+def stream_sessions(spark, sf_dir):
+    """Events as live sessions on list states: faces lost begin segments, and control rows switch the algorithm."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = monitor.frame_stream(spark, sf_dir, schema, "events.parquet")
+    e = F.col("event_id")
+    named = F.when(e % 151 == 0, F.when(F.floor(e / 151) % 2 == 1, "chrom").otherwise("verde"))
+    rows = stream.select(F.col("user_id").alias("session"), e.alias("i"), (e * 7 % 50 + 100.0).alias("r"), (F.col("value") * 0.7 + 90).alias("g"), (e * 13 % 30 + 80.0).alias("b"), (e % 97 == 0).alias("lost"), named.alias("algorithm"))
+    config = SHORT.having(window_s=LIVE / FPS, step_s=10 / FPS, algorithm="verde", patience=0, smoothing=0.35)
+    made = monitor.drained(sessions.live(rows, FPS, config), "sessions", folder(spark, "stream"))
+    digits = {"bpm": 3, "snr_db": 3, "shown_bpm": 3}
+    columns = ("session", "i", "segment", "algorithm", "bpm", "snr_db", "error_code", "shown_bpm")
+    return made.filter("progress = 1").select(*(C.zero(F.col(c), digits[c]).alias(c) if c in digits else c for c in columns))
 
 
 @query("""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k AS start, value FROM events, (SELECT unnest([0, 1]) AS k))
@@ -870,5 +904,5 @@ def stream_sliding_means(spark, sf_dir):
     """Event-time windows that the watermark has closed."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = monitor.frame_stream(spark, sf_dir, schema, "events.parquet")
-    made = monitor.drained(monitor.sliding_means(stream, "ts", "value"), "means", shared_folder(spark))
+    made = monitor.drained(monitor.sliding_means(stream, "ts", "value"), "means", folder(spark, "stream"))
     return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 5).alias("mean"))
