@@ -186,12 +186,14 @@ def roots(parents: DataFrame) -> DataFrame:
 
     Each round doubles the way that a pointer leads, so rounds grow with the logarithm of the depth.
     """
-    state, moved = parents.select("a", "b"), True
+    state, moved, made = parents.select("a", "b"), True, None
     while moved:
         up = state.select(F.col("a").alias("b"), F.col("b").alias("to"))
         further = cut(state.join(up, "b", "left").select("a", F.coalesce("to", "b").alias("b"), F.col("to").isNotNull().alias("moved")))
         moved = not further.filter("moved").isEmpty()
-        state = further.select("a", "b")
+        if made is not None:
+            drop(made)
+        state, made = further.select("a", "b"), further
     return state.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -209,11 +211,13 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = state.join(near, F.col("node") == F.col("a")).filter("other < label").groupBy("label").agg(F.min("other").alias("to"))
         hooks = cut(hooks)
         if hooks.isEmpty():
+            drop(both, hooks)
             return state
         # a label may hook to one that hooks on itself: follow twice in each round
         hop = hooks.select(F.col("label").alias("l2"), F.col("to").alias("to2"))
         further = hooks.join(hop, F.col("to") == F.col("l2"), "left").select("label", F.coalesce("to2", "to").alias("to"))
-        state = cut(state.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        before, state = state, cut(state.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        drop(before, hooks)
 
 
 def relabelled(named: DataFrame, edges: DataFrame) -> DataFrame:

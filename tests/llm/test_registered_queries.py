@@ -157,7 +157,7 @@ def test_conversations_meet_all_three_limits(spark, tmp_path):
     rng = random.Random(12)
     words = ["sun", "river", "stone", "amber", "lantern"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", " ".join(rng.choices(words, k=rng.choice([1, 5, 60, 400 if t % 2 else 900])))) for c in range(150) for t in range(4)]
-    rows += [(200, 0, None, None), (201, None, "assistant", ""), (202, 0, "system", "x"), (0, 1, "assistant", rows[1][3])]
+    rows += [(800 + k, 1, "assistant", " ".join(rng.choices(words, k=500))) for k in range(60)] + [(300 + k, 0, "user", "x") for k in range(400)] + [(200, 0, None, None), (201, None, "assistant", ""), (202, 0, "system", "x"), (0, 1, "assistant", rows[1][3])]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1)).repartition(1).write.parquet(f"{tmp_path}/conversations.parquet")
     pieces = queries.conversation_packing(spark, str(tmp_path)).collect()
     tokens = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
