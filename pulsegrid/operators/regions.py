@@ -146,6 +146,13 @@ def background_strips(face: Column, width: int, height: int, share: float = 0.14
     return F.filter(strips, lambda s: overlap(s, wide) == 0)
 
 
+def largest(boxes: DataFrame, most: int = 2, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """The `most` largest boxes of each session, by area and then order, placed from left to right; `largest` marks the first."""
+    by = Window.partitionBy(*keys)
+    top = boxes.withColumn("_k", F.row_number().over(by.orderBy(F.desc(F.col("w") * F.col("h")), order))).filter(F.col("_k") <= most)
+    return top.withColumn("place", F.row_number().over(by.orderBy("x", order))).withColumn("largest", F.col("_k") == 1).drop("_k")
+
+
 def pixel_variation(pixels: DataFrame, frame: Sequence[str] = ("frame",), region: Sequence[str] = ("region",)) -> DataFrame:
     """(region, median_pixels, variation): the median of a region's pixels in a frame, and their deviation in per cent."""
     counts = pixels.groupBy(*frame, *region).agg(F.count("*").alias("_n"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .scan import smoothed as smoothed
 
 
@@ -36,6 +37,20 @@ def count_windows(frames: DataFrame, size: int, step: int, keys: Sequence[str] =
     return met.withColumn("k", (F.col("_n") - 1 - (first + F.col("window_id") * step - size)).cast("int")).drop("_n", "_total", "_low", "_high")
 
 
+def window_bounds(frames: DataFrame, size: int, step: int, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """(keys, window_id, first_<order>, last_<order>, n) of the windows of `count_windows`, without copying frames.
+
+    A frame ends one window at most, and what is `size` - 1 before it begins that: a lag tells it.
+    """
+    if size < 1 or step < 1:
+        raise ValueError("size and step must be positive")
+    first = max(size, step)
+    w = Window.partitionBy(*keys).orderBy(order)
+    ends = frames.select(*keys, order, F.row_number().over(w).alias("_n"), F.lag(order, size - 1).over(w).alias(f"first_{order}"))
+    ends = ends.filter((F.col("_n") >= first) & ((F.col("_n") - first) % step == 0))
+    return ends.select(*keys, F.floor((F.col("_n") - first) / step).cast("long").alias("window_id"), f"first_{order}", F.col(order).alias(f"last_{order}"), F.lit(size).cast("long").alias("n"))
+
+
 def count_chunks(frames: DataFrame, size: int, step: int, windows: int = 64, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
     """A row for each frame of each chunk, a run of `windows` of the windows of `count_windows`, with its place k there.
 
@@ -171,6 +186,45 @@ def running_max(frames: DataFrame, column: str, out: str, keys: Sequence[str] =
     return frames.withColumn(out, F.max(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def time_window(frames: DataFrame, reach: int, aggregates: dict[str, Column], keys: Sequence[str] = ("session",), us: str = "us") -> DataFrame:
+    """`frames` with aggregates over the frames of the last `reach` microseconds, equal times included."""
+    w = Window.partitionBy(*keys).orderBy(us).rangeBetween(-reach, 0)
+    return frames.withColumns({name: value.over(w) for name, value in aggregates.items()})
+
+
+def completeness(frames: DataFrame, column: str, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """(keys, complete, mean): a column counts only where none of its values is missing."""
+    whole = F.bool_and(F.col(column).isNotNull())
+    return frames.groupBy(*keys).agg(whole.alias("complete"), F.when(whole, F.avg(column)).alias("mean"))
+
+
+def intervals(events: DataFrame, t: str, scale: float, out: str = "gap", keys: Sequence[str] = ("session",)) -> DataFrame:
+    """`events` with the time since the one before, times `scale`; the first of each session goes."""
+    gap = F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))
+    return events.withColumn(out, gap * scale).filter(F.col(out).isNotNull())
+
+
+def plausible(gaps: DataFrame, column: str = "gap", tolerance: float = 0.3, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Intervals within a share of their session's median; all of them where they are under 3 or the median isn't positive."""
+    bounds = gaps.groupBy(*keys).agg(F.count("*").alias("_n")).join(quantiles(gaps, keys, {"_middle": (F.col(column), 0.5)}), list(keys))
+    near = F.abs(F.col(column) - F.col("_middle")) <= tolerance * F.col("_middle")
+    return gaps.join(bounds, list(keys)).filter((F.col("_n") < 3) | (F.col("_middle") <= 0) | near).drop("_n", "_middle")
+
+
+def variability(gaps: DataFrame, column: str = "gap", limit: float = 50.0, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """(keys, beats, mean, sdnn, rmssd, pnn) of intervals, for sessions with two of them or more.
+
+    `limit`: a difference of successive intervals counts for pnn beyond it.
+    """
+    step = F.col(column) - F.lag(column).over(Window.partitionBy(*keys).orderBy(order))
+    rows = gaps.withColumn("_step", step)
+    over = F.when(F.col("_step").isNotNull(), F.when(F.abs("_step") > limit, 1.0).otherwise(0.0))
+    made = rows.groupBy(*keys).agg(
+        F.count("*").alias("beats"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sdnn"), F.sqrt(F.avg(F.col("_step") * F.col("_step"))).alias("rmssd"), F.avg(over).alias("pnn")
+    )
+    return made.filter("beats >= 2")
+
+
 def resampled(frames: DataFrame, columns: Sequence[str], fps: float | DataFrame, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """(keys, k, t, columns) on a uniform grid of round(duration * fps) + 1 points, linear between neighbours.
 

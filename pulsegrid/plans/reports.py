@@ -48,6 +48,12 @@ def accuracy(results: DataFrame, keys: Sequence[str], tolerance: float = 3.0) ->
     )
 
 
+def error_pivot(results: DataFrame, row: str, column: str, values: Sequence[str], error: str = "error") -> DataFrame:
+    """Mean errors: a row for each value of `row`, a column for each of `values`; null where there is none."""
+    e = F.col(error)
+    return results.groupBy(row).agg(*(F.avg(F.when(F.col(column) == v, e)).alias(v) for v in values))
+
+
 def diagnostic_ranking(estimates: DataFrame, config: Sequence[str], show: int = 14) -> DataFrame:
     """Configurations in order: enough windows first, then less dispersion, then more SNR; the first `show`.
 

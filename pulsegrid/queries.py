@@ -78,8 +78,7 @@ BLOCKS = FRAMES + """, k0 AS (SELECT *, i // 64 AS block, i % 64 AS k, count(*)
   SELECT session, w AS window_id, w * 30 AS first_i, w * 30 + 299 AS last_i, CAST(300 AS BIGINT) AS n
   FROM (SELECT session, unnest(range(0, (n - 300) // 30 + 1)) AS w FROM c WHERE n >= 300)""")
 def count_sliding_windows(spark, sf_dir):
-    met = series.count_windows(frames(spark, sf_dir), 300, 30)
-    return met.groupBy("session", "window_id").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"))
+    return series.window_bounds(frames(spark, sf_dir), 300, 30).select("session", "window_id", "first_i", "last_i", "n")
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY event_id) AS segment FROM e)
@@ -328,27 +327,21 @@ GAPS = """d AS (SELECT session, event_id, (t - lag(t) OVER (PARTITION BY session
 
 def gaps(spark, sf_dir):
     """Kiloseconds between the events of a user."""
-    w = Window.partitionBy("session").orderBy("t")
-    return events(spark, sf_dir).select("session", "event_id", ((F.col("t") - F.lag("t").over(w)) * 3.6).alias("gap")).filter(F.col("gap").isNotNull())
+    return series.intervals(events(spark, sf_dir), "t", 3.6).select("session", "event_id", "gap")
 
 
 @query(f"""WITH {EVENTS}, {GAPS}, m AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY session) AS mid, count(*) OVER (PARTITION BY session) AS n FROM g)
   SELECT session, event_id, round(gap, 5) AS gap FROM m WHERE n < 3 OR mid <= 0 OR abs(gap - mid) / mid <= 0.3e0""")
 def rr_filter(spark, sf_dir):
-    w = Window.partitionBy("session")
-    rows = gaps(spark, sf_dir).withColumn("mid", F.percentile("gap", F.lit(0.5)).over(w)).withColumn("n", F.count("*").over(w))
-    return rows.filter((F.col("n") < 3) | (F.col("mid") <= 0) | (F.abs(F.col("gap") - F.col("mid")) / F.col("mid") <= 0.3)).select("session", "event_id", F.round("gap", 5).alias("gap"))
+    return series.plausible(gaps(spark, sf_dir)).select("session", "event_id", F.round("gap", 5).alias("gap"))
 
 
 @query(f"""WITH {EVENTS}, {GAPS}, s AS (SELECT *, gap - lag(gap) OVER (PARTITION BY session ORDER BY event_id) AS step FROM g)
   SELECT session, count(*) AS beats, round(avg(gap), 4) AS mean_gap, round(stddev_samp(gap), 4) AS sdnn, round(sqrt(avg(step * step)), 4) AS rmssd,
   round(avg(CASE WHEN step IS NOT NULL THEN CASE WHEN abs(step) > 5 THEN 1e0 ELSE 0e0 END END), 6) AS pnn FROM s GROUP BY 1 HAVING count(*) >= 2""")
 def hrv(spark, sf_dir):
-    w = Window.partitionBy("session").orderBy("event_id")
-    rows = gaps(spark, sf_dir).withColumn("step", F.col("gap") - F.lag("gap").over(w))
-    over = F.when(F.col("step").isNotNull(), F.when(F.abs("step") > 5, 1.0).otherwise(0.0))
-    made = rows.groupBy("session").agg(F.count("*").alias("beats"), F.round(F.avg("gap"), 4).alias("mean_gap"), F.round(F.stddev_samp("gap"), 4).alias("sdnn"), F.round(F.sqrt(F.avg(F.col("step") * F.col("step"))), 4).alias("rmssd"), F.round(F.avg(over), 6).alias("pnn"))
-    return made.filter("beats >= 2")
+    made = series.variability(gaps(spark, sf_dir), limit=5.0, order="event_id")
+    return made.select("session", "beats", F.round("mean", 4).alias("mean_gap"), F.round("sdnn", 4).alias("sdnn"), F.round("rmssd", 4).alias("rmssd"), F.round("pnn", 6).alias("pnn"))
 
 
 @query(f"""WITH {PIXELS}, bd AS (SELECT frame, region, quantile_cont(g, 0.05) AS lo, quantile_cont(g, 0.95) AS hi FROM px GROUP BY 1, 2),
@@ -462,9 +455,7 @@ def box_jitter(spark, sf_dir):
 @query(f"""WITH {BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY w * h DESC, i) AS k FROM q),
   t AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY x, i) AS place FROM r WHERE k <= 2) SELECT session, CAST(place AS INTEGER) AS place, i, x, k = 1 AS largest FROM t""")
 def largest_boxes(spark, sf_dir):
-    by = Window.partitionBy("session")
-    top = boxes(spark, sf_dir).withColumn("k", F.row_number().over(by.orderBy(F.desc(F.col("w") * F.col("h")), "i"))).filter("k <= 2")
-    return top.select("session", F.row_number().over(by.orderBy("x", "i")).alias("place"), "i", "x", (F.col("k") == 1).alias("largest"))
+    return regions.largest(boxes(spark, sf_dir)).select("session", "place", "i", "x", "largest")
 
 
 @query(f"""WITH {EVENTS}, {ESTIMATES}, r AS (SELECT session % 7 AS scenario, CASE WHEN event_type <> 'error' THEN abs(value - 50) END AS err, snr_db FROM z)
@@ -479,7 +470,7 @@ def benchmark_metrics(spark, sf_dir):
 @query(f"""WITH {EVENTS} SELECT session % 7 AS scenario, {", ".join(f"round(avg(abs(value - 50)) FILTER (event_type = '{a}'), 5) AS {a}" for a in EVENT_TYPES)} FROM e GROUP BY 1""")
 def benchmark_pivot(spark, sf_dir):
     rows = events(spark, sf_dir).select((F.col("session") % 7).alias("scenario"), "event_type", F.abs(F.col("value") - 50).alias("error"))
-    return rows.groupBy("scenario").pivot("event_type", list(EVENT_TYPES)).agg(F.round(F.avg("error"), 5))
+    return reports.error_pivot(rows, "scenario", "event_type", EVENT_TYPES).select("scenario", *(F.round(c, 5).alias(c) for c in EVENT_TYPES))
 
 
 RANKING = f"""{EVENTS}, {ESTIMATES}, c AS (SELECT event_type, session % 5 AS variant, quantile_cont(value, 0.5) AS m, stddev_pop(value) AS d, quantile_cont(snr_db, 0.5) AS s, count(*) AS n FROM z GROUP BY 1, 2),
@@ -506,8 +497,7 @@ def iqr_agreement(spark, sf_dir):
   SELECT session, block, count(bg) = count(*) AS complete, round(CASE WHEN count(bg) = count(*) THEN avg(bg) END, 5) AS mean_bg FROM k0 GROUP BY 1, 2""")
 def completeness(spark, sf_dir):
     rows = frames(spark, sf_dir).select("session", F.floor(F.col("i") / 8).alias("block"), F.when(F.col("bg") > 40, F.col("bg")).alias("bg"))
-    whole = F.bool_and(F.col("bg").isNotNull())
-    return rows.groupBy("session", "block").agg(whole.alias("complete"), F.round(F.when(whole, F.avg("bg")), 5).alias("mean_bg"))
+    return series.completeness(rows, "bg", ["session", "block"]).select("session", "block", "complete", F.round("mean", 5).alias("mean_bg"))
 
 
 @query(f"""WITH {PIXELS}, c AS (SELECT frame, region, count(*) AS n FROM px GROUP BY 1, 2)
@@ -524,8 +514,8 @@ def detection_rate(spark, sf_dir):
 @query(f"""WITH {EVENTS} SELECT session, event_id, count(*) OVER w AS retained, round(avg(value) OVER w, 5) AS mean FROM e
   WINDOW w AS (PARTITION BY session ORDER BY us RANGE BETWEEN 117000000000 PRECEDING AND CURRENT ROW)""")
 def time_retention(spark, sf_dir):
-    w = Window.partitionBy("session").orderBy("us").rangeBetween(-117_000_000_000, 0)  # 1.3 times 25 hours
-    return events(spark, sf_dir).select("session", "event_id", F.count("*").over(w).alias("retained"), F.round(F.avg("value").over(w), 5).alias("mean"))
+    made = series.time_window(events(spark, sf_dir), 117_000_000_000, {"retained": F.count("*"), "mean": F.avg("value")})  # 1.3 times 25 hours
+    return made.select("session", "event_id", "retained", F.round("mean", 5).alias("mean"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, k0 AS (SELECT session, t, greatest(count(*) OVER w, least(2, rank() OVER o)) AS retained, least(min(t) OVER w, lag(t) OVER o) AS since
