@@ -58,6 +58,26 @@ def trimmed(pixels: DataFrame, keys: Sequence[str], low: float = 0.05, high: flo
     return met(near, left, keys).filter(F.col("_in") | (F.col("_left") < least)).drop("_lo", "_hi", "_in", "_left")
 
 
+def without_extremes(values: DataFrame, column: str, percent: float = 5.0, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """Rows between two percentiles of their group; a group that would be left empty keeps its rows, an empty table stays empty."""
+    if not 0.0 <= percent < 50.0:
+        raise ValueError("a percentile lies from 0 to 50")
+    if percent == 0.0:
+        return values
+    bounds = quantiles(values, keys, {"_lo": (F.col(column), percent / 100), "_hi": (F.col(column), 1 - percent / 100)})
+    near = met(values, bounds, keys).withColumn("_in", F.coalesce(F.col(column).between(F.col("_lo"), F.col("_hi")), F.lit(False)))
+    left = near.groupBy(*keys).agg(F.count_if("_in").alias("_left"))
+    return met(near, left, keys).filter(F.col("_in") | (F.col("_left") == 0)).drop("_lo", "_hi", "_in", "_left")
+
+
+def fixed_region(frames: DataFrame, region: tuple[int, int, int, int], width: str = "width", height: str = "height") -> DataFrame:
+    """`frames` with one region for all of them, cut to each frame; null where nothing of it is left. An empty region is refused."""
+    if region[2] <= 0 or region[3] <= 0:
+        raise ValueError("a fixed region must not be empty")
+    own = clip_rect(rect(*(F.lit(v) for v in region)), F.col(width), F.col(height))
+    return frames.withColumn("box", own).withColumn("box", F.when((F.col("box.w") > 0) & (F.col("box.h") > 0), F.col("box")))
+
+
 def spatial_means(pixels: DataFrame, frame: Sequence[str], region: str = "region", least: int = LEAST_PIXELS, least_region: int | None = None) -> DataFrame:
     """(frame, r, g, b, pixels): the mean over all regions that have enough pixels, for frames that have enough."""
     sums = [F.sum(c).alias(f"_{c}") for c in "rgb"]
@@ -89,6 +109,33 @@ def frozen_choice(pixels: DataFrame, keep: Column, place: Sequence[str], session
     return marked.join(chosen, [*session, "epoch", *place], "left_semi").drop("_first")
 
 
+def shape_epochs(frames: DataFrame, shape: Sequence[str], session: Sequence[str] = ("session",), frame: str = "frame", every: int = 30) -> DataFrame:
+    """`frames`, one row each, with `epoch`: one begins where the shape isn't that of the frame before, and at every so many frames."""
+    w = Window.partitionBy(*session).orderBy(frame)
+    before = F.lag(F.struct(*shape)).over(w)
+    begins = before.isNull() | ~before.eqNullSafe(F.struct(*shape)) | (F.col(frame) % every == 0)
+    return frames.withColumn("_b", begins.cast("long")).withColumn("epoch", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+
+
+def frozen_by_shape(pixels: DataFrame, keep: Column, place: str, shape: Sequence[str], session: Sequence[str] = ("session",), frame: str = "frame", every: int = 30, least: int = LEAST_PIXELS) -> DataFrame:
+    """Pixels, with their epoch, whose place was chosen in the epoch's first frame; an epoch of fewer than `least` chosen gives none.
+
+    A choice is a bitmap for each epoch (a row for 32,768 places), and each pixel tests its own bit: nothing is joined by
+    pixel. `place` numbers a region's pixels from 1; `shape` is that of the region in a frame.
+    """
+    frames = pixels.select(*session, frame, *shape).groupBy(*session, frame).agg(*(F.min(c).alias(c) for c in shape))
+    epochs = shape_epochs(frames, shape, session, frame, every).select(*session, frame, "epoch")
+    first = epochs.groupBy(*session, "epoch").agg(F.min(frame).alias("_first"))
+    marked = pixels.join(epochs.join(first, [*session, "epoch"]), [*session, frame]).withColumn("_bucket", F.bitmap_bucket_number(place))
+    bits = marked.filter((F.col(frame) == F.col("_first")) & keep).groupBy(*session, "epoch", "_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    enough = bits.groupBy(*session, "epoch").agg(F.sum(F.bitmap_count("_bits")).alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    tested = marked.join(bits.join(enough, [*session, "epoch"]), [*session, "epoch", "_bucket"])
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, _at)").bitwiseAND(F.lit(1))
+    return tested.withColumn("_byte", byte).withColumn("_at", (at % 8).cast("int")).filter(bit == 1).drop("_first", "_bucket", "_bits", "_byte", "_at")
+
+
 def regions_of(boxes: DataFrame, region_set: str, box: str = "box", width: int | None = None, height: int | None = None) -> DataFrame:
     """A row for each region of the set, by fractions of the box."""
     parts = [part_rect(F.col(box), *f) for f in REGION_SETS[region_set]]

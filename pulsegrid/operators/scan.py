@@ -3,13 +3,15 @@
 A recurrence keeps a state s; a value x makes y = C s + D x and then s = A s + B x. A run of values acts on the state as
 one affine map, s -> A^n s + e. Frames are dealt by ranges of session and order, so a long session spreads over many
 tasks; each task finds the maps of its runs, these are composed run by run (a row for each task and session, no frames),
-and a second pass starts every run from the state that reaches it. No session is held or numbered in one task.
+and a second pass starts every run from the state that reaches it. No session is held or numbered in one task. Factors of
+a banded matrix change along a series, so its two substitutions carry the product of their steps as a run's matrix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import Band
 from ..sources.shared import drop, written
-from .kernels import bandpass_design, least_samples
+from .kernels import bandpass_design, least_samples, trend_factor
 from .quantiles import joined
 
 #: Values that one product of matrices takes on.
@@ -72,6 +74,13 @@ class Recurrence:
         lag = np.subtract.outer(np.arange(m), np.arange(m))
         return by_state, np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0), np.linalg.matrix_power(self.a, m), reach
 
+    def start(self, first: float) -> np.ndarray:
+        return self.rest * first
+
+    def matrix(self, n: int) -> np.ndarray:
+        """What n values of 0 make of a state."""
+        return np.linalg.matrix_power(self.a, n)
+
     def run(self, x: np.ndarray, state: np.ndarray, outputs: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """Outputs of a run, if wanted, and the state after it."""
         by_state, by_value, power, reach = self.powers()
@@ -92,6 +101,90 @@ class Recurrence:
         return y, state
 
 
+@dataclass(frozen=True)
+class Substitution:
+    """Solves L z = x, then z / d (forwards), or L' y = z (backwards), for the factors L d L' of I + strength^2 D'D.
+
+    Along a series the factors settle; `table` has them up to there and for the last rows. Rows are told by their place.
+    """
+
+    strength: float
+    forwards: bool
+
+    @property
+    def b(self) -> np.ndarray:
+        return np.zeros(2)
+
+    def start(self, first: float) -> np.ndarray:
+        return np.zeros(2)
+
+    def factors(self, place: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+        """d and the weights of the two rows before (or after) each place."""
+        settled, (d, e, f) = settled_factors(self.strength)
+        if total <= len(d):
+            d, e, f = trend_factor(total, self.strength)
+            at = place
+        else:
+            at = np.where(place < settled, place, np.where(place >= total - 4, place - total + len(d), settled))
+        if not self.forwards:
+            return d[at], e[at], f[at]
+        return d[at], np.where(at > 0, e[np.maximum(at - 1, 0)], 0.0), np.where(at > 1, f[np.maximum(at - 2, 0)], 0.0)
+
+    def parts(self, place: np.ndarray, total: int) -> Iterator[tuple[slice, bool]]:
+        """Pieces of a run, and whether their factors are settled."""
+        settled, (d, _, _) = settled_factors(self.strength)
+        same = (place >= settled + 2) & (place < total - 4) & (total > len(d))
+        at = [0, *(np.flatnonzero(np.diff(same)) + 1).tolist(), len(place)]
+        for start, end in zip(at[:-1], at[1:], strict=True):
+            yield slice(start, end), bool(same[start])
+
+    def constant(self) -> tuple[float, Recurrence]:
+        settled, (d, e, f) = settled_factors(self.strength)
+        row = np.array([-e[settled], -f[settled]])
+        return d[settled], Recurrence(np.array([row, [1.0, 0.0]]), np.array([1.0, 0.0]), row, 1.0, np.zeros(2))
+
+    def run(self, x: np.ndarray, state: np.ndarray, outputs: bool = True, place: np.ndarray | None = None, total: int = 0):
+        y = np.empty(len(x))
+        for own, same in self.parts(place, total):
+            if same:
+                d, constant = self.constant()
+                made, state = constant.run(x[own], state)
+                y[own] = made / d if self.forwards else made
+                continue
+            d, one, two = self.factors(place[own], total)
+            (a, b), made = state.tolist(), []
+            for v, p, q in zip(x[own].tolist(), one.tolist(), two.tolist(), strict=True):
+                a, b = v - p * a - q * b, a
+                made.append(a)
+            state = np.array([a, b])
+            y[own] = np.array(made) / d if self.forwards else made
+        return y, state
+
+    def product(self, place: np.ndarray, total: int) -> np.ndarray:
+        """What values of 0 at these places make of a state."""
+        made = np.eye(2)
+        for own, same in self.parts(place, total):
+            if same:
+                made = self.constant()[1].matrix(own.stop - own.start) @ made
+                continue
+            _, one, two = self.factors(place[own], total)
+            for p, q in zip(one.tolist(), two.tolist(), strict=True):
+                made = np.array([-p * made[0] - q * made[1], made[0]])
+        return made
+
+
+@lru_cache(maxsize=8)
+def settled_factors(strength: float) -> tuple[int, tuple[np.ndarray, ...]]:
+    """From which row on the factors stay as they are, and a table of some rows beyond it."""
+    n = 512
+    while True:
+        d, e, f = trend_factor(n, strength)
+        # rows of the same matrix, a quarter of it apart
+        if abs(e[n - 5] - e[n // 2]) <= 1e-15 * abs(e[n - 5]) and abs(d[n - 5] - d[n // 2]) <= 1e-15 * abs(d[n - 5]):
+            return n - 6, (d, e, f)
+        n *= 2
+
+
 def dealt(frames: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """`frames` by ranges of keys and order, with `_run`, the range: written, so that later passes see the same ranges."""
     return written(frames.repartitionByRange(*keys, order).withColumn("_run", F.spark_partition_id()))
@@ -116,14 +209,22 @@ def _groups(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[tu
             last = key
 
 
-def recurred(runs: DataFrame, column: str, recurrence: Recurrence, out: str, keys: Sequence[str] = ("session",), order: str = "i", backwards: bool = False) -> DataFrame:
+def recurred(
+    runs: DataFrame, column: str, recurrence: Recurrence | Substitution, out: str, keys: Sequence[str] = ("session",), order: str = "i", backwards: bool = False
+) -> DataFrame:
     """`runs`, as `dealt` gives them, with `out`, what the recurrence makes of a column, from its last row on if `backwards`.
 
-    Nulls make all later values null. The runs of a session meet as one row each.
+    Nulls make all later values null. The runs of a session meet as one row each. A substitution reads `_place`, `_total`.
     """
     by, k = [*keys, "_run"], len(recurrence.b)
+    varies = isinstance(recurrence, Substitution)
     turn = F.desc if backwards else F.asc
     kinds = dict(runs.dtypes)
+    types = {f.name: to_arrow_type(f.dataType) for f in runs.schema.fields if f.name in by}
+    used = list(dict.fromkeys([*by, order, column, *(("_place", "_total") if varies else ())]))
+
+    def where(piece: pa.Table) -> tuple:
+        return (piece["_place"].to_numpy(), piece["_total"][0].as_py()) if varies else ()
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -132,28 +233,30 @@ def recurred(runs: DataFrame, column: str, recurrence: Recurrence, out: str, key
             if new:
                 if held is not None:
                     yield _batch(held)
-                held = [[piece[b][0].as_py() for b in by], 0, float(x[0]), np.zeros(k)]
+                held = [[piece[b][0].as_py() for b in by], 0, float(x[0]), np.zeros(k), np.eye(k)]
             held[1] += len(x)
-            held[3] = recurrence.run(x, held[3], outputs=False)[1]
+            held[3] = recurrence.run(x, held[3], False, *where(piece))[1]
+            if varies:
+                held[4] = recurrence.product(*where(piece)) @ held[4]
         if held is not None:
             yield _batch(held)
 
     def _batch(held) -> pa.RecordBatch:
-        key, n, first, state = held
+        key, n, first, state, product = held
         columns = {b: pa.array([v], types[b]) for b, v in zip(by, key, strict=True)}
-        return pa.RecordBatch.from_pydict({**columns, "_n": [n], "_first": [first], "_e": [state.tolist()]})
+        matrix = product if varies else recurrence.matrix(n)
+        return pa.RecordBatch.from_pydict({**columns, "_first": [first], "_e": [state.tolist()], "_a": [matrix.ravel().tolist()]})
 
-    types = {f.name: to_arrow_type(f.dataType) for f in runs.schema.fields if f.name in by}
     of_keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
-    sorted_ = runs.select(*by, order, column).repartition(*by).sortWithinPartitions(*by, turn(order))
-    summed = sorted_.mapInArrow(maps, f"{of_keys}, _n long, _first double, _e array<double>")
+    sorted_ = runs.select(*used).repartition(*by).sortWithinPartitions(*by, turn(order))
+    summed = sorted_.mapInArrow(maps, f"{of_keys}, _first double, _e array<double>, _a array<double>")
 
     def composed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_run", ascending=not backwards)
-        state, before = recurrence.rest * pdf["_first"].iloc[0], []
-        for n, e in zip(pdf["_n"], pdf["_e"], strict=True):
+        state, before = recurrence.start(pdf["_first"].iloc[0]), []
+        for a, e in zip(pdf["_a"], pdf["_e"], strict=True):
             before.append(state.tolist())
-            state = np.linalg.matrix_power(recurrence.a, int(n)) @ state + np.asarray(e)
+            state = np.asarray(a).reshape(k, k) @ state + np.asarray(e)
         return pdf[by].assign(_state=before)
 
     states = written(summed.groupBy(*keys).applyInPandas(composed, f"{of_keys}, _state array<double>"))
@@ -164,7 +267,7 @@ def recurred(runs: DataFrame, column: str, recurrence: Recurrence, out: str, key
         for piece, new in _groups(batches, by):
             if new:
                 state = np.array(piece["_state"][0].as_py())
-            y, state = recurrence.run(piece[column].to_numpy().astype(float), state)
+            y, state = recurrence.run(piece[column].to_numpy().astype(float), state, True, *where(piece))
             yield from piece.drop_columns(["_state"]).append_column(out, pa.array(y, from_pandas=True)).combine_chunks().to_batches()
 
     columns = [c for c in runs.columns if c != out]
@@ -213,3 +316,18 @@ def bandpassed(frames: DataFrame, column: str, fps: float, band: Band, out: str,
     short = known.filter(F.col("_total") <= pad).select(*keys, F.col("_o").alias(order), none.cast("double").alias(out))
     drop(first, runs)
     return back.unionByName(short)
+
+
+def detrended(frames: DataFrame, column: str, out: str, strength: float = 100.0, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+    """(keys, order, out): whole sessions less their smooth trend; only the mean goes under 4 frames or without strength."""
+    first = dealt(frames.select(*keys, F.col(order).alias("_o"), F.col(column).cast("double").alias("_x")), keys, "_o")
+    if strength <= 0:
+        means = first.groupBy(*keys).agg(F.avg("_x").alias("_m"))
+        return joined(first, means, keys).select(*keys, F.col("_o").alias(order), (F.col("_x") - F.col("_m")).alias(out))
+    known = written(placed(first, keys, "_o"))
+    drop(first)
+    forth = written(recurred(known.filter("_total >= 4"), "_x", Substitution(strength, True), "_w", keys, "_place"))
+    back = recurred(forth, "_w", Substitution(strength, False), "_y", keys, "_place", backwards=True)
+    few = known.filter("_total < 4")
+    short = joined(few, few.groupBy(*keys).agg(F.avg("_x").alias("_y")), keys)
+    return back.select(*keys, "_o", "_x", "_y").unionByName(short.select(*keys, "_o", "_x", "_y")).select(*keys, F.col("_o").alias(order), (F.col("_x") - F.col("_y")).alias(out))

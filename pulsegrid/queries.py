@@ -302,6 +302,21 @@ def recording_bandpass(spark, sf_dir):
     return made.select("session", "i", C.zero(F.col("pulse"), 4).alias("pulse"))
 
 
+@query(f"""WITH RECURSIVE {FRAMES}, n AS (SELECT session, i, g, count(*) OVER (PARTITION BY session) AS n FROM f),
+  lu(session, i, n, d1, d2, e1, f1, f2, z1, z2) AS (SELECT DISTINCT session, CAST(-1 AS BIGINT), n, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0 FROM n WHERE n >= 4
+    UNION ALL SELECT session, i, n, d, d1, CASE WHEN i <= n - 2 THEN (-2e4 * (CASE WHEN i <= n - 3 THEN 1 ELSE 0 END + CASE WHEN i BETWEEN 1 AND n - 2 THEN 1 ELSE 0 END) - d1 * e1 * f1) / d ELSE 0 END,
+      CASE WHEN i <= n - 3 THEN 1e4 / d ELSE 0 END, f1, g - e1 * z1 - f2 * z2, z1
+    FROM (SELECT n.*, l.* EXCLUDE (session, i, n), 1 + 1e4 * (CASE WHEN n.i <= n.n - 3 THEN 1 ELSE 0 END + CASE WHEN n.i BETWEEN 1 AND n.n - 2 THEN 4 ELSE 0 END + CASE WHEN n.i >= 2 THEN 1 ELSE 0 END)
+      - d1 * e1 * e1 - d2 * f2 * f2 AS d FROM lu AS l JOIN n ON n.session = l.session AND n.i = l.i + 1)),
+  lm AS MATERIALIZED (SELECT * FROM lu),
+  up(session, i, y1, y2) AS (SELECT DISTINCT session, n, 0e0, 0e0 FROM n WHERE n >= 4
+    UNION ALL SELECT l.session, l.i, l.z1 / l.d1 - l.e1 * y1 - l.f1 * y2, y1 FROM up JOIN lm AS l ON l.session = up.session AND l.i = up.i - 1 AND l.i >= 0)
+  SELECT n.session, n.i, round(CASE WHEN n >= 4 THEN g - y1 ELSE g - avg(g) OVER (PARTITION BY n.session) END, 4) + 0e0 AS rest FROM n LEFT JOIN up ON up.session = n.session AND up.i = n.i""")
+def recording_detrend(spark, sf_dir):
+    """Whole recordings less their smooth trend, solved run by run."""
+    return scan.detrended(frames(spark, sf_dir), "g", "rest").select("session", "i", C.zero(F.col("rest"), 4).alias("rest"))
+
+
 @query(f"""WITH {EVENTS}, {ESTIMATES} SELECT session, count(*) AS windows, CAST(sum(CASE WHEN confidence <> 'descartada' THEN 1 ELSE 0 END) AS BIGINT) AS usable,
   round(quantile_cont(CASE WHEN confidence <> 'descartada' THEN value END, 0.5), 5) AS median_bpm,
   round(CASE WHEN count(CASE WHEN confidence <> 'descartada' THEN value END) >= 2 THEN stddev_pop(CASE WHEN confidence <> 'descartada' THEN value END) END, 5) AS bpm_sd,
@@ -403,6 +418,22 @@ def frozen_selection(spark, sf_dir):
     return kept.groupBy("region", "epoch").agg(F.count("*").alias("n"), F.sum("g").alias("total"))
 
 
+@query(f"""WITH {PIXELS}, m AS (SELECT region, CAST(frame[1:4] AS INTEGER) * 12 + CAST(frame[6:7] AS INTEGER) AS fr, r, g FROM px),
+  f AS (SELECT DISTINCT region, fr, 4 + fr // 7 % 3 AS w FROM m),
+  sh AS (SELECT region, fr, w, CASE WHEN w IS DISTINCT FROM lag(w) OVER o OR fr % 30 = 0 THEN 1 ELSE 0 END AS begins FROM f WINDOW o AS (PARTITION BY region ORDER BY fr)),
+  e AS (SELECT region, fr, CAST(sum(begins) OVER (PARTITION BY region ORDER BY fr) AS BIGINT) AS epoch FROM sh),
+  n AS (SELECT m.*, epoch, min(fr) OVER (PARTITION BY region, epoch) AS first FROM m JOIN e USING (region, fr)),
+  c AS (SELECT DISTINCT region, epoch, r FROM n WHERE fr = first AND g > 110),
+  k AS (SELECT region, epoch, r FROM c QUALIFY count(*) OVER (PARTITION BY region, epoch) >= 10)
+  SELECT region, epoch, min(fr) AS first, count(*) AS n, CAST(sum(g) AS BIGINT) AS total FROM n JOIN k USING (region, epoch, r) GROUP BY 1, 2""")
+def frozen_epochs(spark, sf_dir):
+    """Pixels frozen from where a region's shape changes, or for 30 months; shapes of regions last seven months."""
+    month = F.substring("frame", 1, 4).cast("int") * 12 + F.substring("frame", 6, 2).cast("int")
+    rows = pixels(spark, sf_dir).withColumn("fr", month).withColumn("width", 4 + F.floor(F.col("fr") / 7) % 3)
+    kept = regions.frozen_by_shape(rows, F.col("g") > 110, "r", ["width"], ["region"], "fr", 30, 10)
+    return kept.groupBy("region", "epoch").agg(F.min("fr").alias("first"), F.count("*").alias("n"), F.sum("g").alias("total"))
+
+
 @query(f"""WITH {PIXELS} SELECT frame, count(*) FILTER (r > 60 AND r > 1.2e0 * g AND r > 1.2e0 * b) AS like_finger, count(*) FILTER (r > 60 AND r > 1.6e0 * g AND r > 1.6e0 * b) AS finger FROM px GROUP BY 1""")
 def finger_frames(spark, sf_dir):
     r, g, b = F.col("r"), F.col("g"), F.col("b")

@@ -14,6 +14,7 @@ from pulsegrid.config import COMMAND, DIAGNOSTIC, LIBRARY, Analysis, Band, Simul
 from pulsegrid.functions import columns as C
 from pulsegrid.operators import kernels, pulse, quantiles, regions, scan, series, spectrum
 from pulsegrid.plans import analysis, diagnostic, reports
+from pulsegrid.plans.linear_maps import detrend_map
 from pulsegrid.sources import faces, history, recordings
 from pulsegrid.sources.datasource import SimulatedPulse
 from pulsegrid.streaming.monitor import Monitor
@@ -501,3 +502,60 @@ def test_smoothing_and_filters_scan_long_sessions_in_many_tasks(spark):
         else:
             own_x = x if session == 1 else np.array([float(i * i % 7) for i in range(40)])
             assert np.abs(own.y.to_numpy() - kernels.bandpass(own_x, 30.0, Band())).max() < 1e-8
+
+
+def test_trends_of_long_sessions_are_solved_run_by_run(spark):
+    rng = np.random.default_rng(9)
+    series_of = {1: np.cumsum(rng.standard_normal(20_000)), 2: rng.standard_normal(5000), 3: rng.standard_normal(3), 4: rng.standard_normal(4), 5: rng.standard_normal(600), 6: rng.standard_normal(1)}
+    rows = pd.concat([pd.DataFrame({"session": k, "i": np.arange(len(x)), "x": x}) for k, x in series_of.items()])
+    frames = spark.createDataFrame(rows).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for strength in (100.0, 2.0):
+            made = scan.detrended(frames, "x", "y", strength).orderBy("session", "i").toPandas()
+            for k, own in made.groupby("session"):
+                expected = kernels.detrend(series_of[k], strength) if len(series_of[k]) != 5000 else detrend_map(5000, strength) @ series_of[k]
+                assert np.abs(own.y.to_numpy() - expected).max() < 1e-8, (k, strength)
+        flat = scan.detrended(frames, "x", "y", 0.0).filter("session = 5").orderBy("i").toPandas().y
+        assert np.allclose(flat, series_of[5] - series_of[5].mean())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_frozen_pixels_are_renewed_with_the_shape(spark):
+    rng = random.Random(3)
+    rows = []
+    for f in range(40):
+        w = 5 if f < 9 or f >= 21 else 7
+        rows += [(1, f, p, w, rng.randrange(256)) for p in range(1, 61)]
+    df = spark.createDataFrame(rows, "session long, frame long, place long, w int, g int")
+    found = {(r.frame, r.place) for r in regions.frozen_by_shape(df, F.col("g") > 100, "place", ["w"], every=15, least=10).collect()}
+    chosen, before, expected = None, None, set()
+    for f in range(40):
+        own = [(p, w, g) for _, at, p, w, g in rows if at == f]
+        if before != own[0][1] or f % 15 == 0:
+            chosen, before = {p for p, _, g in own if g > 100}, own[0][1]
+        expected |= {(f, p) for p, _, _ in own if p in chosen}
+    assert found == expected
+    assert regions.frozen_by_shape(df, F.col("g") > 254, "place", ["w"], every=15).count() == 0  # too few are chosen
+
+
+def test_extremes_and_fixed_regions(spark):
+    df = spark.createDataFrame([(1, float(k)) for k in range(100)] + [(2, 1.0), (3, None)], "session long, v double")
+    kept = regions.without_extremes(df, "v")
+    assert {r.v for r in kept.filter("session = 1").collect()} == set(map(float, range(5, 95))) and kept.filter("session > 1").count() == 2
+    assert regions.without_extremes(df.limit(0), "v").count() == 0 and regions.without_extremes(df, "v", 0.0).count() == 102
+    with pytest.raises(ValueError):
+        regions.without_extremes(df, "v", 50.0)
+    frames = spark.createDataFrame([(640, 480), (100, 90), (50, 40)], "width int, height int")
+    found = [r.box for r in regions.fixed_region(frames, (60, 50, 100, 80)).orderBy(F.desc("width")).collect()]
+    assert [tuple(b) if b else None for b in found] == [(60, 50, 100, 80), (60, 50, 40, 40), None]
+    with pytest.raises(ValueError):
+        regions.fixed_region(frames, (0, 0, 0, 5))
+
+
+@pytest.mark.parametrize(("size", "step"), [(3, 2), (2, 5), (1, 1)])
+def test_bounds_of_windows_equal_their_frames(spark, size, step):
+    frames = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(11 * s)], "session long, i long")
+    whole = series.count_windows(frames, size, step).groupBy("session", "window_id").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"))
+    assert sorted(map(tuple, series.window_bounds(frames, size, step).collect())) == sorted(map(tuple, whole.collect()))
