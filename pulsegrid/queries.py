@@ -608,10 +608,13 @@ def history_csv(spark, sf_dir):
     return reports.history_lines(as_history(spark, sf_dir).withColumn("snr_db", F.col("bpm") * 2))
 
 
-@query(HISTORY_LINES)
+SNR_LINES = HISTORY_LINES.replace("CAST(bpm * 2 AS", "CAST(CAST(snr_db AS VARCHAR) AS").replace("AS DECIMAL(18, 6)) AS d2", "AS DECIMAL(30, 20)) AS d2").replace("replace(CAST(round(d2, 1) AS VARCHAR), '.', ',')", "CASE WHEN d2 < 0 AND round(d2, 1) = 0 THEN '-0,0' ELSE replace(CAST(round(d2, 1) AS VARCHAR), '.', ',') END")
+
+
+@query(SNR_LINES)
 def history_csv_whole(spark, sf_dir):
-    """The same under its earlier name."""
-    return history_csv(spark, sf_dir)
+    """Every record with its own signal-to-noise ratio."""
+    return reports.history_lines(as_history(spark, sf_dir))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
