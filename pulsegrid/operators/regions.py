@@ -185,6 +185,19 @@ def anchored_or_fraction(eyes: Column, fractions: Column) -> Column:
     return F.when(F.size(eyes) == 3, eyes).otherwise(fractions)
 
 
+def anchored(frames: DataFrame, width: int, height: int, keys: Sequence[str] = ("session",), order: str = "i", every: int = 60) -> DataFrame:
+    """`frames` (box, left, right) with a row for each region: forehead and cheeks by the eyes that hold, else by the box.
+
+    Eyes that no face could have count as not found. `anchored` tells which it was.
+    """
+    points = F.col("left").isNotNull() & F.col("right").isNotNull() & plausible_eyes(F.col("left"), F.col("right"), F.col("box")["w"])
+    seen = held_eyes(frames.withColumn("_ok", F.coalesce(points, F.lit(False))).withColumn("left", F.when(F.col("_ok"), F.col("left"))), keys, order, every)
+    by_box = F.array(*(clip_rect(part_rect(F.col("box"), *f), width, height) for f in REGION_SETS["testa_e_bochechas"]))
+    by_eyes = F.when(F.col("left").isNotNull(), eye_regions(F.col("left"), F.col("right"), width, height)).otherwise(F.array().cast("array<struct<x:int,y:int,w:int,h:int>>"))
+    found = seen.withColumn("_eyes", by_eyes).withColumn("anchored", F.size("_eyes") == 3)
+    return found.select("*", F.posexplode(anchored_or_fraction(F.col("_eyes"), by_box)).alias("region", "rect")).drop("_eyes", "_ok")
+
+
 def background_strips(face: Column, width: int, height: int, share: float = 0.14, grown: float = 1.35) -> Column:
     """The strips at both sides of the image that don't touch the grown face."""
     w = max(8, int(width * share))

@@ -51,15 +51,16 @@ def window_bounds(frames: DataFrame, size: int, step: int, keys: Sequence[str] =
     return ends.select(*keys, F.floor((F.col("_n") - first) / step).cast("long").alias("window_id"), f"first_{order}", F.col(order).alias(f"last_{order}"), F.lit(size).cast("long").alias("n"))
 
 
-def count_chunks(frames: DataFrame, size: int, step: int, windows: int = 64, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:
+def count_chunks(frames: DataFrame, size: int, step: int, windows: int = 64, keys: Sequence[str] = ("session",), order: str = "i", at_once: bool = False) -> DataFrame:
     """A row for each frame of each chunk, a run of `windows` of the windows of `count_windows`, with its place k there.
 
     Window j of a chunk has the number chunk * `windows` + j and begins at k = j * `step`; it is emitted if it is full.
-    Chunks overlap by less than a window, so hardly a frame is copied, and the chunks of one long session part.
+    Chunks overlap by less than a window, so hardly a frame is copied, and the chunks of one long session part. `at_once`:
+    the first window begins with the session, also where a step is longer than a window.
     """
     if size < 1 or step < 1:
         raise ValueError("size and step must be positive")
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1 - (max(size, step) - size)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1 - (0 if at_once else max(size, step) - size)
     span = windows * step
     low = F.greatest(F.lit(0), F.ceil((F.col("_n") - (span - step + size - 1)) / span)).cast("long")
     met = frames.withColumn("_n", n).filter("_n >= 0").withColumn("_low", low).withColumn("_high", F.floor(F.col("_n") / span).cast("long")).filter("_low <= _high")

@@ -30,6 +30,6 @@ def grid(capture: DataFrame, fps: float, config: Analysis = DIAGNOSTIC, keys: Se
     """
     size = max(64, config.frames_in_window(fps))
     step = config.frames_in_step(fps)
-    chunks = count_chunks(capture, size, step, CHUNK, [*keys, "variant"])
+    chunks = count_chunks(capture, size, step, CHUNK, [*keys, "variant"], at_once=True)
     found = analysed(chunks, fps, config, [*keys, "variant", "chunk"], algorithms=algorithms, uses=(True, False), sliding=(size, step))
     return found.filter(F.col("error_code").isNull())

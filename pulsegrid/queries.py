@@ -466,6 +466,41 @@ def roi_expand(spark, sf_dir):
     return regions.regions_of(rows, "testa_e_bochechas").select("i", "region", "rect.*")
 
 
+def clipped_sql(x0: str, y0: str, x1: str, y1: str) -> str:
+    """Corners of a rounded rectangle cut to an image of 400 by 300."""
+    x, y, w, h = (f"round_even({v}, 0)" for v in (x0, y0, f"({x1}) - ({x0})", f"({y1}) - ({y0})"))
+    return f"[least(greatest({x}, 0), 400), least(greatest({y}, 0), 300), least(greatest({x} + greatest({w}, 0), 0), 400), least(greatest({y} + greatest({h}, 0), 0), 300)]"
+
+
+EYES = (("(lx + rx) / 2 - 0.55e0 * d", "(ly + ry) / 2 - d", "(lx + rx) / 2 + 0.55e0 * d", "(ly + ry) / 2 - 0.5e0 * d"), ("lx - 0.3e0 * d", "(ly + ry) / 2 + 0.38e0 * d", "lx + 0.22e0 * d", "(ly + ry) / 2 + 0.95e0 * d"),
+  ("rx - 0.22e0 * d", "(ly + ry) / 2 + 0.38e0 * d", "rx + 0.3e0 * d", "(ly + ry) / 2 + 0.95e0 * d"))
+
+
+def fraction_sql(f) -> str:
+    x, y, w, h = f"round_even(x + {f[0]}e0 * w, 0)", f"round_even(y + {f[1]}e0 * h, 0)", f"round_even({f[2] - f[0]}e0 * w, 0)", f"round_even({f[3] - f[1]}e0 * h, 0)"
+    return f"[least(greatest({x}, 0), 400), least(greatest({y}, 0), 300), least(greatest({x} + {w}, 0), 400), least(greatest({y} + {h}, 0), 300)]"
+
+
+@query(f"""WITH {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i) - 1 AS f, x + 0.3e0 * w AS lx, y + 0.4e0 * h AS ly, x + (0.3e0 + i % 60 / 100e0) * w AS rx, y + 0.4e0 * h + (i % 7 - 3) AS ry FROM q),
+  e AS (SELECT *, sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) AS d FROM o),
+  k AS (SELECT *, i % 4 <> 0 AND rx > lx AND d / w BETWEEN 0.22e0 AND 0.75e0 AND abs(ry - ly) <= 0.35e0 * d AS ok FROM e),
+  b AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY session ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+  l AS (SELECT session, i, f, x, y, w, h, last_value(CASE WHEN ok AND (f % 3 = 0 OR before = 0) THEN [lx, ly, rx, ry, d] END IGNORE NULLS) OVER (PARTITION BY session ORDER BY f) AS held FROM b),
+  v AS (SELECT *, held[1] AS lx, held[2] AS ly, held[3] AS rx, held[4] AS ry, held[5] AS d FROM l),
+  a AS (SELECT *, list_filter([{", ".join(clipped_sql(*c) for c in EYES)}], lambda r: r[3] > r[1] AND r[4] > r[2]) AS eyes, [{", ".join(fraction_sql(f) for f in regions.REGION_SETS["testa_e_bochechas"])}] AS parts FROM v),
+  c AS (SELECT i, held IS NOT NULL AND len(eyes) = 3 AS anchored, CASE WHEN held IS NOT NULL AND len(eyes) = 3 THEN eyes ELSE parts END AS rects FROM a),
+  u AS (SELECT i, anchored, unnest(rects) AS r, unnest([0, 1, 2]) AS region FROM c)
+  SELECT i, anchored, CAST(region AS INTEGER) AS region, CAST(r[1] AS INTEGER) AS x, CAST(r[2] AS INTEGER) AS y, CAST(r[3] - r[1] AS INTEGER) AS w, CAST(r[4] - r[2] AS INTEGER) AS h FROM u""")
+def anchored_regions(spark, sf_dir):
+    """Forehead and cheeks of every box, by eyes looked for at every third frame of a session and held between."""
+    i, x, y, w, h = (F.col(c) for c in "ixywh")
+    left = F.struct((x + 0.3 * w).alias("x"), (y + 0.4 * h).alias("y"))
+    right = F.struct((x + (0.3 + i % 60 / 100.0) * w).alias("x"), (y + 0.4 * h + (i % 7 - 3)).alias("y"))
+    rows = boxes(spark, sf_dir).withColumn("f", F.row_number().over(Window.partitionBy("session").orderBy("i")) - 1)
+    rows = rows.select("session", "i", "f", C.rect(x, y, w, h).alias("box"), F.when(i % 4 != 0, left).alias("left"), right.alias("right"))
+    return regions.anchored(rows, 400, 300, order="f", every=3).select("i", "anchored", "region", "rect.*")
+
+
 @query(f"""WITH {BOXES}, s AS (SELECT *, CAST(round_even(w * 1.35e0, 0) AS INTEGER) AS sw, CAST(round_even(h * 1.35e0, 0) AS INTEGER) AS sh FROM q),
   g AS (SELECT i, CAST(round_even(x + w / 2 - sw / 2, 0) AS INTEGER) AS gx, sw FROM s),
   t AS (SELECT i, greatest(gx, 0) AS x0, least(gx + sw, 320) AS x1 FROM g)

@@ -559,3 +559,11 @@ def test_bounds_of_windows_equal_their_frames(spark, size, step):
     frames = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(11 * s)], "session long, i long")
     whole = series.count_windows(frames, size, step).groupBy("session", "window_id").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"))
     assert sorted(map(tuple, series.window_bounds(frames, size, step).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_windows_of_a_grid_begin_with_the_session(spark):
+    frames = spark.createDataFrame([(1, i) for i in range(30)], "session long, i long")
+    for at_once, first in ((True, 0), (False, 6)):
+        made = series.count_chunks(frames, 4, 10, 2, at_once=at_once).collect()
+        begins = sorted({r.i for r in made if r.k % 10 == 0})
+        assert begins == list(range(first, 30, 10))
