@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -167,13 +168,17 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
         return Model({}, math.log(share / (1 - share)))
     swap = swaps(settings.terms)
     number: dict[str, int] = {}
-    orders = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+    orders = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
     bags = [np.unique(order) for order in orders]
     for term in swap:
         number.setdefault(term, len(number))
-    parts = [parts_of(w) for w in number]
-    first = np.cumsum([0, *map(len, parts)])
-    flat = np.fromiter((f for p in parts for f in p), np.int32, first[-1])
+    # numbers in flat arrays: lists of them would take a tenfold of the driver's memory
+    grown, ends = array("i"), array("q", [0])
+    for w in number:
+        grown.extend(parts_of(w))
+        ends.append(len(grown))
+    flat, first = np.array(grown, np.int32), np.array(ends, np.int64)
+    del grown, ends
     swapped = np.arange(len(number))
     for one, other in swap.items():
         swapped[number[one]] = number[other]
@@ -181,7 +186,7 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     for a, b in neutral_pairs(orders, labels, in0, in1, settings):
         if swapped[a] == a:
             swapped[a] = b
-    del parts, number, orders
+    del number, orders
 
     def present(bag: np.ndarray) -> np.ndarray:
         """The distinct features of some words."""
@@ -202,18 +207,25 @@ def fit(texts: list[str], labels: list[int], share: float, settings: Settings =
     place = np.full(HASHES, -1, np.int32)
     place[names] = np.arange(len(names))
 
-    def columns(bag: np.ndarray) -> list[int]:
+    def columns(bag: np.ndarray) -> np.ndarray:
         found = place[present(bag)]
-        return found[found >= 0].tolist()
+        return found[found >= 0]
 
     rows = [columns(bag) for bag in bags]
-    both = [(row, columns(swapped[bag])) for row, bag in zip(rows, bags, strict=True) if (swapped[bag] != bag).any()]
-    both += [([], columns(np.array([i]))) for i in np.flatnonzero(swapped != np.arange(len(swapped)))]  # nor is a bare mention worth anything
+    # what a text and its counterfactual share cancels out
+    both = []
+    for row, bag in zip(rows, bags, strict=True):
+        if (swapped[bag] != bag).any():
+            other = columns(swapped[bag])
+            both.append((np.setdiff1d(row, other), np.setdiff1d(other, row)))
+    nothing = np.empty(0, np.int32)
+    both += [(nothing, columns(np.array([i]))) for i in np.flatnonzero(swapped != np.arange(len(swapped)))]  # nor is a bare mention worth anything
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.array([k for r in rows for k in r], int)
-    d_at = np.array([i for i, (x, z) in enumerate(both) for _ in (*x, *z)], int)
-    d_col = np.array([k for x, z in both for k in (*x, *z)], int)
-    d_val = np.array([v for x, z in both for v in (*[1.0] * len(x), *[-1.0] * len(z))])
+    cols = np.concatenate([nothing, *rows])
+    sizes = np.array([(len(x), len(z)) for x, z in both], int).reshape(-1, 2)
+    d_at = np.repeat(np.arange(len(both)), sizes.sum(1))
+    d_col = np.concatenate([nothing, *(part for pair in both for part in pair)])
+    d_val = np.repeat(np.tile([1.0, -1.0], len(both)), sizes.ravel())
     y = np.array(labels, float)
     cost = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     w, bias = np.zeros(len(names)), math.log(share / (1 - share))
