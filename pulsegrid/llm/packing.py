@@ -16,7 +16,7 @@ import struct
 from collections import deque
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,10 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, loss_tokens lon
 SLICE = 1024
 #: Words of one generation of a worker's cache; two generations are held, some 200 bytes a word.
 KEPT_WORDS = 500_000
+#: The pattern of pieces that texts of Latin-1 characters are parted by here.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Its pieces that aren't runs of letters, in text whose white space is ASCII's.
+BETWEEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -56,10 +60,11 @@ def as_bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Identifiers of texts as little-endian unsigned 32-bit bytes; white space parts words that encode alone.
 
-    A slice of texts is split in one go, and each different word is looked up once.
-    Words of Latin-1 characters are as they are in normal form C, so they are lower-cased and parted here, where the
-    tokenizer's settings say just that, and go through its model in long lists; all others go through the library.
-    Two generations of words are kept: once the younger is full, the older goes; words in use move to the younger.
+    Texts of Latin-1 characters are as they are in normal form C, so where the tokenizer's settings say just that, a slice
+    of them is lower-cased and parted into pieces in one go, each different piece is looked up once, and new ones go to the
+    tokenizer's model. In other texts it is words that are looked up: those of Latin-1 characters are parted here, all
+    others go through the library. A piece is its own only piece, so words and pieces share one cache.
+    Two generations of it are kept: once the younger is full, the older goes; what is in use moves to the younger.
     """
 
     def __init__(self, path: str):
@@ -69,11 +74,14 @@ class Encoder:
         self.words: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         # what the library treats apart: added tokens, and separators that aren't white space to it
-        self.apart = regex.compile("|".join(["[\x1c-\x1f]", *(regex.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())]))
+        apart = "|".join(["[\x1c-\x1f]", *(regex.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values())])
+        self.apart = regex.compile(apart)
+        #: texts that aren't parted into pieces in one go
+        self.odd = rf"[^\x{{00}}-\x{{ff}}]|(?i:{apart})"
         with open(path, encoding="utf-8") as f:
             self.pieces = self.pattern(json.load(f))
         if self.pieces is not None:
-            self.model = Tokenizer(self.tokenizer.model)
+            self.model = self.tokenizer.model
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in shown]
             self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {10: "\n"}
@@ -87,59 +95,55 @@ class Encoder:
             return None
         if not parts[0]["invert"] or parts[0]["behavior"] != "Removed" or said.get("post_processor") is not None:
             return None
-        return regex.compile(parts[0]["pattern"]["Regex"])
+        return regex.compile(PIECES) if parts[0]["pattern"].get("Regex") == PIECES else None
 
     def alone(self, word: str) -> bytes:
         return as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def modelled(self, pieces: list[str]) -> list[bytes]:
+        """The identifiers of different pieces of Latin-1 characters."""
+        if not pieces:
+            return []
+        shown = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split("\n")
+        found = list(map(self.model.tokenize, shown))
+        raw = np.array([t.id for tokens in found for t in tokens], "<u4").tobytes()
+        ends = [4 * n for n in accumulate(map(len, found))]
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def learned(self, fresh: list[str]) -> list[bytes]:
         """The identifiers of different words."""
         if self.pieces is None:
             return list(map(self.alone, fresh))
-        try:
-            "".join(fresh).encode("latin-1")
-        except UnicodeEncodeError:
-            fits = [max(w) <= "\xff" for w in fresh]
-            rest = iter(self.learned([w for w, ok in zip(fresh, fits, strict=True) if ok]))
-            return [next(rest) if ok else self.alone(w) for w, ok in zip(fresh, fits, strict=True)]
         if not fresh:
             return []
-        low = "\n".join(fresh).lower()
-        odd = self.apart.search(low) is not None
+        low = "\n".join(fresh).lower().split("\n")  # no word holds a line's end
         find, search = self.pieces.findall, self.apart.search
-        parted = [[w] if w.isalpha() else () if odd and search(w) else find(w) for w in low.split("\n")]
-        place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(parted)))}
-        known: list[bytes] = []
-        names = list(place)
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
-            found = self.model.encode("\n".join(part).encode().decode("latin-1").translate(self.letters).split("\n"), is_pretokenized=True, add_special_tokens=False)
-            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4).tolist()
-            raw = np.array(found.ids, "<u4").tobytes()
-            known += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return [known[place[own[0]]] if len(own) == 1 else b"".join([known[place[p]] for p in own]) if own else self.alone(w) for w, own in zip(fresh, parted, strict=True)]
-
-    def values(self, names: list[str]) -> list[bytes]:
-        """The identifiers of different words, from the cache where it has them."""
+        parted = [() if max(w) > "\xff" or search(x) else [x] if x.isalpha() else find(x) for w, x in zip(fresh, low, strict=True)]
+        names = list(dict.fromkeys(chain.from_iterable(parted)))
+        known = dict(zip(names, self.values(names, self.modelled), strict=True))
+        return [b"".join([known[p] for p in own]) if own else self.alone(w) for w, own in zip(fresh, parted, strict=True)]
+
+    def values(self, names: list[str], learn) -> list[bytes]:
+        """The identifiers of different words or pieces, from the cache where it has them."""
         if len(self.words) > KEPT_WORDS:
             self.old, self.words = self.words, {"": b""}
         found = list(map(self.words.get, names))
         lacking = [k for k, v in enumerate(found) if v is None]
         older = list(map(self.old.get, [names[k] for k in lacking]))
         fresh = [names[k] for k, v in zip(lacking, older, strict=True) if v is None]
-        made = iter(self.learned(fresh))
+        made = iter(learn(fresh))
         for k, v in zip(lacking, older, strict=True):
             found[k] = value = next(made) if v is None else v
             if len(names[k]) <= CACHED_CHARS:
                 self.words[names[k]] = value
         return found
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        split = pc.ascii_split_whitespace(texts)
+    def gathered(self, split: pa.ListArray, learn) -> list[bytes]:
+        """The identifiers of each list of words or pieces."""
         coded = split.flatten().dictionary_encode()
-        values = self.values(coded.dictionary.to_pylist())
+        values = self.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), learn)
         if not values:
-            return [b""] * len(texts)
+            return [b""] * len(split)
         # objects lie scattered, so identifiers are gathered from one array
         ids, which = np.frombuffer(b"".join(values), "<u4"), coded.indices.to_numpy()
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
@@ -152,6 +156,19 @@ class Encoder:
         bounds = (np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy())] * 4).tolist()
         return [gathered[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if self.pieces is None:
+            return self.gathered(pc.ascii_split_whitespace(texts), self.learned)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain = pc.utf8_lower(texts.filter(pc.invert(odd)))
+        for space in "\x85\xa0":
+            plain = pc.replace_substring(plain, space, " ")
+        parted = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, BETWEEN, r" \0 "))
+        of_plain = iter(self.gathered(parted, self.modelled))
+        of_odd = iter(self.gathered(pc.ascii_split_whitespace(texts.filter(odd)), self.learned))
+        return [next(of_odd if apart else of_plain) for apart in odd.to_pylist()]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

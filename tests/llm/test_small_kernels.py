@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -37,6 +38,18 @@ def test_encoded_words_equal_the_library(noise):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_each_piece_meets_the_model_once(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library, met = packing.Encoder(path), Tokenizer.from_file(path), []
+    model = own.modelled
+    monkeypatch.setattr(own, "modelled", lambda pieces: met.extend(pieces) or model(pieces))
+    slices = [["Mühle, mühle! (MÜHLE) mühle's", "mühle\xa0mühle\x85'sun \x0b12", ""], ["Mühle; mühle's mühlen", "mühle \u212Aelvin \u0130 mühle", "mühle<|ENDOFTEXT|> <|endoftext|>\x1cmühle"]]
+    for texts in slices:
+        for text, ids in zip(texts, own.encode(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert sorted(met) == sorted({"mühle", ",", "!", "(", ")", "'s", "un", "1", "2", ";", "mühlen"})
+
+
 def test_packer_keeps_limits_and_every_id():
     limits = packing.Limits(tokens=64, segments=5, loss_tokens=40, min_cut=2)
     rng = random.Random(5)
