@@ -333,3 +333,19 @@ def test_pipeline_drops_copies_and_toxic_texts(spark, tmp_path):
     assert not {500, 501} & single and {1, 2, 502, 503} <= single
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} <= single and len({(r.doc_id) for r in packed}) > 60
+
+
+def test_pipeline_drops_copies_with_words_changed_here_and_there(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for k in range(40):
+        words = [word() for _ in range(120)]
+        near, far = list(words), list(words)
+        for at in range(10, 120, 24):  # 5 of 120 words: 109 of 129 different pairs of words are in both
+            near[at] = word()
+        for at in range(6, 120, 8):  # 15 of 120: 89 of 149
+            far[at] = word()
+        rows += [(k, " ".join(words), "en", "s0", 1), (100 + k, " ".join(near), "en", "s0", 1), (200 + k, " ".join(far), "en", "s0", 1)]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {k for k in range(40)} | {200 + k for k in range(40)}
