@@ -91,13 +91,14 @@ def spaced(frames: DataFrame, apart: float, keys: Sequence[str] = ("session",),
 def due_analyses(frames: DataFrame, window: float, apart: float = 1.0, least: int = 64, keys: Sequence[str] = ("session",), t: str = "t") -> DataFrame:
     """The frames at which a window kept by time is analysed, with `retained` (frames kept) and `enough` of them.
 
-    Kept are frames of the last 1.3 windows, to the microsecond, and two at least. An analysis is due once they span a window, and more than
-    `apart` after the last one due; with fewer than `least` frames it gives nothing, but counts for the cadence.
+    Kept are frames of the last 1.3 windows, those of the same time included, and two at least. An analysis is due once they span a
+    window, and more than `apart` after the last one due; with fewer than `least` frames it gives nothing, but counts for the cadence.
     """
     each = Window.partitionBy(*keys).orderBy(t)
-    near = Window.partitionBy(*keys).orderBy(F.round(F.col(t) * 1e6).cast("long")).rangeBetween(-round(1.3e6 * window), 0)  # ranges are whole numbers
-    kept = frames.withColumn("retained", F.greatest(F.count("*").over(near), F.least(F.lit(2), F.rank().over(each)).cast("long")))
-    kept = kept.withColumn("_from", F.least(F.min(t).over(near), F.lag(t).over(each)))
+    # times stay as they are: Window.rangeBetween takes whole numbers alone, and times rounded to some would meet
+    near = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY CAST(`{t}` AS DOUBLE) RANGE BETWEEN {1.3 * window!r}D PRECEDING AND CURRENT ROW)"
+    kept = frames.withColumn("retained", F.greatest(F.expr(f"count(*) {near}"), F.least(F.lit(2), F.rank().over(each)).cast("long")))
+    kept = kept.withColumn("_from", F.least(F.expr(f"min(`{t}`) {near}"), F.lag(t).over(each)))
     due = kept.filter(F.col(t) - F.col("_from") >= window).drop("_from").withColumn("enough", F.col("retained") >= least)
     return spaced(due, apart, keys, t)
 

@@ -425,6 +425,14 @@ def test_analyses_are_due_by_time(spark):
     assert sorted(got, key=str) == sorted(expected, key=str) and {r[3] for r in got} == {True, False}
 
 
+def test_times_a_hair_apart_are_kept_apart(spark):
+    # hours: one frame has left the window, another comes after the one that is due, both by half a millisecond
+    hair = 0.0005 / 3600
+    rows = [("a", t) for t in (0.0, 20.0, 90.0, 130.0 + hair, 200.0, 200.0 + hair)]
+    got = series.due_analyses(table(spark, rows, "session string, t double"), 100.0, 24.0, 4).collect()
+    assert sorted((r.t, r.retained, r.enough) for r in got) == [(130.0 + hair, 3, False), (200.0, 3, False)]
+
+
 @pytest.mark.parametrize("place", ["r", "g", "b", "t"])
 @pytest.mark.parametrize("value", [None, float("nan"), float("inf")])
 def test_a_missing_colour_or_time_is_refused_in_batch_and_stream(spark, recording, place, value):
