@@ -2,8 +2,9 @@
 
 A session's state is a list of frames and one row of what is shown. A trigger appends its frames to the list and reads it
 only where a window is due; once it holds two windows it is cut back to one, so a frame is written twice at most. Rows
-with an algorithm are control rows: the session starts anew with it, without a restart of the query. Rows whose read
-failed are dropped, and so many of them in a row end the session.
+with an algorithm are control rows: the session starts anew with it, without a restart of the query; they are no frames,
+so a run of frames without a face goes on over them. Rows whose read failed are dropped, and so many of them in a row end
+the session.
 
 With a watermark frames wait, by their time, until it has passed them: those that come out of order, but not later than
 it allows, give what a batch over all frames gives. A timer wakes a session whose frames wait while others go on.
@@ -81,7 +82,7 @@ class LiveSession(StatefulProcessor):
                 break
             last = frame[0]
             if named is not None or lost:
-                missing = missing + 1 if named is None else 0
+                missing += named is None
                 if named is not None or missing == self.config.patience + 1:
                     held, since, shown, last_bpm, last_snr, segment = 0, 0, None, None, None, segment + 1
                     kept, fresh, anew, algorithm = [], [], True, named or algorithm

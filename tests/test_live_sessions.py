@@ -70,6 +70,14 @@ def test_control_rows_switch_the_algorithm_of_a_running_session(spark, recording
     assert [(r.algorithm, r.segment) for r in rows] == [("pos", 0)] * 5 + [("chrom", 1)] * 5
 
 
+def test_a_run_without_a_face_goes_on_over_a_control_row(spark, recording, tmp_path):
+    frames = recording.assign(i=recording.i + recording.i.ge(201), lost=recording.i.isin((200, 201)), algorithm=None)
+    control = frames.iloc[[0]].assign(i=201, algorithm="chrom")
+    every = pd.concat([frames.iloc[:201], control, frames.iloc[201:]])
+    rows = estimates(run(spark, tmp_path, [every.iloc[:201], every.iloc[201:]]))
+    assert [(r.segment, r.i) for r in rows] == [(0, 119), (0, 149), (0, 179)] + [(2, k) for k in range(322, 481, 30)]
+
+
 def test_failed_reads_are_dropped_and_thirty_in_a_row_end_the_session(spark, recording, tmp_path):
     failed = recording.iloc[[0]].assign(r=np.nan, g=np.nan, b=np.nan, failed=True)
     frames = recording.assign(failed=False)
