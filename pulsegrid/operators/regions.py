@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_rect, is_skin, overlap, part_rect, rect, scale_rect
 from .quantiles import met, quantiles
+from .series import changes
 
 #: Region sets as fractions (x0, y0, x1, y1) of a face box.
 FOREHEAD = (0.24, 0.12, 0.76, 0.32)
@@ -228,6 +231,10 @@ def box_jitter(boxes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return moved.groupBy(*keys).agg(F.coalesce(F.percentile("move", F.lit(0.95)), F.lit(0.0)).alias("jitter"), F.hypot(F.stddev_pop("cx"), F.stddev_pop("cy")).alias("drift"))
 
 
+#: A box that there is not.
+LOST = (None, None, None, None)
+
+
 class Tracker:
     """One session's box: smoothed by a quarter, jumps refused, held over a number of missed detections."""
 
@@ -267,18 +274,30 @@ class Tracker:
 
 
 def tracked(boxes: DataFrame, keys: Sequence[str] = ("session",), order: str = "i", **settings) -> DataFrame:
-    """(keys, order, x, y, w, h, lost): a fold over each session's detections (null x: none)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        own = Tracker(**settings)
-        out = [own.update(None if pd.isna(r.x) else (int(r.x), int(r.y), int(r.w), int(r.h))) for r in pdf.itertuples(index=False)]
-        made = pdf[[*keys, order]].copy()
-        for k, n in enumerate("xywh"):
-            made[n] = pd.array([None if b is None else b[k] for b in out], "Int32")
-        made["lost"] = [b is None for b in out]
-        return made
+    """(keys, order, x, y, w, h, lost): a fold over each session's detections (a null in one: none).
+
+    Sessions are read in order, batch by batch; a task remembers one tracker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key = Tracker(**settings), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = np.append(key is None or key != [batch.column(k)[0].as_py() for k in keys], changes(batch, keys)).tolist()
+            key = [batch.column(k)[-1].as_py() for k in keys]
+            faces = np.logical_and.reduce([batch.column(n).is_valid() for n in "xywh"]).tolist()
+            found = zip(*(batch.column(n).fill_null(0).to_numpy().tolist() for n in "xywh"))
+            out = []
+            for first, face, box in zip(begins, faces, found, strict=True):
+                if first:
+                    own = Tracker(**settings)
+                out.append(own.update(box if face else None) or LOST)
+            sides = [pa.array(side, pa.int32()) for side in zip(*out)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*keys, order)), *sides, pc.is_null(sides[0])], [*keys, order, *"xywh", "lost"])
 
     kinds = dict(boxes.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, order)), *(f"{n} int" for n in "xywh"), "lost boolean"])
-    return boxes.select(*keys, order, *"xywh").groupBy(*keys).applyInPandas(run, schema)
+    by = [F.col(f"`{k}`") for k in keys]
+    sides = (F.when(~F.isnan(n), F.col(n)).cast("int").alias(n) for n in "xywh")
+    return boxes.select(*by, F.col(f"`{order}`"), *sides).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last(f"`{order}`")).mapInArrow(run, schema)

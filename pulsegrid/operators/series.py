@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,16 @@ def due_analyses(frames: DataFrame, window: float, apart: float = 1.0, least: in
     return spaced(due, apart, keys, t)
 
 
+def changes(rows: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Whether each row but the first has other keys than the row before it; nulls are one key."""
+    new = np.zeros(rows.num_rows - 1, bool)
+    for k in keys:
+        column = rows.column(k)
+        differ = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
+        new |= np.asarray(differ) | (np.asarray(column[1:].is_null()) != np.asarray(column[:-1].is_null()))
+    return new
+
+
 def segments(frames: DataFrame, reset: Column, keys: Sequence[str] = ("session",), order: Sequence[str] = ("i",)) -> DataFrame:
     """`segment` counts the resets up to a row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIBRARY, Analysis
 from ..operators import kernels, pulse, spectrum
-from ..operators.series import count_chunks, face_segments
+from ..operators.series import changes, count_chunks, face_segments
 
 RESULT = (
     "bpm double, hz double, snr_db double, confidence string, algorithm string, window_s double, peak_bpm double, disagreement double, "
@@ -86,12 +86,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if not table.num_rows:
             continue
-        new = np.zeros(table.num_rows - 1, bool)
-        for k in keys:
-            column = table[k]
-            differ = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False)
-            new |= np.asarray(differ) | (np.asarray(column[1:].is_null()) != np.asarray(column[:-1].is_null()))
-        starts = np.append(0, np.flatnonzero(new) + 1)
+        starts = np.append(0, np.flatnonzero(changes(table, keys)) + 1)
         if len(starts) > 1:
             yield table.slice(0, starts[-1]), starts[:-1]
         held = table.slice(starts[-1])

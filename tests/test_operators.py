@@ -175,6 +175,29 @@ def test_tracker_refuses_jumps_and_holds_its_box():
     assert t.update(None) is None and t.update((5, 5, 40, 40)) == (5, 5, 40, 40)
 
 
+def test_sessions_are_tracked_in_order_batch_by_batch(spark):
+    rng = random.Random(7)
+    faces = [(rng.randrange(60), rng.randrange(60), rng.randrange(40, 70), 50) if rng.random() < 0.7 else (None,) * 4 for _ in range(131)]
+    rows = [(session, i, *faces.pop()) for session, n in (("a", 90), ("b", 1), (None, 40)) for i in range(n)]
+    expected = []
+    for session in ("a", "b", None):
+        own = regions.Tracker(tolerance=2)
+        for r in (r for r in rows if r[0] == session):
+            box = own.update(None if r[2] is None else r[2:])
+            expected.append((session, r[1], *(box or (None,) * 4), box is None))
+    rng.shuffle(rows)
+    made = regions.tracked(table(spark, rows, "session string, i long, x int, y int, w int, h int"), tolerance=2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got, key=str) == sorted(expected, key=str) and {r[-1] for r in got} == {True, False}
+    # no data frame of its own for each session, which took most of the time
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+
+
 def test_analysis_finds_the_rate_and_refuses_short_windows(spark, frames):
     found = analysis.sessions(frames, 30.0, Analysis(background=False)).collect()
     assert len(found) == 11 and all(abs(r.bpm - 72) < 1 and r.error_code is None for r in found)
