@@ -1,6 +1,7 @@
 """Small numpy kernels for what is inherently sequential: recursive filters, pentadiagonal solves, greedy peaks, ICA.
 
-They work on one window at a time inside grouped maps; Spark partitions the windows.
+They work on one window at a time inside grouped maps; Spark partitions the windows. Filters, trends, green and chrominance
+take stacks of windows of one length too, with the frames along the last axis.
 """
 
 from __future__ import annotations
@@ -88,16 +89,23 @@ def detrend_matrix(n: int, strength: float) -> np.ndarray:
 MATRIX_SAMPLES = 1024
 
 
+def mapped(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The matrix applied to a series or to each of a stack."""
+    return matrix @ x if x.ndim == 1 else x @ matrix.T
+
+
 def bandpass(x: np.ndarray, fps: float, band: Band, order: int = 4) -> np.ndarray:
     """Zero-phase band-pass with odd extension at both ends; needs `least_samples(order)` samples."""
-    pad = least_samples(order) - 1
-    if len(x) <= pad:
+    pad, n = least_samples(order) - 1, x.shape[-1]
+    if n <= pad:
         raise ValueError("janela_insuficiente")
     low, high = band.low_hz / (fps / 2), band.high_hz / (fps / 2)
     if not 0 < low < high < 1:
         raise ValueError("banda_invalida")
-    if len(x) <= MATRIX_SAMPLES:
-        return bandpass_matrix(len(x), low, high, order) @ x
+    if n <= MATRIX_SAMPLES:
+        return mapped(bandpass_matrix(n, low, high, order), x)
+    if x.ndim > 1:
+        return np.array([bandpass(v, fps, band, order) for v in x])
     nums, dens = bandpass_design(low, high, order)
     longer = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     return run_sections(nums, dens, run_sections(nums, dens, longer)[::-1])[::-1][pad:-pad]
@@ -136,11 +144,13 @@ def trend_factor(n: int, strength: float) -> tuple[np.ndarray, ...]:
 
 def detrend(x: np.ndarray, strength: float = 100.0) -> np.ndarray:
     """Less its smooth trend; only the mean goes under 4 samples or without strength."""
-    n = len(x)
+    n = x.shape[-1]
     if n < 4 or strength <= 0:
-        return x - x.mean() if n else x.copy()
+        return x - x.mean(-1, keepdims=True) if n else x.copy()
     if n <= MATRIX_SAMPLES:
-        return detrend_matrix(n, float(strength)) @ x
+        return mapped(detrend_matrix(n, float(strength)), x)
+    if x.ndim > 1:
+        return np.array([detrend(v, strength) for v in x])
     d, e, f = (v.tolist() for v in trend_factor(n, float(strength)))
     y = x.tolist()
     for i in range(1, n):
@@ -247,7 +257,7 @@ def dominant(x: np.ndarray, fps: float, band: Band) -> tuple[float, float]:
 
 def normalise(c: np.ndarray) -> np.ndarray:
     """Rows over their means, over 1 where these are 0."""
-    m = c.mean(1, keepdims=True)
+    m = c.mean(-1, keepdims=True)
     return c / np.where(np.abs(m) < 1e-12, 1.0, m)
 
 
@@ -262,7 +272,8 @@ def green(c: np.ndarray, fps: float, band: Band, order: int, strength: float) ->
 def chrom(c: np.ndarray, fps: float, band: Band, order: int, strength: float) -> np.ndarray:
     r, g, b = normalise(c)
     x, y = bandpass(3 * r - 2 * g, fps, band, order), bandpass(1.5 * r + g - 1.5 * b, fps, band, order)
-    return finish(x - (x.std() / y.std() if y.std() > 1e-12 else 0.0) * y, fps, band, order, strength)
+    sd = y.std(-1, keepdims=True)
+    return finish(x - np.where(sd > 1e-12, x.std(-1, keepdims=True) / np.where(sd > 1e-12, sd, 1.0), 0.0) * y, fps, band, order, strength)
 
 
 def pos(c: np.ndarray, fps: float, band: Band, order: int, strength: float) -> np.ndarray:
@@ -312,6 +323,8 @@ def ica(c: np.ndarray, fps: float, band: Band, order: int, strength: float, roun
 
 #: In the order in which they are listed to users.
 ALGORITHMS = {"verde": green, "chrom": chrom, "pos": pos, "ica": ica}
+#: Those that take a stack of windows, (3, windows, frames), at once.
+STACKED = (green, chrom)
 
 
 def algorithm(name: str):

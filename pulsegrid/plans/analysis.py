@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -147,21 +146,50 @@ def analysed(
     return windows.select(*quoted).repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
-def pulses(windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] = ("pos",)) -> DataFrame:
-    """(keys, order, a column for each algorithm): the pulse signals themselves, null in a window too short to filter."""
+def pulses(
+    windows: DataFrame, fps: float, config: Analysis = LIBRARY, keys: Sequence[str] = ("session", "window_id"), order: str = "k", algorithms: Sequence[str] = ("pos",),
+    sliding: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(keys, order, a column for each algorithm): the pulse signals themselves, null in a window too short to filter.
+
+    `sliding`: as in `analysed`; the order column then counts a window's frames from 0. Windows of one length that a batch
+    holds, of any group, are filtered together.
+    """
     kinds = dict(windows.dtypes)
+    named = list(keys) if sliding is None else [*keys[:-1], "window_id"]
+
+    def signal(name: str, stack: np.ndarray) -> np.ndarray:
+        extract, rest = kernels.algorithm(name), (fps, config.band, config.order, config.detrend)
+        if stack.shape[-1] < kernels.least_samples(config.order):
+            return np.full(stack.shape[1:], np.nan)
+        return extract(stack, *rest) if extract in kernels.STACKED else np.array([extract(stack[:, w], *rest) for w in range(stack.shape[1])])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        channels = pdf[["r", "g", "b"]].to_numpy(float).T
-        made = pdf[[*keys, order]].copy()
-        for a in algorithms:
-            long = channels.shape[1] >= kernels.least_samples(config.order)
-            made[a] = kernels.algorithm(a)(channels, fps, config.band, config.order, config.detrend) if long else pd.array([None] * len(pdf), "Float64")
-        return made
-
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, order)), *(f"{a} double" for a in algorithms)])
-    return windows.select(*keys, order, "r", "g", "b").groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            held = np.array([table[c].to_numpy() for c in "rgb"], float)
+            lengths = np.diff(np.append(starts, table.num_rows))
+            size, step = sliding or (lengths, 1)
+            counts = np.maximum(0, (lengths - size) // step + 1)
+            of = np.repeat(starts, counts)  # where the group of each window begins
+            place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            sizes = np.repeat(np.broadcast_to(size, len(starts)), counts)
+            for n in np.unique(sizes):
+                own = sizes == n
+                at = (of[own] + place[own] * step)[:, None] + np.arange(n)
+                stack = held[:, at]
+                rows = pa.array(at.ravel() if sliding is None else np.repeat(of[own], n))
+                of_rows = [table[c].take(rows).combine_chunks() for c in (keys if sliding else [*keys, order])]
+                if sliding is not None:
+                    of_rows[-1] = pc.add(pc.multiply(of_rows[-1].cast(pa.int64()), CHUNK), pa.array(np.repeat(place[own], n)))
+                    of_rows.append(pa.array(np.tile(np.arange(n, dtype=np.int32), own.sum())))
+                signals = [pa.array(signal(a, stack).ravel(), pa.float64(), from_pandas=True) for a in algorithms]
+                yield pa.RecordBatch.from_arrays([*of_rows, *signals], [*named, order, *algorithms])
+
+    quoted = [F.col(f"`{c}`") for c in dict.fromkeys([*keys, order, "r", "g", "b"])]
+    by = [F.col(f"`{k}`") for k in keys]
+    of_order = kinds[order] if sliding is None else "int"
+    schema = ", ".join([*(f"`{name}` {'bigint' if name != k else kinds[k]}" for name, k in zip(named, keys, strict=True)), f"`{order}` {of_order}", *(f"{a} double" for a in algorithms)])
+    return windows.select(*quoted).repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 def finger(frames: DataFrame, fps: float, config: Analysis = LIBRARY, length: int = 1024, keys: Sequence[str] = ("session",), order: str = "i") -> DataFrame:

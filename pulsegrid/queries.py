@@ -705,8 +705,9 @@ FILTER = bandpass_map(BLOCK, FPS, BAND.low_hz, BAND.high_hz)
   FROM w JOIN s ON w.session = s.session AND w.window_id = s.window_id AND w.k = s.k JOIN fd ON w.k = j GROUP BY 1, 2, 3""")
 def pulse_signals(spark, sf_dir):
     """Sliding windows through the recursive band-pass and the smooth trend: green's and chrominance's pulse signals."""
-    windows = series.count_windows(frames(spark, sf_dir), BLOCK, BLOCK // 2)
-    made = analysis.pulses(windows, FPS, Analysis(), algorithms=["verde", "chrom"])
+    size, step = BLOCK, BLOCK // 2
+    chunks = series.count_chunks(frames(spark, sf_dir), size, step, analysis.CHUNK)
+    made = analysis.pulses(chunks, FPS, Analysis(), ["session", "chunk"], algorithms=["verde", "chrom"], sliding=(size, step))
     return made.select("session", "window_id", "k", C.zero(F.col("verde"), 3).alias("verde"), C.zero(F.col("chrom"), 4).alias("chrom"))
 
 

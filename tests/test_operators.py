@@ -198,6 +198,46 @@ def test_sessions_are_tracked_in_order_batch_by_batch(spark):
     assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
 
 
+def test_pulses_of_stacked_windows_equal_each_windows_own(spark):
+    names, lengths = list(kernels.ALGORITHMS), {"a": 130, "b": 70, "c": 20, None: 64}
+    rng = np.random.default_rng(5)
+    colours = {s: 100 + rng.normal(0, 3, (3, n)) for s, n in lengths.items()}
+    config, size, step = Analysis(), 64, 32
+    parts = {(s, w): colours[s][:, w * step : w * step + size] for s, n in lengths.items() for w in range((n - size) // step + 1)}
+    whole = {(s, 0): c for s, c in colours.items()}
+    rows = [(s, 0, i, *map(float, c[:, i])) for s, c in colours.items() for i in range(c.shape[1])]
+    random.Random(5).shuffle(rows)
+    frames = table(spark, rows, "session string, window_id long, i long, r double, g double, b double")
+    chunks = series.count_chunks(frames, size, step, analysis.CHUNK)
+    made = {
+        "sliding": (analysis.pulses(chunks, 30.0, config, ["session", "chunk"], algorithms=names, sliding=(size, step)), "k", parts),
+        "whole": (analysis.pulses(frames, 30.0, config, order="i", algorithms=names), "i", whole),
+    }
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for df, order, windows in made.values():
+            got = {(r.session, r.window_id, r[order]): [r[a] for a in names] for r in df.collect()}
+            assert len(got) == sum(c.shape[1] for c in windows.values()) == df.count()
+            for (s, w), c in windows.items():
+                long = c.shape[1] >= kernels.least_samples(config.order)
+                expected = [kernels.algorithm(a)(c, 30.0, config.band, config.order, config.detrend) if long else [None] * c.shape[1] for a in names]
+                found = [[got[s, w, k][j] for k in range(c.shape[1])] for j in range(len(names))]
+                assert np.allclose(found, expected, atol=1e-9) if long else found == expected
+            # no data frame of its own for each window, which took most of the time
+            assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("n", [64, 1100])
+def test_kernels_take_stacks(n):
+    c = 100 + np.random.default_rng(n).normal(0, 3, (3, 4, n))
+    for extract in kernels.STACKED:
+        stack = extract(c, 30.0, Band(), 4, 100.0)
+        assert np.allclose(stack, [extract(c[:, w], 30.0, Band(), 4, 100.0) for w in range(4)], atol=1e-9)
+
+
 def test_analysis_finds_the_rate_and_refuses_short_windows(spark, frames):
     found = analysis.sessions(frames, 30.0, Analysis(background=False)).collect()
     assert len(found) == 11 and all(abs(r.bpm - 72) < 1 and r.error_code is None for r in found)
